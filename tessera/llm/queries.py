@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, rules, secrets, sharding, toxicity
+from .common import crc_bucket
 
 
 def vocabulary() -> str:
@@ -23,6 +25,40 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.score(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 16)
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return secrets.digest(found)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_sharding": op8_sharding,
+    "op9_secret_scans": op9_secret_scans,
+    "op10_language_id": op10_language_id,
+}
 
 ORACLE_SQL: dict[str, str] = {}
