@@ -137,3 +137,19 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names=[*lead, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"])
 
     return source.mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, with all their columns, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts = batch.column(text_col)
+            hashes, offsets = word_hashes(texts)
+            words = np.diff(offsets)
+            bucket, grams = _features(*text_bytes(texts))
+            ratio = per_text_sum(model[bucket], grams) / np.maximum(np.diff(grams), 1)
+            failed = (words < MIN_WORDS) | (100 * repeated_words(hashes, offsets) > MAX_REPEAT_PERCENT * words)
+            yield batch.filter(pa.array(~failed & (ratio >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

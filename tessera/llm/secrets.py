@@ -103,6 +103,27 @@ def redact(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
+def redact_documents(docs: DataFrame, ledger: DataFrame, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
+    """``docs`` with the ledger's spans redacted, columns as they were; an ``n_chars`` column follows the new text."""
+    hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    joined = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(hits, "_blob", "left").select(*docs.columns, "_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            spans = batch.column("_spans")
+            out = batch.drop_columns(["_spans"])
+            if spans.null_count < len(spans):
+                texts = [t if s is None else redact(t, s) for t, s in zip(batch.column(text_col).to_pylist(), spans.to_pylist(), strict=True)]
+                at = out.schema.get_field_index(text_col)
+                out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+                if (at := out.schema.get_field_index("n_chars")) >= 0:
+                    changed = [n if s is None else len(t) for n, t, s in zip(out.column("n_chars").to_pylist(), texts, spans.to_pylist(), strict=True)]
+                    out = out.set_column(at, out.schema.field(at), pa.array(changed, out.schema.field(at).type))
+            yield out
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns of ``findings``."""
 
