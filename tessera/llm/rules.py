@@ -19,7 +19,7 @@ from .common import mix, per_text_sum, slices, text_bytes, word_hashes
 
 FEATURES, GRAM = 1 << 16, 4
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.4
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 _BLANK = np.zeros(256, bool)

@@ -25,7 +25,7 @@ from .common import slices, split_words
 
 ROWS_PER_CLASS = 10_000
 PRIOR_STRENGTH = 500.0
-MIN_Z, MIN_DOCS = 4.0, 4
+MIN_Z, MIN_DOCS = 4.5, 4
 STEMS = range(4, 9)
 MIN_ODDS = 1.5
 DRIFT = 0.1
@@ -156,8 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
         return np.log((y1 + prior) / rest[0]) - np.log((y0 + prior) / rest[1]), prior
 
     t1, d1, t0, d0 = (counts[c].to_numpy(float) for c in ("t1", "d1", "t0", "d0"))
-    by_doc = np.log((d1 + 0.5) / (m1 + 1)) - np.log((d0 + 0.5) / (m0 + 1))
-    z = by_doc / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))  # by documents: words come in bursts
+    z = _significance(d1, d0, m1, m0)  # by documents: words come in bursts
     odds, prior = log_odds(t1, t0, n1, n0)
     use = (z >= MIN_Z) & (odds > MIN_ODDS)
     model = Model(dict(zip(counts["feature"][use], odds[use].tolist(), strict=True)))
@@ -168,6 +167,17 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
     return _calibrate(rows.where("_fold"), model)
 
 
+def _significance(d1: np.ndarray, d0: np.ndarray, m1: float, m0: float) -> np.ndarray:
+    """Signed root of the likelihood ratio statistic of d1 of m1 toxic against d0 of m0 clean documents."""
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    share = (d1 + d0) / (m1 + m0)
+    g = part(d1, m1 * share) + part(d0, m0 * share) + part(m1 - d1, m1 * (1 - share)) + part(m0 - d0, m0 * (1 - share))
+    return np.sign(d1 / m1 - d0 / m0) * np.sqrt(np.maximum(0, 2 * g))
+
+
 def _lambda(odds: np.ndarray, share: np.ndarray, drift: float) -> float:
     """The positive root of E[exp(lambda * score)] = 1 under the background."""
     if not len(odds):
