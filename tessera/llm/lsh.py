@@ -5,8 +5,10 @@ several values name buckets; sets that share one are candidates. Of each other p
 which rejects candidates that lie far below the threshold (six standard deviations), before sets are compared in full.
 
 A bucket's members are not paired with each other. A round compares each member with a few pivots of the bucket; what
-links shares a component. Later rounds look only at buckets that still hold several components, take more pivots, and
-at last all members of other components, so that no link between components is lost.
+links shares a component. What then still meets members of other components goes through an exact prefix filter: under
+any order of elements, two sets of similarity t share one of the first n - ceil(t * n) + 1 elements of each. The order
+puts elements of rare hash buckets first, so sets that share a frequent passage alone do not meet. No link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -75,10 +77,50 @@ class Scheme:
         return [pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64))), *(pa.array(spread[:, i].copy().view(np.int64)) for i in range(self.sketch_words))]
 
 
-#: Pivots a bucket in each round; None: all members.
-ROUNDS = (1, 16, 128, None)
-#: Buckets of no more members skip the rounds of few pivots.
-SMALL_BUCKET = 48
+#: Pivots a bucket in each round, before the prefix filter does the rest.
+ROUNDS = (1, 16)
+#: Hash buckets of elements, whose counts order them; the result does not depend on it.
+ORDER_BUCKETS = 1 << 17
+
+
+def _bucket_counts(content: DataFrame) -> np.ndarray:
+    """How many elements of the sets fall into each hash bucket."""
+    import pyarrow as pa
+
+    def count(batches):
+        total = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            values = batch.column("set").flatten().to_numpy().view(np.uint64)
+            total += np.bincount((values >> np.uint64(47)).astype(np.int64), minlength=ORDER_BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    found = content.select("set").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    out[found["bucket"]] = found["n"]
+    return out
+
+
+def _prefixes(content: DataFrame, percent: int) -> DataFrame:
+    """(id, token) of each set's first n - ceil(percent * n / 100) + 1 elements, those of rare buckets first."""
+    import pyarrow as pa
+
+    counts = _bucket_counts(content)
+
+    def run(batches):
+        for batch in batches:
+            sets = batch.column("set")
+            offsets = sets.offsets.to_numpy().astype(np.int64)
+            values = sets.values.to_numpy().view(np.uint64)
+            ids, out = batch.column("id").to_numpy(), []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                v = values[a:b]
+                keep = len(v) + (-percent * len(v)) // 100 + 1
+                out.append(v[np.lexsort((v, counts[(v >> np.uint64(47)).astype(np.int64)]))[:keep]])
+            flat = np.concatenate(out) if out else values[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in out])), pa.array(flat.view(np.int64))], names=["id", "token"])
+
+    return content.mapInArrow(run, "id bigint, token bigint")
 
 
 def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -114,40 +156,42 @@ def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Schem
         common = F.size(F.array_intersect("_sa", "_sb"))
         return both.select("a", "b", (100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).alias("linked"))
 
-    tested, labels, edges, turn = [], None, None, 0
-    while turn < len(ROUNDS):
-        pivots = ROUNDS[turn]
-        if labels is None:
-            least = materialize(cand.groupBy("key").agg(F.min("id").alias("x_id")), "pivots")
-            some = least.join(side(traits, "x"), "x_id")
-            pairs = close(side(cand, "y").join(some, "key").where("x_id <> y_id"))
-        else:
-            now = cand.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            now = materialize(now, "labelled")
-            mixed = materialize(now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi"), "open")
-            most = mixed.agg(F.max("_n")).first()[0]
-            if most is None:
-                break
-            if most <= SMALL_BUCKET:
-                pivots = None
-            still = materialize(now.join(mixed.select("key"), "key"), "still")
-            if pivots is None:
-                some, turn = side(still, "x"), len(ROUNDS)
-            else:
-                slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots))
-                chosen = materialize(still.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("x_id")).select("key", "x_id"), "pivots")
-                some = chosen.join(side(still.drop("key").dropDuplicates(["id"]), "x"), "x_id")
-            apart = F.col("x_comp") != F.col("y_comp")
-            pairs = close(side(still, "y").join(some, "key").where(apart & (F.col("x_id") < F.col("y_id")) if pivots is None else apart))
+    def settle(pairs: DataFrame) -> bool:
+        """Verify pairs that no round has seen; False if none of them links."""
+        nonlocal labels, edges
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        checked = materialize(verified(pairs), "checked")
+        checked = materialize(verified(materialize(pairs, "pairs")), "checked")
         tested.append(checked.select("a", "b"))
         found = checked.where("linked").select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
+        if labels is not None and found.isEmpty():
+            return False
         labels = components(edges)
-        turn += 1
+        return True
+
+    tested, labels, edges = [], None, None
+    least = materialize(cand.groupBy("key").agg(F.min("id").alias("x_id")), "pivots")
+    settle(close(side(cand, "y").join(least.join(side(traits, "x"), "x_id"), "key").where("x_id <> y_id")))
+    for pivots in (*ROUNDS[1:], None):
+        now = materialize(cand.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
+        mixed = materialize(now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"), "open")
+        still = materialize(now.join(mixed, "key"), "still")
+        if still.isEmpty():
+            break
+        apart = F.col("x_comp") != F.col("y_comp")
+        if pivots is not None:
+            slot = F.pmod(F.xxhash64("id"), F.lit(pivots))
+            chosen = materialize(still.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("x_id")).select("key", "x_id"), "pivots")
+            some = chosen.join(side(still.drop("key").dropDuplicates(["id"]), "x"), "x_id")
+            settle(close(side(still, "y").join(some, "key").where(apart)))
+            continue
+        rest = materialize(still.drop("key").dropDuplicates(["id"]), "rest")
+        tokens = _prefixes(content.join(rest.select("id"), "id", "left_semi"), percent)
+        posted = materialize(tokens.join(rest, "id").withColumnRenamed("token", "key"), "prefixes")
+        shared = materialize(posted.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"), "shared")
+        posted = materialize(posted.join(shared, "key"), "postings")
+        settle(close(side(posted, "y").join(side(posted, "x"), "key").where(apart & (F.col("x_id") < F.col("y_id")))))
     return labels, edges
 
 
@@ -156,21 +200,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every step is a grouped minimum and a join, so no node's neighbours meet in one task."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
-        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "small")
-        mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        for old in (now, low, large, low2):
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        after = materialize(large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "small")
+        for old in (now, low, large):
             release(old)
         now = after
-        if mark == seen or not mark[0]:
+        # stars: a node has one parent, and no parent has one
+        twice = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        nested = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")
+        if twice.unionByName(nested).isEmpty():
             break
-        seen = mark
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
