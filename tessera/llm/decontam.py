@@ -18,7 +18,7 @@ SHINGLE = 5
 #: At a similarity of 0.8 fingerprints differ in 9.7 bits on average; beyond 20 with a chance of 1 in 5,000.
 RADIUS = 20
 #: A benchmark of at most so many shingles (24 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_SHINGLES = 500_000
+BROADCAST_SHINGLES = 100_000
 
 _BLANKS = " \t\n\x0b\x0c\r"
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import fresh_name, materialize, slices
 
 #: Raise it with any change of the rules: blobs scanned under another version are unseen.
 RULE_VERSION = "2"
@@ -105,13 +105,14 @@ def redact(text: str, spans: list) -> str:
 
 def redact_documents(docs: DataFrame, ledger: DataFrame, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """``docs`` with the ledger's spans redacted, columns as they were; an ``n_chars`` column follows the new text."""
-    hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    joined = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(hits, "_blob", "left").select(*docs.columns, "_spans")
+    blob, found = fresh_name(docs, "_blob"), fresh_name(docs, "_spans")
+    hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(found)).dropDuplicates([blob])
+    joined = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(hits, blob, "left").select(*docs.columns, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            spans = batch.column("_spans")
-            out = batch.drop_columns(["_spans"])
+            spans = batch.column(found)
+            out = batch.drop_columns([found])
             if spans.null_count < len(spans):
                 texts = [t if s is None else redact(t, s) for t, s in zip(batch.column(text_col).to_pylist(), spans.to_pylist(), strict=True)]
                 at = out.schema.get_field_index(text_col)
