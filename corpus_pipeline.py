@@ -16,11 +16,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each near-duplicate group (five-word shingles, similarity 0.8), once. Rows without an id stay."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = materialize(found.where("not kept").select("doc_id").distinct(), "duplicates")
-    single = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The least doc_id of each near-duplicate group (five-word shingles, similarity 0.8), once. Rows without an id stay.
+
+    A repeated id keeps one of its rows; only such rows are shuffled for that."""
+    found = minhash.near_duplicates(docs, words=5, percent=80).where("doc_id is not null")
+    marks = materialize(found.groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n")).where("not _kept or _n > 1"), "marks")
+    left = docs.join(marks.where("not _kept"), "doc_id", "left_anti")
+    repeated = marks.where("_kept and _n > 1").select("doc_id")
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
