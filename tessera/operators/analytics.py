@@ -1,31 +1,27 @@
 """Set analytics in the integer mode: centroid distance, nearest-neighbour divergence, spread, projection.
 
-Sets are (set_id, row_id) tables. Results per set or pair of sets. Means add up in ascending order of row_id, in double,
-and are floored to float once.
+Sets are (set_id, row_id) tables. Results per set or pair of sets. Means add up in double, partly before the shuffle, and
+are floored to float once; the order of additions lies far below that rounding.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bake import quantized_queries, rows_as_payloads, rows_as_queries
 from ..functions.vectors import dot, dot_int, floor_to_float, part, xd_pair
-from ..model import Bank, Metric, QuerySpec
+from ..model import FLT_MIN, Bank, Metric, QuerySpec
+from ..plans import block
 from .compose import pooled
-from .query import query_batch
+from .query import query_batch, resolve, scorer
 
 
 def _payload(df: DataFrame, name: str, key: str) -> DataFrame:
     return df.select(F.col("query_id").alias(key), F.col("q8").alias(f"{name}_q8"), F.col("q_scale").alias(f"{name}_s"), F.col("q_sq").alias(f"{name}_sq"))
 
 
-def ordered_mean(order: str, value: Column) -> Column:
-    """avg(value) as a sum in the order of ``order``: the same bits under any partitioning."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.cast("double").alias("v"))))
-    return F.aggregate(listed, F.lit(0.0), lambda acc, e: acc + e["v"]) / F.count("*")
-
-
 def pair_scores(metric: Metric, a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """The distance (dot: similarity) of payloads a and b for ``pairs`` (a, b): a, b, distance (float)."""
     both = pairs.join(_payload(a, "a", "a"), "a").join(_payload(b, "b", "b"), "b")
@@ -46,31 +42,46 @@ def centroid_distance(bank: Bank, sets: DataFrame, pairs: DataFrame, channel: in
     return pair_scores(bank.metric, pool, pool, pairs)
 
 
-def nearest(bank: Bank, sets: DataFrame, pairs: DataFrame, channel: int | None = None) -> DataFrame:
-    """For each pair of sets (a, b) and row of a, its distance to the nearest row of b: a, b, row_id, distance (float).
+def nearest(bank: Bank, sets: DataFrame, channel: int | None = None) -> DataFrame:
+    """For each row of a set and each set b, the distance to the nearest row of b: query_id, b, distance (float).
 
     A whole-row cosine distance is 1 - the query score; on a channel it is the normalised form. For dot, the best
-    similarity stands in place of a distance."""
-    members = sets.select("set_id", "row_id")
+    similarity stands in place of a distance. Blocks of rows meet blocks of rows, and each pair of blocks yields one row
+    for a query and set, never a row for a pair."""
     if channel is None:
-        scores = query_scores(bank)
+        rows, payloads, kind = bank.df.select("row_id", "q8", "scale"), rows_as_payloads(bank), None
     else:
-        scores = channel_scores(bank, channel)
-    left, right = members.select(F.col("set_id").alias("a"), F.col("row_id").alias("query_id")), members.select(F.col("set_id").alias("b"), "row_id")
-    best = (F.max if bank.metric is Metric.DOT else F.min)("distance")
-    found = scores.join(right, "row_id").groupBy("query_id", "b").agg(best.alias("distance"))
-    return found.join(left, "query_id").join(pairs, ["a", "b"]).select("a", "b", F.col("query_id").alias("row_id"), "distance")
+        payloads, kind = channel_payloads(bank, channel), channel
+        rows = payloads.select(F.col("query_id").alias("row_id"), "q8", F.col("q_scale").alias("scale"), F.col("q_sq").alias("sq"))
+    members = sets.select("set_id", "row_id")
+    targets = rows.join(members, "row_id")
+    sources = payloads.join(members.select(F.col("row_id").alias("query_id")).distinct(), "query_id", "left_semi").select("query_id", F.col("q8").alias("_q8"), "q_scale", "q_sq")
+    scored = scorer(bank, resolve(bank, QuerySpec(exact_int=True))) if kind is None else _channel_scorer(bank.metric)
+    higher = bank.metric.higher_is_better if kind is None else bank.metric is Metric.DOT
+    best = block.group_best(targets, sources, scored, "set_id", higher, 8 * bank.dims)
+    value = F.col("score").cast("float")
+    if kind is None and bank.metric is Metric.COSINE:
+        value = (F.lit(1.0) - value.cast("double")).cast("float")
+    return best.select("query_id", F.col("group_id").alias("b"), value.alias("distance"))
 
 
-def query_scores(bank: Bank) -> DataFrame:
-    """All pairs of an int8 bank's rows as (query_id, row_id, distance)."""
-    from .query import all_scores
+def _channel_scorer(metric: Metric) -> block.Scorer:
+    """Distances (dot: similarities) of payloads to payloads, floored to float."""
 
-    scored = all_scores(bank, rows_as_queries(bank), QuerySpec(exact_int=True))
-    value = F.col("score")
-    if bank.metric is Metric.COSINE:
-        value = (F.lit(1.0) - value.cast("double")).cast("float")
-    return scored.select("query_id", "row_id", value.alias("distance"))
+    def score(q: dict, b: dict) -> np.ndarray:
+        cross, qs, rs = q["_q8"] @ b["q8"].T, q["q_scale"][:, None], b["scale"].astype(np.float64)
+        q_sq, r_sq = q["q_sq"].astype(np.float64)[:, None], b["sq"].astype(np.float64)
+        if metric is Metric.DOT:
+            out = cross * (qs * rs)
+        elif metric is Metric.L2:
+            out = ((rs * rs) * r_sq + (qs * qs) * q_sq) - ((qs * rs) * cross) * 2.0
+        else:
+            energy = q_sq * r_sq
+            out = np.where(energy > 0, 1.0 - cross / np.sqrt(np.where(energy > 0, energy, 1.0)), 0.0)
+        out[np.abs(out) < FLT_MIN] = 0.0
+        return out.astype(np.float32).astype(np.float64)
+
+    return score
 
 
 def channel_payloads(bank: Bank, channel: int) -> DataFrame:
@@ -79,17 +90,10 @@ def channel_payloads(bank: Bank, channel: int) -> DataFrame:
     return quantized_queries(lanes)
 
 
-def channel_scores(bank: Bank, channel: int) -> DataFrame:
-    p = channel_payloads(bank, channel)
-    both = _payload(p, "a", "query_id").crossJoin(_payload(p, "b", "row_id"))
-    value = xd_pair(bank.metric, dot_int(F.col("a_q8"), F.col("b_q8")), F.col("a_sq"), F.col("b_sq"), F.col("a_s"), F.col("b_s"), zero=0.0)
-    return both.select("query_id", "row_id", floor_to_float(value).alias("distance"))
-
-
 def nearest_divergence(bank: Bank, sets: DataFrame, pairs: DataFrame, reduce: str = "mean", channel: int | None = None) -> DataFrame:
     """Mean or greatest nearest distance from the rows of a to b: a, b, value (for dot: of the best similarities)."""
-    found = nearest(bank, sets, pairs, channel)
-    value = ordered_mean("row_id", F.col("distance")) if reduce == "mean" else F.max("distance").cast("double")
+    found = nearest(bank, sets, channel).join(sets.select(F.col("set_id").alias("a"), F.col("row_id").alias("query_id")), "query_id").join(pairs, ["a", "b"])
+    value = F.avg(F.col("distance").cast("double")) if reduce == "mean" else F.max("distance").cast("double")
     return found.groupBy("a", "b").agg(floor_to_float(value).alias("value"))
 
 
@@ -111,7 +115,7 @@ def spread(bank: Bank, sets: DataFrame, reduce: str = "mean", channel: int | Non
     both = sets.select("set_id", "row_id").join(_payload(pool, "a", "set_id"), "set_id").join(_payload(payloads, "b", "row_id"), "row_id")
     value = xd_pair(bank.metric, dot_int(F.col("a_q8"), F.col("b_q8")), F.col("a_sq"), F.col("b_sq"), F.col("a_s"), F.col("b_s"), zero=0.0)
     each = both.select("set_id", "row_id", floor_to_float(value).alias("distance"))
-    total = ordered_mean("row_id", F.col("distance")) if reduce == "mean" else F.max("distance").cast("double")
+    total = F.avg(F.col("distance").cast("double")) if reduce == "mean" else F.max("distance").cast("double")
     return each.groupBy("set_id").agg(floor_to_float(total).alias("value"))
 
 

@@ -17,21 +17,12 @@ def _lanes(bank: Bank) -> Column:
 def centroid(bank: Bank, rows: DataFrame) -> DataFrame:
     """The mean vector of each group of ``rows`` (query_id, row_id): query_id, q. Rows named twice count twice.
 
-    Sums add up in the order of row_id, in double; a cosine bank's mean is brought to unit length (null if it has none).
-    Lanes, not whole rows, are the unit of the shuffle, so a group of any size is summed in many tasks' partial lists."""
-    pairs = rows.join(bank.df.select("row_id", _lanes(bank).cast("array<double>").alias("v")), "row_id")
-    lane = pairs.select("query_id", "row_id", F.posexplode("v").alias("pos", "x"))
-    ordered = F.array_sort(F.collect_list(F.struct("row_id", "x")))
-    total = F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e["x"])
-    mean = lane.groupBy("query_id", "pos").agg((total * (F.lit(1.0) / F.count("*"))).cast("float").alias("x"))
-    return _unit(_gathered(mean), bank.metric)
-
-
-def centroid_fast(bank: Bank, rows: DataFrame) -> DataFrame:
-    """``centroid`` with partial sums: as many rows as there are, equal up to the order of double additions."""
+    Lanes are summed in double, partly before the shuffle, so a group of any size costs dims rows a task; a cosine
+    bank's mean is brought to unit length (null if it has none)."""
     pairs = rows.join(bank.df.select("row_id", _lanes(bank).cast("array<double>").alias("v")), "row_id")
     lane = pairs.select("query_id", F.posexplode("v").alias("pos", "x"))
-    return _unit(_gathered(lane.groupBy("query_id", "pos").agg((F.sum("x") * (F.lit(1.0) / F.count("*"))).cast("float").alias("x"))), bank.metric)
+    mean = lane.groupBy("query_id", "pos").agg((F.sum("x") * (F.lit(1.0) / F.count("*"))).cast("float").alias("x"))
+    return _unit(_gathered(mean), bank.metric)
 
 
 def _gathered(lanes: DataFrame, name: str = "q") -> DataFrame:

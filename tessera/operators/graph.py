@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bake import rows_as_queries
 from ..model import Bank, QuerySpec
+from ..storage import shared_dir
 from .query import query_batch
 
 
@@ -38,13 +39,7 @@ def duplicate_groups(bank: Bank) -> DataFrame:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

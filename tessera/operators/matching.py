@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.bake import rows_as_queries
 from ..model import Bank, Metric, QuerySpec
-from .analytics import ordered_mean
 from .query import query_batch
 
 
@@ -16,6 +15,12 @@ def _similarity(metric: Metric) -> Column:
     return -score if metric is Metric.L2 else score
 
 
+def _mean(order: str, value: str) -> Column:
+    """The mean of the k values of a query, added up in order."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return F.aggregate(listed, F.lit(0.0), lambda acc, e: acc + e["v"]) / F.count("*")
+
+
 def mutual_matches(a: Bank, b: Bank, sample: DataFrame, k: int) -> DataFrame:
     """For each sampled row of a (row_id) the row of b that is its nearest, if it is that row's nearest in all of a too:
     source_a, source_b (-1: none), csls (0.0: none).
@@ -28,11 +33,11 @@ def mutual_matches(a: Bank, b: Bank, sample: DataFrame, k: int) -> DataFrame:
     forward = query_batch(b, rows_as_queries(a).join(chosen.withColumnRenamed("row_id", "query_id"), "query_id", "left_semi"), spec)
     forward = forward.withColumn("sim", _similarity(metric))
     best = forward.where("rank = 1").select(F.col("query_id").alias("source_a"), F.col("row_id").alias("source_b"), "sim")
-    mean_a = forward.groupBy(F.col("query_id").alias("source_a")).agg(ordered_mean("rank", F.col("sim")).alias("mean_a"))
+    mean_a = forward.groupBy(F.col("query_id").alias("source_a")).agg(_mean("rank", "sim").alias("mean_a"))
     back_ids = best.select(F.col("source_b").alias("query_id")).distinct()
     back = query_batch(a, rows_as_queries(b).join(back_ids, "query_id", "left_semi"), spec).withColumn("sim", _similarity(metric))
     chosen_back = back.where("rank = 1").select(F.col("query_id").alias("source_b"), F.col("row_id").alias("_back"))
-    mean_b = back.groupBy(F.col("query_id").alias("source_b")).agg(ordered_mean("rank", F.col("sim")).alias("mean_b"))
+    mean_b = back.groupBy(F.col("query_id").alias("source_b")).agg(_mean("rank", "sim").alias("mean_b"))
     joined = best.join(mean_a, "source_a").join(chosen_back, "source_b").join(mean_b, "source_b")
     kept = joined.where("_back = source_a").select("source_a", "source_b", (2.0 * F.col("sim") - F.col("mean_a") - F.col("mean_b")).cast("float").alias("csls"))
     out = chosen.withColumnRenamed("row_id", "source_a").join(kept, "source_a", "left")

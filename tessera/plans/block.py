@@ -170,3 +170,44 @@ def _blocked_scan(bank: DataFrame, queries: DataFrame, scorer: Scorer, k: int, h
                 yield top.hits(block["query_id"])
 
     return pairs.mapInArrow(run, HITS)
+
+
+def group_best(bank: DataFrame, queries: DataFrame, scorer: Scorer, group: str, higher: bool, bytes_a_query: int) -> DataFrame:
+    """The best score of each query in each group of rows: query_id, group_id, score. ``bank`` has ``group`` and what the
+    scorer reads; a batch of rows yields one row for each query and group in it, merged by a grouped maximum or minimum."""
+    reduce = np.maximum.reduceat if higher else np.minimum.reduceat
+
+    def best(q: dict, rows: dict) -> pa.RecordBatch:
+        order = np.argsort(rows[group], kind="stable")
+        rows = {k: v[order] for k, v in rows.items()}
+        groups, starts = np.unique(rows[group], return_index=True)
+        found = reduce(scorer(q, rows), starts, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(q["query_id"], len(groups))), pa.array(np.tile(groups, len(found)).astype(np.int64)), pa.array(found.reshape(-1))], names=["query_id", "group_id", "score"])
+
+    schema = "query_id bigint, group_id bigint, score double"
+    most = max(1, BROADCAST_BYTES // max(1, bytes_a_query))
+    some = queries.limit(most + 1).toArrow()
+    if some.num_rows == 0:
+        return bank.sparkSession.createDataFrame([], schema)
+    if some.num_rows <= most:
+        shared = bank.sparkSession.sparkContext.broadcast(columns(some, {}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = len(shared.value["query_id"])
+            for batch in batches:
+                if batch.num_rows:
+                    rows = columns(batch, {})
+                    for at in range(0, n, QUERY_BLOCK):
+                        yield best(rows_of(shared.value, slice(at, at + QUERY_BLOCK)), rows)
+
+        partial = bank.mapInArrow(run, schema)
+    else:
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, q in zip(batch.column("rows"), batch.column("block"), strict=True):
+                    yield best(_unpacked(q.as_py()), _unpacked(rows.as_py()))
+
+        partial = _packed(bank, 4 * ROW_BLOCK).withColumnRenamed("blob", "rows").crossJoin(_packed(queries, QUERY_BLOCK).withColumnRenamed("blob", "block")).mapInArrow(meet, schema)
+    merged = F.max("score") if higher else F.min("score")
+    return partial.groupBy("query_id", "group_id").agg(merged.alias("score"))

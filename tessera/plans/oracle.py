@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-COS = "(SELECT vec_id AS row_id, embedding AS vec, label FROM embeddings)"
+COS = "(SELECT vec_id AS row_id, list_transform(embedding, lambda x: (x * (1::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT)::FLOAT) AS vec, label FROM embeddings)"
 SCALED = "(SELECT vec_id AS row_id, list_transform(embedding, lambda x: (x * (1 + label)::FLOAT)::FLOAT) AS vec, label FROM embeddings)"
 BANKS = {"cos": COS, "dot": SCALED, "l2": SCALED}
 CHANNELS = ((0, 16), (16, 16), (32, 16), (48, 16))
