@@ -5,21 +5,24 @@ several values name buckets; sets that share one are candidates. Of each other p
 which rejects candidates that lie far below the threshold (six standard deviations), before sets are compared in full.
 
 A bucket's members are not paired with each other. A round compares each member with a few pivots of the bucket; what
-links shares a component. What then still meets members of other components goes through an exact prefix filter: under
-any order of elements, two sets of similarity t share one of the first n - ceil(t * n) + 1 elements of each. The order
-puts elements of rare hash buckets first, so sets that share a frequent passage alone do not meet. No link between
-components is lost.
+links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
+elements are put in order: those that no other component holds, which no link between components can share, then the
+rest by how many sets hold them. The first element that two sets share bounds their overlap by what follows it in either,
+so it must lie early in both; how early depends on the sizes, and classes of sizes are part of the join's key. Sets that
+share a frequent passage alone, or differ in enough elements of their own, do not meet. No link between components is
+lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import sqrt
+from math import log, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, mix, release
 
@@ -79,48 +82,43 @@ class Scheme:
 
 #: Pivots a bucket in each round, before the prefix filter does the rest.
 ROUNDS = (1, 16)
-#: Hash buckets of elements, whose counts order them; the result does not depend on it.
-ORDER_BUCKETS = 1 << 17
+#: Ids (8 bytes) that are broadcast, and rows of a few numbers; more are joined by shuffle.
+BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 200_000
+#: Sets of one class differ in size by this factor at most.
+SIZE_CLASS = 1.05
 
 
-def _bucket_counts(content: DataFrame) -> np.ndarray:
-    """How many elements of the sets fall into each hash bucket."""
-    import pyarrow as pa
+def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` (a written table), to be broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    def count(batches):
-        total = np.zeros(ORDER_BUCKETS, np.int64)
-        for batch in batches:
-            values = batch.column("set").flatten().to_numpy().view(np.uint64)
-            total += np.bincount((values >> np.uint64(47)).astype(np.int64), minlength=ORDER_BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    found = content.select("set").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(ORDER_BUCKETS, np.int64)
-    out[found["bucket"]] = found["n"]
-    return out
+def _postings(content: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """(id, token, at) of the elements that a link between components can be found by; ``at`` elements precede it."""
+    tokens = content.join(rest.select("id", "comp"), "id").select("id", "comp", F.explode("set").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("_df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    shared = materialize(held.where("_lo < _hi").select("token", "_df"), "shared")
+    own = Window.partitionBy("id")
+    listed = tokens.join(shared, "token").select("id", "token", F.row_number().over(own.orderBy("_df", "token")).alias("_k"), F.count("*").over(own).alias("_of"))
+    placed = listed.join(rest, "id").withColumn("at", F.col("n") - F.col("_of") + F.col("_k") - 1)
+    return placed.where(100 * (F.col("n") - F.col("at")) >= percent * F.col("n")).drop("_k", "_of")
 
 
-def _prefixes(content: DataFrame, percent: int) -> DataFrame:
-    """(id, token) of each set's first n - ceil(percent * n / 100) + 1 elements, those of rare buckets first."""
-    import pyarrow as pa
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / log(SIZE_CLASS)).cast("int")
 
-    counts = _bucket_counts(content)
 
-    def run(batches):
-        for batch in batches:
-            sets = batch.column("set")
-            offsets = sets.offsets.to_numpy().astype(np.int64)
-            values = sets.values.to_numpy().view(np.uint64)
-            ids, out = batch.column("id").to_numpy(), []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                v = values[a:b]
-                keep = len(v) + (-percent * len(v)) // 100 + 1
-                out.append(v[np.lexsort((v, counts[(v >> np.uint64(47)).astype(np.int64)]))[:keep]])
-            flat = np.concatenate(out) if out else values[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in out])), pa.array(flat.view(np.int64))], names=["id", "token"])
-
-    return content.mapInArrow(run, "id bigint, token bigint")
+def _meetings(posted: DataFrame, percent: int, side: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs of postings that may be the first element that a linked pair shares; x is the larger set."""
+    n, after = F.col("n"), (100 + percent) * (F.col("n") - F.col("at"))
+    smaller = posted.where(after >= 2 * percent * n).withColumn("class", _size_class(n))
+    lo, hi = F.ceil(percent * n / 100), F.least(n, F.floor(after / percent) - n)
+    larger = posted.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi and _hi > 0")
+    larger = larger.withColumn("class", F.explode(F.sequence(_size_class(F.greatest(F.col("_lo"), F.lit(1))), _size_class(F.col("_hi"))))).drop("_lo", "_hi")
+    both = side(smaller, "y").join(side(larger, "x"), (F.col("y_token") == F.col("x_token")) & (F.col("y_class") == F.col("x_class")))
+    least = percent * (F.col("x_n") + F.col("y_n"))
+    ordered = (F.col("y_n") < F.col("x_n")) | (F.col("y_n") == F.col("x_n")) & (F.col("y_id") < F.col("x_id"))
+    return both.where(ordered & ((100 + percent) * (F.col("x_n") - F.col("x_at")) >= least) & ((100 + percent) * (F.col("y_n") - F.col("y_at")) >= least))
 
 
 def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -132,12 +130,14 @@ def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Schem
     sketch = [f"s{i}" for i in range(scheme.sketch_words)]
     rows = items.select(F.explode("keys").alias("key"), "id")
     buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "buckets")
-    members = materialize(rows.join(buckets, "key").select("key", "id"), "members")
-    ids = members.select("id").distinct()
-    traits = materialize(items.select("id", "n", *sketch).join(ids, "id", "left_semi").dropDuplicates(["id"]), "traits")
-    content = materialize(sets(traits.select("id")).dropDuplicates(["id"]), "sets")
+    members = materialize(rows.join(few(buckets), "key").select("key", "id"), "members")
+    ids = materialize(members.select("id").distinct(), "ids")
+    traits = materialize(items.select("id", "n", *sketch).join(few(ids), "id", "left_semi").dropDuplicates(["id"]), "traits")
+    content = materialize(sets(few(ids)), "sets")
+    if not content.groupBy("id").count().where("count > 1").isEmpty():  # repeated rows; else no set moves
+        content = materialize(content.dropDuplicates(["id"]), "sets")
     release(buckets)
-    cand = materialize(members.join(traits, "id").select("key", "id", "n", *sketch), "candidates")
+    cand = materialize(members.join(few(traits, BROADCAST_ROWS), "id").select("key", "id", "n", *sketch), "candidates")
     release(members)
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -187,11 +187,8 @@ def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Schem
             settle(close(side(still, "y").join(some, "key").where(apart)))
             continue
         rest = materialize(still.drop("key").dropDuplicates(["id"]), "rest")
-        tokens = _prefixes(content.join(rest.select("id"), "id", "left_semi"), percent)
-        posted = materialize(tokens.join(rest, "id").withColumnRenamed("token", "key"), "prefixes")
-        shared = materialize(posted.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"), "shared")
-        posted = materialize(posted.join(shared, "key"), "postings")
-        settle(close(side(posted, "y").join(side(posted, "x"), "key").where(apart & (F.col("x_id") < F.col("y_id")))))
+        posted = materialize(_postings(content, rest, percent), "postings")
+        settle(close(_meetings(posted, percent, side).where(apart)))
     return labels, edges
 
 
