@@ -147,10 +147,12 @@ def distinct_per_text(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 
 
 def per_text_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums between offsets, 0 where nothing lies between."""
-    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums between offsets, 0 where nothing lies between; equal texts have equal sums wherever they lie."""
+    out = np.zeros(len(offsets) - 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    full = np.diff(offsets) > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full], dtype=out.dtype)
+    return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
