@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Bank, Channel, Metric, Quantization
-from .vectors import _fold, as_double, dequantized, dot_int, part
+from .vectors import _fold, as_double, dequantized, dot_int, let, part
 
 
 def max_abs(v: Column) -> Column:
@@ -21,30 +21,39 @@ def norm_squared(v: Column) -> Column:
 
 def inverse_norm(v: Column) -> Column:
     """float32 of 1 / |v|, 0 for a vector without energy."""
-    n = norm_squared(v)
-    return F.when(n > 0, F.lit(1.0) / F.sqrt(n)).otherwise(F.lit(0.0)).cast("float")
+    return let(norm_squared(v), lambda n: F.when(n > 0, F.lit(1.0) / F.sqrt(n)).otherwise(F.lit(0.0))).cast("float")
 
 
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
+def unit(v: Column) -> Column:
+    """The vector at unit length, one float32 product a lane; zeros stay."""
+    return let(v, lambda w: let(inverse_norm(w), lambda inv: F.transform(w, lambda x: x * inv)))
+
+
 def normalized(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """Rows of unit length: one float32 product a lane. The inverse is computed once a row."""
-    return df.withColumn("_inv", inverse_norm(F.col(vec))).withColumn(vec, F.transform(F.col(vec), lambda x: x * F.col("_inv"))).drop("_inv")
+    return df.withColumn(vec, unit(F.col(vec)))
+
+
+def _rounded(v: Column, inv: Column) -> Column:
+    return F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * inv))).cast("tinyint"))
 
 
 def quantized(df: DataFrame, vec: str = "vec") -> DataFrame:
     """q8 and scale instead of ``vec``: half-even rounding of v * (127 / max), in float32."""
-    top = max_abs(F.col(vec)).cast("float")
-    out = df.withColumn("_max", top).withColumn("_inv", F.when(F.col("_max") > 0, F.lit(127.0).cast("float") / F.col("_max")).otherwise(F.lit(0.0).cast("float")))
-    lane = lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * F.col("_inv")))).cast("tinyint")
-    return out.withColumn("q8", F.transform(F.col(vec), lane)).withColumn("scale", (F.col("_max") / F.lit(127.0).cast("float")).cast("float")).drop(vec, "_max", "_inv")
+    one, zero = F.lit(127.0).cast("float"), F.lit(0.0).cast("float")
+
+    def lanes(v: Column, top: Column) -> Column:
+        return let(F.when(top > 0, one / top).otherwise(zero), lambda inv: F.struct(_rounded(v, inv).alias("q8"), (top / one).cast("float").alias("scale")))
+
+    both = let(F.col(vec), lambda v: let(max_abs(v).cast("float"), lambda top: lanes(v, top)))
+    return df.withColumn("_both", both).withColumns({"q8": F.col("_both.q8"), "scale": F.col("_both.scale")}).drop(vec, "_both")
 
 
 def channel_inverse_norms(q8: Column, scale: Column, channels: tuple[Channel, ...]) -> Column:
-    lanes = dequantized(q8, scale)
-    return F.array(*[inverse_norm(part(lanes, c.offset, c.length)) for c in channels])
+    return let(dequantized(q8, scale), lambda lanes: F.array(*[inverse_norm(part(lanes, c.offset, c.length)) for c in channels]))
 
 
 def bake(rows: DataFrame, dims: int, metric: Metric, quantization: Quantization = Quantization.FLOAT32, channels: tuple[Channel, ...] = (), normalize: bool = True, validate: bool = False) -> Bank:
@@ -81,11 +90,14 @@ def rows_as_queries(bank: Bank, where: Column | str | None = None) -> DataFrame:
 
 def quantized_queries(queries: DataFrame) -> DataFrame:
     """Integer payloads (query_id, q8, q_scale, q_sq) of (query_id, q): everything in double."""
-    df = queries.select("query_id", as_double(F.col("q")).alias("_q")).withColumn("_max", max_abs(F.col("_q")))
-    df = df.withColumn("_inv", F.when(F.col("_max") > 0, F.lit(127.0) / F.col("_max")).otherwise(F.lit(0.0)))
-    lane = lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * F.col("_inv")))).cast("tinyint")
-    df = df.withColumn("q8", F.transform("_q", lane))
-    return df.select("query_id", "q8", (F.col("_max") / F.lit(127.0)).alias("q_scale"), dot_int(F.col("q8"), F.col("q8")).alias("q_sq"))
+    one = F.lit(127.0)
+
+    def lanes(v: Column, top: Column) -> Column:
+        return let(F.when(top > 0, one / top).otherwise(F.lit(0.0)), lambda inv: F.struct(_rounded(v, inv).alias("q8"), (top / one).alias("q_scale")))
+
+    both = let(as_double(F.col("q")), lambda v: let(max_abs(v), lambda top: lanes(v, top)))
+    df = queries.select("query_id", both.alias("_both")).select("query_id", "_both.q8", "_both.q_scale")
+    return df.select("query_id", "q8", "q_scale", let(F.col("q8"), lambda v: dot_int(v, v)).alias("q_sq"))
 
 
 def rows_as_payloads(bank: Bank) -> DataFrame:

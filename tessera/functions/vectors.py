@@ -16,6 +16,12 @@ def _fold(values: Column, kind: str = "double") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda acc, x: acc + x)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with ``value`` evaluated once. The optimizer puts a column's expression where its name stands: one that is
+    named twice would be copied, and one named in a lambda would be evaluated anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _fold(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y))
 
@@ -34,11 +40,11 @@ def part(v: Column, offset: int, length: int) -> Column:
 
 def dequantized(q8: Column, scale: Column) -> Column:
     """float32 lanes of an int8 row."""
-    return F.transform(q8, lambda x: x.cast("float") * scale)
+    return let(scale, lambda s: F.transform(q8, lambda x: x.cast("float") * s))
 
 
 def scaled_double(q8: Column, scale: Column) -> Column:
-    return F.transform(q8, lambda x: x.cast("double") * scale.cast("double"))
+    return let(scale.cast("double"), lambda s: F.transform(q8, lambda x: x.cast("double") * s))
 
 
 def floor_to_float(score: Column) -> Column:

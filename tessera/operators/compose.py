@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bake import half_even_quotient, inverse_norm, max_abs
-from ..functions.vectors import dequantized, dot_int
+from ..functions.vectors import dequantized, dot_int, let
 from ..model import Bank, Metric
 
 
@@ -33,8 +33,8 @@ def _gathered(lanes: DataFrame, name: str = "q") -> DataFrame:
 def _unit(queries: DataFrame, metric: Metric) -> DataFrame:
     if metric is not Metric.COSINE:
         return queries
-    inv = queries.withColumn("_inv", inverse_norm(F.col("q")))
-    return inv.select("query_id", F.when(F.col("_inv") > 0, F.transform("q", lambda x: x * F.col("_inv"))).alias("q"))
+    q = let(F.col("q"), lambda v: let(inverse_norm(v), lambda inv: F.when(inv > 0, F.transform(v, lambda x: x * inv))))
+    return queries.select("query_id", q.alias("q"))
 
 
 def direction(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def pooled(bank: Bank, rows: DataFrame, offset: int = 0, length: int | None = No
     lanes = scaled.select("query_id", "_m", F.posexplode("_lanes").alias("pos", "_x")).groupBy("query_id", "pos").agg(F.sum(F.col("_x").cast("bigint") * F.col("_m")).alias("x"))
     whole = _gathered(lanes, "_acc").join(top, "query_id").withColumn("_most", F.coalesce(max_abs(F.col("_acc")).cast("bigint"), F.lit(0).cast("bigint")))
     den = F.greatest(F.col("_most"), F.lit(1).cast("bigint"))
-    q8 = F.transform("_acc", lambda x: half_even_quotient(x * F.lit(127).cast("bigint"), den).cast("tinyint"))
+    q8 = let(den, lambda most: F.transform("_acc", lambda x: half_even_quotient(x * F.lit(127).cast("bigint"), most).cast("tinyint")))
     scale = (F.col("_most").cast("double") / (F.col("_weights").cast("double") * 127.0)) * F.col("_top") * F.lit(2.0**-24)
     out = whole.select("query_id", q8.alias("q8"), scale.alias("q_scale"), F.col("_most"))
     if not zero_as_zeros:

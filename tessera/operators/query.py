@@ -6,6 +6,7 @@ Two strategies give equal results: ``columns`` (a broadcast of the queries and c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -181,18 +182,26 @@ def scorer(bank: Bank, plan: Plan) -> block.Scorer:
             total = 0.0
             for offset, length, weight, channel in parts:
                 total = total + weight * one(q, b, offset, length, channel)
-        if exact:
-            total = _floor(total)
+        return _floor(total) if exact else total
+
+    return score
+
+
+def _biased(exact: bool) -> Callable[[np.ndarray, dict], np.ndarray]:
+    """Adds the bias of the rows that have one."""
+
+    def add(total: np.ndarray, b: dict) -> np.ndarray:
         if "_bias" in b:
-            add = b["_bias"].astype(np.float64)
-            has = ~np.isnan(add)
-            total[:, has] = _floor(total[:, has] + add[has]) if exact else total[:, has] + add[has]
+            bias = b["_bias"].astype(np.float64)
+            has = ~np.isnan(bias)
+            total[:, has] = _floor(total[:, has] + bias[has]) if exact else total[:, has] + bias[has]
         return total
 
-    return score
+    return add
 
 
-def _block_hits(bank: Bank, queries: DataFrame, spec: QuerySpec, plan: Plan) -> DataFrame:
+def _block_rows(bank: Bank, spec: QuerySpec, plan: Plan) -> DataFrame:
+    """What a block scan reads of the bank: rows that are not excluded, with their bias."""
     rows = bank.df if spec.exclude is None else bank.df.where(~_predicate(spec.exclude))
     used = ["row_id", *(("q8", "scale") if bank.is_int8 else ("vec",))]
     if any(p[3] is not None for p in plan.parts):
@@ -202,8 +211,12 @@ def _block_hits(bank: Bank, queries: DataFrame, spec: QuerySpec, plan: Plan) ->
         bias = spec.bias.select("row_id", F.col("bias").cast("double").alias("_bias"))
         bias = F.broadcast(bias) if bias.limit(BROADCAST_BIAS + 1).count() <= BROADCAST_BIAS else bias
         rows = rows.join(bias, "row_id", "left")
-    q = prepared(bank, queries, plan)
-    hits = block.scan(rows, q, scorer(bank, plan), spec.k, plan.metric.higher_is_better, spec.exclude_self, 8 * bank.dims)
+    return rows
+
+
+def _block_hits(bank: Bank, queries: DataFrame, spec: QuerySpec, plan: Plan) -> DataFrame:
+    one, add = scorer(bank, plan), _biased(plan.exact_int)
+    hits = block.scan(_block_rows(bank, spec, plan), prepared(bank, queries, plan), lambda q, b: add(one(q, b), b), spec.k, plan.metric.higher_is_better, spec.exclude_self, 8 * bank.dims)
     return hits.withColumn("score", F.col("score").cast("float")) if plan.exact_int else hits
 
 
@@ -260,7 +273,12 @@ def query_intersect(bank: Bank, queries: DataFrame, spec: QuerySpec | None = Non
         return _none(bank).drop("query_id")
     if validate:
         validate_queries(bank, queries, spec.segments)
-    metric = spec.metric(bank)
+    metric, plan = spec.metric(bank), resolve(bank, spec)
+    if spec.strategy != "columns":
+        hits = block.fused_scan(_block_rows(bank, spec, plan), prepared(bank, queries, plan), scorer(bank, plan), _biased(plan.exact_int), spec.k, metric.higher_is_better, 8 * bank.dims)
+        if hits is not None:
+            hits = hits.withColumn("score", F.col("score").cast("float")) if plan.exact_int else hits
+            return ranked(hits, metric, spec.k).drop("query_id")
     scored = all_scores(bank, queries, replace(spec, bias=None))
     worst = F.min("score") if metric.higher_is_better else F.max("score")
     fused = scored.groupBy("row_id").agg(worst.alias("score")).withColumn("query_id", F.lit(0).cast("bigint"))

@@ -135,6 +135,33 @@ def _broadcast_scan(bank: DataFrame, queries: dict | None, scorer: Scorer, k: in
     return bank.mapInArrow(run, HITS)
 
 
+def fused_scan(bank: DataFrame, queries: DataFrame, scorer: Scorer, finish: Callable[[np.ndarray, dict], np.ndarray], k: int, higher: bool, bytes_a_query: int) -> DataFrame | None:
+    """The k best rows of each partition by the worst of their scores under all queries, as (query_id 0, row_id, score).
+
+    ``finish`` takes the fused scores. A row meets all queries in one task, so nothing but hits is shuffled. None if the
+    queries are too many to be broadcast."""
+    most = max(1, BROADCAST_BYTES // max(1, bytes_a_query))
+    some = queries.limit(most + 1).toArrow()
+    if some.num_rows > most:
+        return None
+    shared = bank.sparkSession.sparkContext.broadcast(columns(some, {}))
+    worst, both = (np.min, np.minimum) if higher else (np.max, np.maximum)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, n = TopK(1, k, higher), len(shared.value["query_id"])
+        for batch in batches:
+            rows = columns(batch, {}) if batch.num_rows else {"row_id": ()}
+            for at in range(0, len(rows["row_id"]), ROW_BLOCK):
+                part, fused = rows_of(rows, slice(at, at + ROW_BLOCK)), None
+                for q in range(0, n, QUERY_BLOCK):
+                    now = worst(scorer(rows_of(shared.value, slice(q, q + QUERY_BLOCK)), part), axis=0, keepdims=True)
+                    fused = now if fused is None else both(fused, now)
+                top.push(finish(fused, part), part["row_id"])
+        yield top.hits(np.zeros(1, np.int64))
+
+    return bank.mapInArrow(run, HITS)
+
+
 def _packed(df: DataFrame, rows: int) -> DataFrame:
     """Batches of ``df`` as single rows (blob): the Arrow stream of each."""
 

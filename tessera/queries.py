@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -85,8 +86,6 @@ BIAS = "(label - 4.5) / 8"
 
 def _top(metric: str, int8: bool, spec: QuerySpec, channels: tuple[Channel, ...] = (), bias: bool = False, by_query: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from dataclasses import replace
-
         b, s = bank(spark, sf_dir, metric, int8, channels), spec
         if bias:
             pairs = b.df.select("row_id", F.expr(BIAS).cast("float").alias("bias"))
@@ -127,7 +126,6 @@ _add("topk_excluded", _top("l2", False, QuerySpec(k=K, exclude="label >= 7")), o
 _add("topk_bias_f32", _top("dot", False, SELF, bias=True), o.top(o.scored(o.BANKS["dot"], o.query_set(o.BANKS["dot"], ASKED), f"{o.dot('q.q', 'b.vec')} + ({BIAS})::FLOAT::DOUBLE"), True))
 _b8, _q8 = _xd("l2")
 _add("topk_bias_xd", _top("l2", True, XD, bias=True), o.top(o.scored(_b8, _q8, o.floor(f"({o.xd_score('l2')}::DOUBLE + ({BIAS})::FLOAT::DOUBLE)")), False))
-_own = f"CASE WHEN b.label = (SELECT any_value(e.label) FROM embeddings e WHERE e.vec_id = q.query_id) THEN -0.75::DOUBLE ELSE 0::DOUBLE END"
 _add("topk_bias_by_query", _top("l2", False, SELF, bias=True, by_query=True), o.top(o.scored(_l2, f"(SELECT s.*, e.label AS own FROM {_l2q} s JOIN embeddings e ON e.vec_id = s.query_id)", f"{o.l2('q.q', 'b.vec')} + (CASE WHEN b.label = q.own THEN -0.75::DOUBLE ELSE 0::DOUBLE END)"), False))
 
 
@@ -509,8 +507,6 @@ _add("scratch_retained", lambda s, d: _scratch(s, d, "retained").retained_mismat
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import asdict
-
     made = _scratch(spark, sf_dir, "recall")
     reports = [asdict(made.recall(K)) | {"channel": -1}, *(asdict(made.recall(K, channel=c)) | {"channel": c} for c in range(len(CHANNELS)))]
     return spark.createDataFrame(reports, "channel int, recall double, k int, sample_count int, live_rows bigint, seed bigint, generation bigint, informative boolean")

@@ -19,9 +19,9 @@ def connect(sf_dir: str):
 def _sorted(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if df[c].dtype.kind in "iu":
+        if df[c].dtype.kind in "iu" and not df[c].hasnans:
             df[c] = df[c].astype("int64")
-        if df[c].dtype.kind == "f":
+        if df[c].dtype.kind == "f" or df[c].hasnans and df[c].dtype.kind in "iu":
             df[c] = df[c].astype("float64")
     return df.sort_values(list(df.columns), ignore_index=True)
 
