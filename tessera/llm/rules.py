@@ -24,7 +24,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_CHAR = ~_BLANK & ((np.arange(256) & 0xC0) != 0x80)
+_CHAR_START = (np.arange(256) & 0xC0) != 0x80
+_CHAR = ~_BLANK & _CHAR_START
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 

@@ -3,6 +3,11 @@
 Paragraphs are lines of ``MIN_WORDS`` words or more. Their sets of distinct 5-word shingles link at a Jaccard similarity
 of 0.8. A component that spans several documents repeats; runs of neighbouring repeating paragraphs that have
 ``RUN_WORDS`` words or more in all are passages. All but the first document's occurrences are removals.
+
+A passage inside a longer line is no paragraph. Such passages are found by winnowing: of every ``SPAN`` consecutive
+windows of ``WINDOW`` words a text keeps the one of the least hash, so texts that share ``WINDOW + SPAN - 1`` = 51 words
+share a kept window, wherever it lies. Kept windows of several documents, joined where they follow one another, are
+passages too; they share ``WINDOW`` words at least.
 """
 
 from __future__ import annotations
@@ -16,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import distinct_per_text, materialize, shingles, slices, word_hashes
+from .common import distinct_per_text, materialize, mix, release, shingles, slices, text_bytes, word_hashes
+from .rules import _BLANK, _CHAR_START
 from .lsh import Scheme, link
 
 #: A pair at 0.8 shares no bucket with a chance of 1 in 1,300, at 0.9 with 1 in 460,000; equal paragraphs always meet.
 SCHEME = Scheme(rows=3, bands=10, sketch_words=1)
 MIN_WORDS, RUN_WORDS, SHINGLE = 10, 50, 5
+WINDOW, SPAN = 16, 36
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -53,13 +62,78 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFram
     return source.mapInArrow(run, f"doc bigint, para int, start int, `end` int, words int, {SCHEME.fields}")
 
 
+def winnow(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the windows that the texts keep; ``word`` counts through all texts. Texts of fewer than
+    ``WINDOW + SPAN - 1`` words keep none."""
+    n = len(hashes) - WINDOW + 1
+    if n < SPAN:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    power, back = np.full(len(hashes), _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    power[0] = back[0] = 1
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * np.multiply.accumulate(power), out=total[1:])
+    value = mix((total[WINDOW:] - total[:-WINDOW]) * np.multiply.accumulate(back))
+    low = np.uint64(max(26, n.bit_length()))  # the place, which also parts equal windows
+    least = (value >> low << low) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    first = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = first[: len(least)] == first[WINDOW + SPAN - 2 :][: len(least)]
+    at = np.unique((least[inside] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64))
+    return at, value[at]
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, pos (word), start, end (code points) and h of the windows that documents keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            texts = batch.column("_text")
+            hashes, offsets = word_hashes(texts, lower=True)
+            at, value = winnow(hashes, offsets)
+            raw, edge = text_bytes(texts)
+            full = np.concatenate([~_BLANK[raw], [False]])
+            left, right = full[:-1].copy(), full[:-1].copy()
+            left[1:] &= ~full[:-2]
+            right &= ~full[1:]
+            cut = edge[1:-1]
+            cut = cut[(cut > 0) & (cut < len(raw))]
+            left[cut] |= full[cut]
+            right[cut - 1] |= full[cut - 1]
+            chars = np.concatenate([[0], np.cumsum(_CHAR_START[raw])])
+            text = np.searchsorted(offsets, at, "right") - 1
+            zero = chars[edge[text]]
+            start, end = chars[np.flatnonzero(left)[at]] - zero, chars[np.flatnonzero(right)[at + WINDOW - 1] + 1] - zero
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (at - offsets[text], start, end)), pa.array(value.view(np.int64))], names=["doc", "pos", "start", "end", "h"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).where("id is not null")
+    return source.mapInArrow(run, "doc bigint, pos int, start int, `end` int, h bigint")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages by kept windows: id_col, start, end, words, component_id (the least hash), first_doc, kept."""
+    kept = materialize(_windows(docs, id_col, text_col), "windows")
+    held = kept.groupBy("h").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).where("first_doc < _last").select("h", "first_doc")
+    marked = materialize(kept.join(held, "h"), "repeats")
+    release(kept)
+    by_doc = Window.partitionBy("doc").orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(by_doc) > SPAN, F.lit(True))
+    runs = marked.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(by_doc))
+    first = F.min("first_doc")
+    return runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") + WINDOW - F.min("pos")).alias("words"), F.min("h").alias("component_id"), first.alias("first_doc"), F.bool_and(F.col("first_doc") == F.col("doc")).alias("kept")).drop("_run").withColumnRenamed("doc", id_col)
+
+
 def repeated_passages(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The paragraphs of passages that repeat across documents: id_col, para, start, end (code points), words,
-    component_id, first_doc, kept.
+    """The passages that repeat across documents: id_col, para, start, end (code points), words, component_id, first_doc,
+    kept; ``para`` is null for a passage found by windows, which may lie inside a line or span several.
 
     ``kept`` is true in the document of the least id. Null ids, null and empty texts, and short lines give no rows;
     repeated rows of one id count as one document; an empty table gives no rows; other columns are ignored.
     """
+    inside = materialize(repeated_windows(docs, id_col, text_col), "inside")
     signed = materialize(_signed(docs, id_col, text_col, min_words), "paragraphs")
     # one paragraph of each set, by its 128-bit fingerprint; f1 names it from here on
     distinct = signed.groupBy("f1").agg(*[F.first(c).alias(c) for c in SCHEME.names if c != "f1"], F.min("doc").alias("_doc"))
@@ -94,4 +168,5 @@ def repeated_passages(docs: DataFrame, percent: int = 80, min_words: int = MIN_W
     by_doc = Window.partitionBy("doc").orderBy("para")
     marked = marked.repartition("doc").dropDuplicates(["doc", "para"]).withColumn("_island", F.sum(F.col("first_doc").isNull().cast("int")).over(by_doc))
     runs = marked.where("first_doc is not null").withColumn("_run", F.sum("words").over(Window.partitionBy("doc", "_island"))).where(F.col("_run") >= run_words)
-    return runs.select(F.col("doc").alias(id_col), "para", "start", "end", "words", F.col("comp").alias("component_id"), "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))
+    by_para = runs.select(F.col("doc").alias(id_col), "para", "start", "end", "words", F.col("comp").alias("component_id"), "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))
+    return by_para.unionByName(inside.withColumn("para", F.lit(None).cast("int")))

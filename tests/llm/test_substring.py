@@ -47,7 +47,8 @@ def passages(docs: list[tuple], percent: int = 80) -> set[tuple[int, int]]:
 
 
 def test_query(spark, sf, documents):
-    rows = op6_substring_dedup(spark, sf).collect()
+    found = op6_substring_dedup(spark, sf).collect()
+    rows = [r for r in found if r["para"] is not None]
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
     want = passages([*text.items()])
     got = {(r["doc_id"], r["para"]) for r in rows}
@@ -57,6 +58,48 @@ def test_query(spark, sf, documents):
         assert r["kept"] == (r["doc_id"] == r["first_doc"])
 
 
+    windows([*text.items()], [r for r in found if r["para"] is None])
+
+
+def windows(docs: list[tuple], rows) -> None:
+    """Passages by windows repeat at both ends, and a document that shares 51 words with another has one there."""
+    w = {i: [(m.start(), m.end(), brute.lower(m.group())) for m in brute.WORD.finditer(t or "")] for i, t in docs}
+    short, long = defaultdict(set), defaultdict(set)
+    for i, listed in w.items():
+        words = [x[2] for x in listed]
+        for n, seen in ((substring.WINDOW, short), (51, long)):
+            for k in range(len(words) - n + 1):
+                seen[tuple(words[k : k + n])].add(i)
+    by_doc = defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append((r["start"], r["end"]))
+        listed = w[r["doc_id"]]
+        inside = [x[2] for x in listed if r["start"] <= x[0] and x[1] <= r["end"]]
+        assert len(inside) == r["words"]
+        for end in (inside[: substring.WINDOW], inside[-substring.WINDOW :]):
+            assert len(short[tuple(end)]) > 1
+    for i, listed in w.items():
+        words = [x[2] for x in listed]
+        for k in range(len(words) - 50):
+            if len(long[tuple(words[k : k + 51])]) > 1:
+                a, b = listed[k][0], listed[k + 50][1]
+                assert any(s < b and a < e for s, e in by_doc[i])
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(5)
+    docs = [(i, sentence(rng, 150)) for i in range(40)]
+    passage = sentence(rng, 51)
+    for i in (4, 9, 30):
+        words = docs[i][1].split()
+        at = rng.randrange(150)
+        docs[i] = (i, " ".join([*words[:at], "Ü é", passage.upper() if i == 9 else passage, *words[at:]]))
+    text = dict(docs)
+    rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["kept"], r["first_doc"]) for r in rows} == {(4, True, 4), (9, False, 4), (30, False, 4)}
+    assert all(brute.lower(text[r["doc_id"]][r["start"] : r["end"]]) in passage for r in rows)
+
+
 def test_planted_passages(spark):
     rng = random.Random(1)
     passage = sentence(rng, 60)
@@ -75,5 +118,5 @@ def test_planted_passages(spark):
 def test_edges(messy, empty):
     rows = substring.repeated_passages(messy).collect()
     assert {r["doc_id"] for r in rows} == {5, 6, 7, 8, 10**12}
-    assert len(rows) == 5
+    assert len(rows) == 10
     assert substring.repeated_passages(empty).count() == 0
