@@ -4,8 +4,8 @@ Each permutation gives two values of a set, its minimum and its maximum, for one
 several values name buckets; sets that share one are candidates. Of each other pair's 1-bit values a sketch is kept,
 which rejects candidates that lie far below the threshold (six standard deviations), before sets are compared in full.
 
-A bucket's members are not paired with each other. A round compares each member with a few pivots of the bucket; what
-links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
+A bucket's members are not paired with each other. Each is compared with the bucket's least member, and in a second round
+with a few others; what links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
 elements are put in order: those that no other component holds, which no link between components can share, then the
 rest by how many sets hold them. The first element that two sets share bounds their overlap by what follows it in either,
 so it must lie early in both; how early depends on the sizes, and classes of sizes are part of the join's key. Sets that
@@ -80,8 +80,8 @@ class Scheme:
         return [pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64))), *(pa.array(spread[:, i].copy().view(np.int64)) for i in range(self.sketch_words))]
 
 
-#: Pivots a bucket in each round, before the prefix filter does the rest.
-ROUNDS = (1, 16)
+#: Members of a bucket that the others are compared with in the second round.
+PIVOTS = 16
 #: Ids (8 bytes) that are broadcast, and rows of a few numbers; more are joined by shuffle.
 BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 200_000
 #: Sets of one class differ in size by this factor at most.
@@ -156,39 +156,34 @@ def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Schem
         common = F.size(F.array_intersect("_sa", "_sb"))
         return both.select("a", "b", (100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).alias("linked"))
 
-    def settle(pairs: DataFrame) -> bool:
-        """Verify pairs that no round has seen; False if none of them links."""
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs, and find the components again if one links."""
         nonlocal labels, edges
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        checked = materialize(verified(materialize(pairs, "pairs")), "checked")
-        tested.append(checked.select("a", "b"))
-        found = checked.where("linked").select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
+        found = materialize(verified(materialize(pairs, "pairs")).where("linked").select("a", "b"), "links")
         if labels is not None and found.isEmpty():
-            return False
+            return
+        edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
-        return True
 
-    tested, labels, edges = [], None, None
+    labels, edges = None, None
     least = materialize(cand.groupBy("key").agg(F.min("id").alias("x_id")), "pivots")
     settle(close(side(cand, "y").join(least.join(side(traits, "x"), "x_id"), "key").where("x_id <> y_id")))
-    for pivots in (*ROUNDS[1:], None):
+
+    def still() -> DataFrame:
+        """Members of the buckets that hold several components."""
         now = materialize(cand.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
         mixed = materialize(now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"), "open")
-        still = materialize(now.join(mixed, "key"), "still")
-        if still.isEmpty():
-            break
-        apart = F.col("x_comp") != F.col("y_comp")
-        if pivots is not None:
-            slot = F.pmod(F.xxhash64("id"), F.lit(pivots))
-            chosen = materialize(still.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("x_id")).select("key", "x_id"), "pivots")
-            some = chosen.join(side(still.drop("key").dropDuplicates(["id"]), "x"), "x_id")
-            settle(close(side(still, "y").join(some, "key").where(apart)))
-            continue
-        rest = materialize(still.drop("key").dropDuplicates(["id"]), "rest")
+        return now.join(mixed, "key", "left_semi")
+
+    open_ = materialize(still(), "still")
+    slot = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+    more = open_.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("x_id")).join(least.withColumnRenamed("x_id", "_first"), "key").where("x_id <> _first")
+    some = materialize(more.select("key", "x_id"), "pivots").join(side(open_.drop("key").dropDuplicates(["id"]), "x"), "x_id")
+    settle(close(side(open_, "y").join(some, "key").where(F.col("x_comp") != F.col("y_comp"))))
+    rest = materialize(still().drop("key").dropDuplicates(["id"]), "rest")
+    if not rest.isEmpty():
         posted = materialize(_postings(content, rest, percent), "postings")
-        settle(close(_meetings(posted, percent, side).where(apart)))
+        settle(close(_meetings(posted, percent, side).where(F.col("x_comp") != F.col("y_comp"))))
     return labels, edges
 
 
