@@ -45,7 +45,8 @@ def test_segments_are_the_maximal_ones(marks):
             total = 0.0
             for b in range(a, hi):
                 total += value[b]
-                if total > 0 and (found is None or total > found[2] + 1e-9):
+                shorter = found is not None and b + 1 - a < found[1] - found[0]  # no part of a segment scores as much as it
+                if total > 0 and (found is None or total > found[2] + 1e-9 or total > found[2] - 1e-9 and shorter):
                     found = (a, b + 1, total)
         return found
 
