@@ -4,10 +4,11 @@ Paragraphs are lines of ``MIN_WORDS`` words or more. Their sets of distinct 5-wo
 of 0.8. A component that spans several documents repeats; runs of neighbouring repeating paragraphs that have
 ``RUN_WORDS`` words or more in all are passages. All but the first document's occurrences are removals.
 
-A passage inside a longer line is no paragraph. Such passages are found by winnowing: of every ``SPAN`` consecutive
-windows of ``WINDOW`` words a text keeps the one of the least hash, so texts that share ``WINDOW + SPAN - 1`` = 51 words
-share a kept window, wherever it lies. Kept windows of several documents, joined where they follow one another, are
-passages too; they share ``WINDOW`` words at least.
+A passage inside a longer line is no paragraph. Such passages are the maximal runs whose every ``RUN_WORDS`` consecutive
+words (a stretch) another document holds too. They are found by winnowing: each stretch has a seed, of its ``SPAN`` windows
+of ``WINDOW`` words the one of the least hash, so equal stretches have equal seeds at equal places. A seed's neighbourhood
+is the words of all stretches that it stands for. If all documents with a seed agree in its neighbourhood, they share all its
+stretches; else its stretches are compared one by one, by a hash of all their words.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql.window import Window
 
 from .common import distinct_per_text, materialize, mix, release, shingles, slices, text_bytes, word_hashes
 from .rules import _BLANK, _CHAR_START
-from .lsh import Scheme, link
+from .lsh import Scheme, few, link
 
 #: A pair at 0.8 shares no bucket with a chance of 1 in 1,300, at 0.9 with 1 in 460,000; equal paragraphs always meet.
 SCHEME = Scheme(rows=3, bands=10, sketch_words=1)
 MIN_WORDS, RUN_WORDS, SHINGLE = 10, 50, 5
-WINDOW, SPAN = 16, 36
+WINDOW = 16
+SPAN = RUN_WORDS - WINDOW + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,17 +64,19 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFram
     return source.mapInArrow(run, f"doc bigint, para int, start int, `end` int, words int, {SCHEME.fields}")
 
 
-def winnow(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of the windows that the texts keep; ``word`` counts through all texts. Texts of fewer than
-    ``WINDOW + SPAN - 1`` words keep none."""
+def winnow(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The seeds of all stretches: word and hash of each seed, the first and the number of the stretches that it stands for,
+    a hash of its neighbourhood, and the hashes of all stretches by their first words. Words count through all texts; a text
+    of fewer than ``RUN_WORDS`` words has no seed."""
     n = len(hashes) - WINDOW + 1
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (*(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64)), np.zeros(0, np.uint64))
     power, back = np.full(len(hashes), _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     power[0] = back[0] = 1
+    back = np.multiply.accumulate(back)
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * np.multiply.accumulate(power), out=total[1:])
-    value = mix((total[WINDOW:] - total[:-WINDOW]) * np.multiply.accumulate(back))
+    value = mix((total[WINDOW:] - total[:-WINDOW]) * back)
     low = np.uint64(max(26, n.bit_length()))  # the place, which also parts equal windows
     least = (value >> low << low) | np.arange(n, dtype=np.uint64)
     width = 1
@@ -80,50 +84,108 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         step = min(width, SPAN - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    first = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = first[: len(least)] == first[WINDOW + SPAN - 2 :][: len(least)]
-    at = np.unique((least[inside] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64))
-    return at, value[at]
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = np.flatnonzero(text[: len(least)] == text[RUN_WORDS - 1 :])
+    owner = (least[inside] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    edge = np.flatnonzero(np.diff(owner, prepend=-1))  # seeds do not move backwards
+    at, first, count = owner[edge], inside[edge], np.diff(edge, append=len(owner))
+    around = mix((total[first + count - 1 + RUN_WORDS] - total[first]) * back[first])
+    around = mix(around ^ mix(((at - first) * RUN_WORDS + count).astype(np.uint64)))
+    return at, value[at], first, count, around, mix((total[RUN_WORDS:] - total[:-RUN_WORDS]) * back[: len(least)])
+
+
+def _edges(texts: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First code point, and the one past the last, of all words within their texts."""
+    raw, edge = text_bytes(texts)
+    full = np.concatenate([~_BLANK[raw], [False]])
+    left, right = full[:-1].copy(), full[:-1].copy()
+    left[1:] &= ~full[:-2]
+    right &= ~full[1:]
+    cut = edge[1:-1]
+    cut = cut[(cut > 0) & (cut < len(raw))]
+    left[cut] |= full[cut]
+    right[cut - 1] |= full[cut - 1]
+    chars = np.concatenate([[0], np.cumsum(_CHAR_START[raw])])
+    zero = np.repeat(chars[edge[:-1]], np.diff(offsets))
+    return chars[np.flatnonzero(left)] - zero, chars[np.flatnonzero(right) + 1] - zero
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, v and _text; ``v`` parts the texts of an id that has several."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("v"), F.col(text_col).alias("_text")).where("doc is not null")
+
+
+def _seeds(source: DataFrame) -> DataFrame:
+    """doc, v, pos (word), h, c (of the neighbourhood), a and b (the first and the last stretch, by their first words), start
+    and end (code points of the neighbourhood) of all seeds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            hashes, offsets = word_hashes(batch.column("_text"), lower=True)
+            at, value, first, count, around, _ = winnow(hashes, offsets)
+            left, right = _edges(batch.column("_text"), offsets)
+            text = np.searchsorted(offsets, at, "right") - 1
+            last, zero = first + count - 1, offsets[text]
+            lead = [batch.column(c).take(pa.array(text)) for c in ("doc", "v")]
+            ints = [pa.array(x.astype(np.int32)) for x in (at - zero, first - zero, last - zero, left[first], right[last + RUN_WORDS - 1])]
+            yield pa.RecordBatch.from_arrays([*lead, *ints, pa.array(value.view(np.int64)), pa.array(around.view(np.int64))], names=["doc", "v", "pos", "a", "b", "start", "end", "h", "c"])
 
-def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, pos (word), start, end (code points) and h of the windows that documents keep."""
+    return source.mapInArrow(run, "doc bigint, v int, pos int, a int, b int, start int, `end` int, h bigint, c bigint")
+
+
+def _stretches(source: DataFrame) -> DataFrame:
+    """doc, v, pos, h, c, a and of each stretch of the seeds at ``_at`` its hash, start and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            texts = batch.column("_text")
-            hashes, offsets = word_hashes(texts, lower=True)
-            at, value = winnow(hashes, offsets)
-            raw, edge = text_bytes(texts)
-            full = np.concatenate([~_BLANK[raw], [False]])
-            left, right = full[:-1].copy(), full[:-1].copy()
-            left[1:] &= ~full[:-2]
-            right &= ~full[1:]
-            cut = edge[1:-1]
-            cut = cut[(cut > 0) & (cut < len(raw))]
-            left[cut] |= full[cut]
-            right[cut - 1] |= full[cut - 1]
-            chars = np.concatenate([[0], np.cumsum(_CHAR_START[raw])])
+            hashes, offsets = word_hashes(batch.column("_text"), lower=True)
+            at, value, first, count, around, each = winnow(hashes, offsets)
+            left, right = _edges(batch.column("_text"), offsets)
+            wanted = batch.column("_at")
+            asked = wanted.flatten().to_numpy() + np.repeat(offsets[:-1], np.diff(wanted.offsets.to_numpy()))
+            keep = np.flatnonzero(np.isin(at, asked))
+            at, value, first, count, around = at[keep], value[keep], first[keep], count[keep], around[keep]
             text = np.searchsorted(offsets, at, "right") - 1
-            zero = chars[edge[text]]
-            start, end = chars[np.flatnonzero(left)[at]] - zero, chars[np.flatnonzero(right)[at + WINDOW - 1] + 1] - zero
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (at - offsets[text], start, end)), pa.array(value.view(np.int64))], names=["doc", "pos", "start", "end", "h"])
+            ends = np.concatenate([[0], np.cumsum(count)])
+            of = np.repeat(first - ends[:-1], count) + np.arange(ends[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (each[of].view(np.int64), left[of].astype(np.int32), right[of + RUN_WORDS - 1].astype(np.int32))]
+            lead = [batch.column(c).take(pa.array(text)) for c in ("doc", "v")]
+            zero = offsets[text]
+            yield pa.RecordBatch.from_arrays([*lead, pa.array((at - zero).astype(np.int32)), pa.array((first - zero).astype(np.int32)), pa.array(value.view(np.int64)), pa.array(around.view(np.int64)), *lists], names=["doc", "v", "pos", "a", "h", "c", "each", "starts", "ends"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).where("id is not null")
-    return source.mapInArrow(run, "doc bigint, pos int, start int, `end` int, h bigint")
+    return source.mapInArrow(run, "doc bigint, v int, pos int, a int, h bigint, c bigint, each array<bigint>, starts array<int>, ends array<int>")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages by kept windows: id_col, start, end, words, component_id (the least hash), first_doc, kept."""
-    kept = materialize(_windows(docs, id_col, text_col), "windows")
-    held = kept.groupBy("h").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).where("first_doc < _last").select("h", "first_doc")
-    marked = materialize(kept.join(held, "h"), "repeats")
-    release(kept)
-    by_doc = Window.partitionBy("doc").orderBy("pos")
-    apart = F.coalesce(F.col("pos") - F.lag("pos").over(by_doc) > SPAN, F.lit(True))
-    runs = marked.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(by_doc))
-    first = F.min("first_doc")
-    return runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") + WINDOW - F.min("pos")).alias("words"), F.min("h").alias("component_id"), first.alias("first_doc"), F.bool_and(F.col("first_doc") == F.col("doc")).alias("kept")).drop("_run").withColumnRenamed("doc", id_col)
+    """Passages inside lines: id_col, start, end, words, component_id (the least hash of a seed), first_doc, kept.
+
+    A passage ends where the next stretch is not repeated or is first held by another document, so passages of different
+    first documents may overlap; each is whole in its first document."""
+    source = _source(docs, id_col, text_col)
+    seeds = materialize(_seeds(source), "seeds")
+    held = seeds.groupBy("h").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"), (F.min("c") < F.max("c")).alias("_differ")).where("first_doc < _last").drop("_last")
+    marked = materialize(seeds.join(held, "h"), "repeats")
+    release(seeds)
+    whole = marked.where("not _differ").select("doc", "v", "a", "b", "start", "end", "h", "first_doc")
+
+    # seeds whose neighbourhoods differ
+    wanted = materialize(marked.where("_differ").groupBy("doc", "v").agg(F.collect_set("pos").alias("_at")), "wanted")
+    texts = source.join(few(wanted.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc", "v"])
+    listed = materialize(_stretches(texts.join(wanted, ["doc", "v"]).select("doc", "v", "_at", "_text")), "stretches")
+    around = listed.groupBy("h", "c").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.first(F.struct((F.col("a") - F.col("pos")).alias("off"), "each")).alias("_of"))
+    around = materialize(around.select("h", "c", "_lo", "_hi", "_of.off", F.posexplode("_of.each").alias("i", "e")).withColumn("off", F.col("off") + F.col("i")), "neighbourhoods")
+    shared = around.groupBy("h", "off", "e").agg(F.min("_lo").alias("first_doc"), F.max("_hi").alias("_last")).where("first_doc < _last").drop("_last")
+    found = around.join(shared, ["h", "off", "e"]).groupBy("h", "c").agg(F.collect_list(F.struct("i", "first_doc")).alias("_found"))
+    part = listed.drop("each").join(materialize(found, "shared"), ["h", "c"]).select("*", F.explode("_found").alias("_one"))
+    place = F.col("a") + F.col("_one.i")
+    part = part.select("doc", "v", place.alias("a"), place.alias("b"), F.get("starts", F.col("_one.i")).alias("start"), F.get("ends", F.col("_one.i")).alias("end"), "h", "_one.first_doc")
+
+    by_doc = Window.partitionBy("doc", "v").orderBy("a")
+    every = whole.unionByName(part).dropDuplicates(["doc", "v", "a"])
+    new = F.coalesce((F.col("a") != F.lag("b").over(by_doc) + 1) | (F.col("first_doc") != F.lag("first_doc").over(by_doc)), F.lit(True))
+    runs = every.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(by_doc))
+    runs = runs.groupBy("doc", "v", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("b") + RUN_WORDS - F.min("a")).alias("words"), F.min("h").alias("component_id"), F.first("first_doc").alias("first_doc"))
+    return runs.withColumn("kept", F.col("first_doc") == F.col("doc")).drop("v", "_run").withColumnRenamed("doc", id_col)
 
 
 def repeated_passages(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

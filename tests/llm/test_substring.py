@@ -120,3 +120,60 @@ def test_edges(messy, empty):
     assert {r["doc_id"] for r in rows} == {5, 6, 7, 8, 10**12}
     assert len(rows) == 10
     assert substring.repeated_passages(empty).count() == 0
+
+
+def common_runs(docs: list[tuple]) -> set[tuple]:
+    """(document, first word, words, first document) of the maximal runs whose every 50 words another document holds."""
+    w, holders = {i: [brute.lower(x) for x in brute.WORD.findall(t)] for i, t in docs}, defaultdict(set)
+    for i, listed in w.items():
+        for k in range(len(listed) - 49):
+            holders[tuple(listed[k : k + 50])].add(i)
+    out = set()
+    for i, listed in w.items():
+        run = None
+        for k in range(max(len(listed) - 48, 0)):
+            held = holders.get(tuple(listed[k : k + 50])) if k < len(listed) - 49 else None
+            first = min(held) if held and len(held) > 1 else None
+            if run and first != run[1]:
+                out.add((i, run[0], k + 49 - run[0], run[1]))
+                run = None
+            if first is not None and run is None:
+                run = (k, first)
+    return out
+
+
+def by_words(spark, docs: list[tuple]) -> set[tuple]:
+    """The passages inside lines in the form of ``common_runs``."""
+    text, out = dict(docs), set()
+    for r in substring.repeated_windows(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        t = text[r["doc_id"]]
+        assert len(brute.WORD.findall(t[r["start"] : r["end"]])) == r["words"]
+        assert r["kept"] == (r["doc_id"] == r["first_doc"])
+        out.add((r["doc_id"], len(brute.WORD.findall(t[: r["start"]])), r["words"], r["first_doc"]))
+    return out
+
+
+def test_passages_are_whole(spark):
+    rng = random.Random(11)
+    docs = []
+    for n in (50, 51, 60, 80, 120, 300):
+        for _ in range(4):
+            p, i = sentence(rng, n), len(docs)
+            docs += [(i, f"{sentence(rng, 70)}  é {p} {sentence(rng, 20)}"), (i + 1, f"{sentence(rng, 33)}\n{p.upper()}"), (i + 2, f"{p} {sentence(rng, 45)}")]
+    want = common_runs(docs)
+    assert len(want) == len(docs)
+    assert by_words(spark, docs) == want
+
+
+def test_random_overlaps(spark):
+    rng = random.Random(14)
+    pool = [sentence(rng, 200).split() for _ in range(4)]
+    docs = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            source = rng.choice(pool)
+            at = rng.randrange(150)
+            parts += [*source[at : at + rng.randint(20, 120)], *sentence(rng, rng.randint(1, 30)).split()]
+        docs.append((i, " ".join(parts)))
+    assert by_words(spark, docs) == common_runs(docs)
