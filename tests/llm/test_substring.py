@@ -165,6 +165,14 @@ def test_passages_are_whole(spark):
     assert by_words(spark, docs) == want
 
 
+def test_neighbouring_passages_keep_their_first_occurrence(spark):
+    rng = random.Random(12)
+    p, q = sentence(rng, 60), sentence(rng, 60)
+    gap = [sentence(rng, 12) for _ in range(2)]
+    docs = [(2, f"{sentence(rng, 60)} {q}"), (5, f"{p} {gap[0]} {q} {sentence(rng, 60)}"), (9, f"{sentence(rng, 60)} {p} {gap[1]}")]
+    assert by_words(spark, docs) == common_runs(docs) == {(2, 60, 60, 2), (5, 0, 60, 5), (5, 72, 60, 2), (9, 60, 60, 5)}
+
+
 def test_random_overlaps(spark):
     rng = random.Random(14)
     pool = [sentence(rng, 200).split() for _ in range(4)]
