@@ -173,6 +173,17 @@ def test_neighbouring_passages_keep_their_first_occurrence(spark):
     assert by_words(spark, docs) == common_runs(docs) == {(2, 60, 60, 2), (5, 0, 60, 5), (5, 72, 60, 2), (9, 60, 60, 5)}
 
 
+def test_overlaps_below_run_words_are_no_passages(spark):
+    rng = random.Random(13)
+    docs = []
+    for n in (16, 18, 25, 30, 40, 45, 49, 50):
+        for _ in range(6):
+            p, i = sentence(rng, n), len(docs)
+            docs += [(i, f"{sentence(rng, 60)} {p} {sentence(rng, 60)}"), (i + 1, f"{sentence(rng, 60)} {p} {sentence(rng, 60)}")]
+    got = by_words(spark, docs)
+    assert got == common_runs(docs) and {i for i, *_ in got} == set(range(84, 96))
+
+
 def test_random_overlaps(spark):
     rng = random.Random(14)
     pool = [sentence(rng, 200).split() for _ in range(4)]
