@@ -4,7 +4,9 @@ A benchmark item of L words is sought in every window of L words. A window as si
 item, so an equi-join on shingles finds where windows can lie. Those windows and all items get a 64-bit SimHash of their
 weighted shingles. The 64 bits fall into ``RADIUS + 1`` blocks: fingerprints that differ in ``RADIUS`` bits or fewer agree
 in one block at least, so a join on (L, block, bits) returns all pairs within the radius. They are verified by the exact
-weighted Jaccard similarity of the shingle multisets. A shingle weighs 1 over the number of items that hold it.
+Jaccard similarity of the shingle multisets, both weighted and plain, and the greater of the two counts. A shingle weighs
+1 over the number of items of different words that hold it; an unseen shingle weighs 1. Where weights differ from 1, windows
+and items have a second fingerprint without weights. Items of equal words are sought once.
 """
 
 from __future__ import annotations
@@ -60,6 +62,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     Items of fewer than five words match as a whole. Items and documents without words, and rows without an id, match
     nothing; repeated rows of a document or item count once; empty tables give no rows; other columns are ignored."""
     items = benchmark.select(F.col(item_id).alias("item"), _words(F.col(item_text)).alias("words")).where("item is not null and words is not null").dropDuplicates(["item"])
+    kind = items.schema["item"].dataType
+    named = materialize(items.select(F.sha2(F.array_join("words", " "), 256).alias("_words"), "item", "words"), "named")
+    same = materialize(named.groupBy("_words").agg(F.min("item").alias("item")), "same")
+    ids = materialize(named.join(same.withColumnRenamed("item", "_item"), "_words").select(F.col("_item").alias("item"), F.col("item").alias("_id")), "ids")
+    items = ids.where("item = _id").select("item").join(named, "item").drop("_words")
     items = materialize(items.withColumn("L", F.size("words")), "items")
     kinds = sorted(r[0] for r in items.select(F.least("L", F.lit(SHINGLE))).distinct().collect())
     listed = None
@@ -67,9 +74,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         part = items.where((F.col("L") >= k) if k == SHINGLE else (F.col("L") == k)).select("item", "L", F.posexplode(_grams("words", k)).alias("off", "s"))
         listed = part if listed is None else listed.unionByName(part)
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    names = [F.col("doc").alias(id_col), F.col("item").alias(item_id)]
+    names = [F.col("doc").alias(id_col), F.col("_id").alias(item_id)]
     if listed is None:
-        kind = items.schema["item"].dataType
         return source.limit(0).select(F.col("doc").alias(id_col), F.lit(None).cast(kind).alias(item_id), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
     listed = materialize(listed, "shingles")
     small = listed.count() <= BROADCAST_SHINGLES
@@ -105,24 +111,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     def weighed(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.join(held(weights), "s", "left").select(*keys, "s", F.coalesce("w", F.lit(1.0)).alias("w"))
 
+    def marked(df: DataFrame, keys: list[str]) -> DataFrame:
+        """Fingerprints of rows (keys, s, w): keys, plain, fp; without weights only where one is not 1."""
+        light = df.where("w < 1").select(*keys).distinct()
+        weighted, plain = _simhash(df, keys), _simhash(df.join(light, keys, "left_semi").withColumn("w", F.lit(1.0)), keys)
+        even = weighted.join(light, keys, "left_anti")
+        return weighted.withColumn("plain", F.lit(0)).unionByName(plain.unionByName(even).withColumn("plain", F.lit(1)))
+
     window = ["doc", "L", "start"]
     rows = weighed(windows.select(*window, F.explode("sh").alias("s")), window)
-    marks = _simhash(rows, window)
-    of_items = materialize(_simhash(weighed(listed.where(F.col("L") >= SHINGLE), ["item", "L"]), ["item", "L"]).select("item", "L", F.col("fp").alias("item_fp"), F.explode(_blocks("fp")).alias("block")), "item_blocks")
-    pairs = marks.select(*window, "fp", F.explode(_blocks("fp")).alias("block")).join(held(of_items), ["L", "block"])
+    listed_long = weighed(listed.where(F.col("L") >= SHINGLE), ["item", "L"])
+    if weights.where("w < 1").isEmpty():  # both fingerprints are the same
+        marks, of_items = (_simhash(rows, window).withColumn("plain", F.lit(0)), _simhash(listed_long, ["item", "L"]).withColumn("plain", F.lit(0)))
+    else:
+        rows = materialize(rows, "window_shingles")
+        marks, of_items = marked(rows, window), marked(listed_long, ["item", "L"])
+    of_items = materialize(of_items.select("item", "L", "plain", F.col("fp").alias("item_fp"), F.explode(_blocks("fp")).alias("block")), "item_blocks")
+    pairs = marks.select(*window, "plain", "fp", F.explode(_blocks("fp")).alias("block")).join(held(of_items), ["L", "plain", "block"])
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*window, "item").distinct()
     pairs = materialize(pairs, "pairs")
 
-    # exact similarity: sum of w * min(counts) over sum of w * max(counts)
+    # exact similarity: sum of w * min(counts) over sum of w * max(counts), with weights and with w = 1
     mine = pairs.join(windows, window).select(*window, "item", F.explode("sh").alias("s")).groupBy(*window, "item", "s").agg(F.count("*").alias("c"))
     mine = mine.join(held(weights), "s", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     theirs = listed.groupBy("item", "s").agg(F.count("*").alias("ic"))
-    whole = materialize(listed.join(held(weights), "s").groupBy("item").agg(F.sum("w").alias("item_w")), "item_weights")
-    both = mine.join(held(theirs), ["item", "s"], "left").groupBy(*window, "item").agg(F.sum(F.col("w") * F.col("c")).alias("doc_w"), F.sum(F.col("w") * F.least("c", F.coalesce("ic", F.lit(0)))).alias("common"))
-    both = both.join(held(whole), "item").withColumn("similarity", F.col("common") / (F.col("doc_w") + F.col("item_w") - F.col("common")))
+    whole = materialize(listed.join(held(weights), "s").groupBy("item").agg(F.sum("w").alias("item_w"), F.count("*").alias("item_n")), "item_weights")
+    least = F.least("c", F.coalesce("ic", F.lit(0)))
+    both = mine.join(held(theirs), ["item", "s"], "left").groupBy(*window, "item").agg(F.sum(F.col("w") * F.col("c")).alias("doc_w"), F.sum(F.col("w") * least).alias("common"), F.sum("c").alias("doc_n"), F.sum(least).alias("common_n"))
+    weighted, plain = F.col("common") / (F.col("doc_w") + F.col("item_w") - F.col("common")), F.col("common_n") / (F.col("doc_n") + F.col("item_n") - F.col("common_n"))
+    both = both.join(held(whole), "item").withColumn("similarity", F.greatest(weighted, plain))
     exact = both.where(F.col("similarity") >= threshold - 1e-9)
     best = exact.groupBy("doc", "item").agg(F.max_by(F.struct("start", "L", "similarity"), F.struct("similarity", -F.col("start"))).alias("best")).select("doc", "item", "best.start", "best.L", "best.similarity")
-    return best.unionByName(short).select(*names, F.col("start").alias("start_word"), F.col("L").alias("n_words"), "similarity")
+    return best.unionByName(short).join(held(ids), "item").select(*names, F.col("start").alias("start_word"), F.col("L").alias("n_words"), "similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", **names: str) -> DataFrame:

@@ -109,3 +109,18 @@ def test_edges(spark, messy, empty):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in clean.collect()) == sorted([(False, i) for i in (0, 0, 1, 2, 3, 9, 10, 11, 12, 13)] + [(True, 0)] * 2)
     assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.contaminated(messy, bench.limit(0)).count() == 0
+
+
+def test_near_copies_of_items_that_share_words(spark):
+    rng = random.Random(3)
+    shared = sentence(rng, 50)
+    items = [(i, f"{shared} {sentence(rng, 9)}") for i in range(8)] + [(20 + i, sentence(random.Random(4), 59)) for i in range(8)]
+    docs = []
+    for d, (i, text) in enumerate(items):
+        w = text.split()
+        w[25] = "changed"
+        docs.append((d, f"{sentence(rng, 80)} {' '.join(w)} {sentence(rng, 80)}"))
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = found(decontam.contaminated(d, b))
+    assert {(n, i) for n, (i, _) in enumerate(items)} | {(n, i) for n in range(8, 16) for i in range(20, 28)} <= got.keys()
+    assert all(got[n, i] == pytest.approx(50 / 60) for n, (i, _) in enumerate(items))
