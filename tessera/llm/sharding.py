@@ -69,8 +69,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("_bundle", F.pmod(F.xxhash64("_group"), F.lit(shards * BUNDLES)).cast("int"))
     groups = rows.groupBy("_group", "_bundle").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    least = max(1, total["b"] // (shards * FINE))
-    large = groups.where(F.col("bytes") >= least).limit(shards * FINE + 1).select(F.hex("_group").alias("name"), "bytes").collect()
+    least = max(1, -(-total["b"] // (shards * FINE)))  # shards * FINE groups reach it at most
+    large = groups.where(F.col("bytes") >= least).select(F.hex("_group").alias("name"), "bytes").collect()
     named = {r["name"] for r in large}
     small = groups.where(F.col("bytes") < least).groupBy("_bundle").agg(F.sum("bytes").alias("bytes")).collect()
     where = pack([(r["bytes"], r["name"]) for r in large] + [(r["bytes"], f"#{r['_bundle']}") for r in small], shards)

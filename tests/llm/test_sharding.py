@@ -66,3 +66,8 @@ def test_edges(messy, empty):
     docs = [(r["doc_id"], r["text"]) for r in messy.collect()]
     laws(sharding.shard(messy, 3).collect(), docs, 3)
     assert sharding.shard(empty, 16).count() == 0
+
+
+def test_many_groups_of_equal_size(spark):
+    docs = [(i, f"{i:09d}") for i in range(4300)]
+    laws(sharding.shard(spark.createDataFrame(docs, "doc_id bigint, text string"), 16).collect(), docs, 16)
