@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 from .common import fresh_name, materialize, slices
 
 #: Raise it with any change of the rules: blobs scanned under another version are unseen.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 _I = re.ASCII | re.IGNORECASE
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
+_LABEL = r"(?:[A-Z]{2,10} )?PRIVATE KEY(?: BLOCK)?-----"
+#: Up to the END line; without one up to the first hyphen after the headers of an encrypted key.
+_PEM = re.compile(rf"-----BEGIN {_LABEL}(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*-----END {_LABEL}|\s*(?:(?:Proc-Type|DEK-Info):[^\n]*\n)*[^-]*)")
 #: Kinds in the order that breaks ties of a start. The first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "vendor")
 _MORE = (
-    ("pem", re.compile(r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?")),
+    ("pem", _PEM),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)),
     ("vendor", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", re.ASCII)),
 )

@@ -90,3 +90,14 @@ def test_edges(messy, empty):
     rng = random.Random(0)
     long = " ".join(rng.choice(["secret", "=", "a" * 40]) for _ in range(100_000))
     assert _base_of(long) == base(long)
+
+
+def test_whole_keys():
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    for label, body in (("RSA PRIVATE KEY", head + "MIIEow/+=\nabc\n"), ("PGP PRIVATE KEY BLOCK", "Version: a-b\n\nlQdGBF\n=x1\n"), ("PRIVATE KEY", "MIIE\n")):
+        key = f"-----BEGIN {label}-----\n{body}-----END {label}-----"
+        for text in (f"a - b {key} c - d", f"{key}\n{key}"):
+            spans = [(a, b) for a, k, b in secrets.scan_text(text) if k == secrets.KINDS.index("pem")]
+            assert [text[a:b] for a, b in spans] == [key] * text.count(key)
+    text = f"-----BEGIN RSA PRIVATE KEY-----\n{head}MIIEow\n- end"
+    assert [text[a:b] for a, k, b in secrets.scan_text(text) if k == 3] == [text[: -len("- end")]]
