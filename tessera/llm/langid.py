@@ -37,8 +37,7 @@ def _grams(word: str, n: int) -> list[str]:
 def sample(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     rows = docs.where(learnable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     share = rows.groupBy("_lang").count().select("_lang", (F.lit(ROWS_PER_LANG * 1e6) / F.col("count")).alias("_share"))
-    languages = share.limit(1_000)  # a label set, not a data-sized table
-    return rows.join(F.broadcast(languages), "_lang").where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.col("_share"))
+    return rows.join(F.broadcast(share), "_lang").where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.col("_share"))
 
 
 class Model:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.sql import functions as F
+
 from tessera.llm import langid
 from tessera.llm.queries import op10_language_id
 
@@ -33,3 +35,8 @@ def test_edges(spark, messy, empty):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(messy, langid.fit(empty)).collect()} == {"und"}
+
+
+def test_every_label_is_sampled(spark):
+    docs = spark.createDataFrame([(i, f"word{i}", f"l{i}") for i in range(1200)], "doc_id bigint, text string, lang string")
+    assert langid.sample(docs, F.lit(True), "doc_id", "text", "lang").select("_lang").distinct().count() == 1200
