@@ -6,9 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.bake import quantized_queries, rows_as_payloads
+from ..functions.ids import before, ranged
 from ..functions.vectors import dot_int, floor_to_float, part, rank_distance, xd_pair
 from ..model import Bank, Metric, QuerySpec, UnsupportedMode
 from .analytics import _payload, channel_payloads
@@ -34,28 +34,17 @@ def baseline(bank: Bank, k: int) -> DataFrame:
 
 
 def ascending(distances: DataFrame) -> DataFrame:
-    """The baseline as a sorted list: pos (from 0), distance. Positions by range partition, not in one task."""
-    spark = distances.sparkSession
-    ranged = distances.select("distance").repartitionByRange(spark.sparkContext.defaultParallelism, "distance").withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_start"))  # one row a partition
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("distance")) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_own")).cast("bigint").alias("pos"), "distance")
+    """The baseline as a sorted list: pos (from 0), distance. Positions by ranges, not in one task."""
+    return before(ranged(distances.select("distance"), "distance"), "distance", F.lit(1), "pos").select("pos", "distance")
 
 
 def score(base: DataFrame, probes: DataFrame) -> DataFrame:
     """The share of baseline distances strictly less than each probe's: query_id, novelty. ``probes``: query_id, distance.
 
     Baseline and probes are merged by distance and counted by a running sum, in ranges, so neither is broadcast."""
-    spark = base.sparkSession
     both = base.select(F.lit(None).cast("bigint").alias("query_id"), "distance", F.lit(1).alias("_base")).unionByName(probes.select("query_id", "distance", F.lit(0).alias("_base")))
     levels = both.groupBy("distance").agg(F.sum("_base").alias("_n"))
-    ranged = levels.repartitionByRange(spark.sparkContext.defaultParallelism, "distance").withColumn("_part", F.spark_partition_id())
-    starts = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"))
-    starts = starts.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    less = ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").select("distance", (F.col("_start") + F.col("_own")).alias("_less"))
+    less = before(ranged(levels, "distance"), "distance", F.col("_n"), "_less").select("distance", "_less")
     total = base.agg(F.count("*").alias("_total"))
     return probes.join(less, "distance").crossJoin(F.broadcast(total)).select("query_id", F.when(F.col("_total") > 0, (F.col("_less") / F.col("_total")).cast("float")).otherwise(F.lit(0.0).cast("float")).alias("novelty"))
 

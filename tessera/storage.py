@@ -1,10 +1,16 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Paths written since the innermost ``intermediates`` began.
+_open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +25,46 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _folder(df: DataFrame):
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tessera_path).getParent()
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``release`` deletes the table; what is left goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    files, folder = _folder(out)
+    files.deleteOnExit(folder)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more; a table is released once."""
+    for df in tables:
+        if getattr(df, "_tessera_path", None):
+            files, folder = _folder(df)
+            files.delete(folder, True)
+            files.cancelDeleteOnExit(folder)
+            df._tessera_path = None
+
+
+@contextmanager
+def intermediates() -> Iterator[list[DataFrame]]:
+    """Releases, at its end, all that ``materialize`` wrote inside; take out of the list what shall stay."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        release(*made)
