@@ -28,7 +28,7 @@ from ..model import (
     ZeroNormRow,
 )
 from .bake import norm_squared
-from .vectors import dequantized, part
+from .vectors import dequantized, dot_int, part
 
 
 def not_finite(v: Column) -> Column:
@@ -129,8 +129,8 @@ def validate_queries(bank: Bank, queries: DataFrame, segments: tuple[Segment, ..
         for s in segments:
             if s.weight != 0:
                 zero |= norm_squared(part(F.col("q"), s.offset, s.length)) == 0
-    size = F.size("q") != bank.dims
-    odd = not_finite(F.col("q"))
+    size = F.col("q").isNull() | (F.size("q") != bank.dims)
+    odd = F.coalesce(not_finite(F.col("q")), F.lit(False))
     found = queries.agg(*[F.max(c.cast("int")).alias(n) for c, n in ((size, "size"), (odd, "odd"), (~odd & zero, "zero"))]).first()
     if found["size"]:
         raise DimensionMismatch(f"a query has not {bank.dims} lanes")
@@ -140,10 +140,29 @@ def validate_queries(bank: Bank, queries: DataFrame, segments: tuple[Segment, ..
         raise ZeroNormQuery("a query has no direction")
 
 
+def validate_payloads(bank: Bank, payloads: DataFrame) -> None:
+    """One pass over (query_id, q8, q_scale, q_sq): sizes, lanes, a finite scale that is not negative, and a sum of squares
+    that is the lanes' own."""
+    if not bank.is_int8:
+        raise UnsupportedMode("payloads need an int8 bank")
+    lanes, scale = F.col("q8"), F.col("q_scale")
+    size = lanes.isNull() | (F.size(lanes) != bank.dims)
+    odd = scale.isNull() | F.isnan(scale) | (scale < 0) | (scale == float("inf")) | F.exists(lanes, lambda x: x.isNull())
+    odd |= F.col("q_sq").isNull() | (F.col("q_sq") != dot_int(lanes, lanes))
+    zero = (F.col("q_sq") == 0) & F.lit(bank.metric is Metric.COSINE)
+    found = payloads.agg(*[F.max(F.coalesce(c, F.lit(True)).cast("int")).alias(n) for c, n in ((size, "size"), (~size & odd, "odd"), (zero, "zero"))]).first()
+    if found["size"]:
+        raise DimensionMismatch(f"a payload has not {bank.dims} lanes")
+    if found["odd"]:
+        raise InvalidArgument("a payload's scale or sum of squares is not its own")
+    if found["zero"]:
+        raise ZeroNormQuery("a payload has no direction")
+
+
 def validate_bias(bank: Bank, bias: DataFrame) -> None:
     """Pairs must be unique, in the bank and finite."""
     keys = [c for c in ("query_id", "row_id") if c in bias.columns]
-    found = bias.join(bank.df.select("row_id", F.lit(1).alias("_in")), "row_id", "left").groupBy(*keys).agg(F.count("*").alias("n"), F.max((F.isnan("bias") | (F.abs("bias") == float("inf"))).cast("int")).alias("odd"), F.max("_in").alias("_in")).agg(F.max("n").alias("n"), F.max("odd").alias("odd"), F.count(F.when(F.col("_in").isNull(), 1)).alias("out")).first()
+    found = bias.join(bank.df.select("row_id", F.lit(1).alias("_in")), "row_id", "left").groupBy(*keys).agg(F.count("*").alias("n"), F.max((F.col("bias").isNull() | F.isnan("bias") | (F.abs("bias") == float("inf"))).cast("int")).alias("odd"), F.max("_in").alias("_in")).agg(F.max("n").alias("n"), F.max("odd").alias("odd"), F.count(F.when(F.col("_in").isNull(), 1)).alias("out")).first()
     if found["odd"]:
         raise NonFiniteQuery("a bias is not finite")
     if found["out"] or (found["n"] or 0) > 1:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.bake import quantized_queries, rows_as_payloads, rows_as_queries
 from ..functions.vectors import dot, dot_int, floor_to_float, part, xd_pair
-from ..model import FLT_MIN, Bank, Metric, QuerySpec
+from ..model import Bank, Metric, QuerySpec
 from ..plans import block
 from .compose import pooled
-from .query import query_batch, resolve, scorer
+from .query import RowScorer, floored, query_batch, resolve, whole_products
 
 
 def _payload(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -56,32 +56,31 @@ def nearest(bank: Bank, sets: DataFrame, channel: int | None = None) -> DataFram
     members = sets.select("set_id", "row_id")
     targets = rows.join(members, "row_id")
     sources = payloads.join(members.select(F.col("row_id").alias("query_id")).distinct(), "query_id", "left_semi").select("query_id", F.col("q8").alias("_q8"), "q_scale", "q_sq")
-    scored = scorer(bank, resolve(bank, QuerySpec(exact_int=True))) if kind is None else _channel_scorer(bank.metric)
-    higher = bank.metric.higher_is_better if kind is None else bank.metric is Metric.DOT
-    best = block.group_best(targets, sources, scored, "set_id", higher, 8 * bank.dims)
+    scorer = RowScorer(bank, resolve(bank, QuerySpec(exact_int=True))) if kind is None else _ChannelScorer(bank.metric)
+    best = block.group_best(targets, sources, scorer, "set_id", 8 * bank.dims)
     value = F.col("score").cast("float")
     if kind is None and bank.metric is Metric.COSINE:
         value = (F.lit(1.0) - value.cast("double")).cast("float")
     return best.select("query_id", F.col("group_id").alias("b"), value.alias("distance"))
 
 
-def _channel_scorer(metric: Metric) -> block.Scorer:
+class _ChannelScorer:
     """Distances (dot: similarities) of payloads to payloads, floored to float."""
 
-    def score(q: dict, b: dict) -> np.ndarray:
-        cross, qs, rs = q["_q8"] @ b["q8"].T, q["q_scale"][:, None], b["scale"].astype(np.float64)
+    def __init__(self, metric: Metric):
+        self.metric, self.sign = metric, -1.0 if metric is Metric.DOT else 1.0
+
+    def all(self, q: dict, b: dict) -> np.ndarray:
+        cross, qs, rs = whole_products(q["_q8"], b["q8"]), q["q_scale"][:, None], b["scale"].astype(np.float64)
         q_sq, r_sq = q["q_sq"].astype(np.float64)[:, None], b["sq"].astype(np.float64)
-        if metric is Metric.DOT:
+        if self.metric is Metric.DOT:
             out = cross * (qs * rs)
-        elif metric is Metric.L2:
+        elif self.metric is Metric.L2:
             out = ((rs * rs) * r_sq + (qs * qs) * q_sq) - ((qs * rs) * cross) * 2.0
         else:
             energy = q_sq * r_sq
             out = np.where(energy > 0, 1.0 - cross / np.sqrt(np.where(energy > 0, energy, 1.0)), 0.0)
-        out[np.abs(out) < FLT_MIN] = 0.0
-        return out.astype(np.float32).astype(np.float64)
-
-    return score
+        return floored(out)
 
 
 def channel_payloads(bank: Bank, channel: int) -> DataFrame:

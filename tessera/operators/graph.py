@@ -14,7 +14,7 @@ from .query import query_batch
 def knn_graph(bank: Bank, k: int, exact_int: bool | None = None) -> DataFrame:
     """Each row's k best others: row_id, slot (from 0), neighbor, score. A bank of fewer rows gives fewer slots."""
     spec = QuerySpec(k=k, exclude_self=True, exact_int=bank.is_int8 if exact_int is None else exact_int)
-    hits = query_batch(bank, rows_as_queries(bank), spec)
+    hits = query_batch(bank, rows_as_queries(bank), spec, validate=False)
     return hits.select(F.col("query_id").alias("row_id"), (F.col("rank") - 1).alias("slot"), F.col("row_id").alias("neighbor"), "score")
 
 

@@ -30,12 +30,12 @@ def mutual_matches(a: Bank, b: Bank, sample: DataFrame, k: int) -> DataFrame:
     spec = QuerySpec(k=k, exact_int=a.is_int8 and b.is_int8)
     metric = a.metric
     chosen = sample.select("row_id").distinct()
-    forward = query_batch(b, rows_as_queries(a).join(chosen.withColumnRenamed("row_id", "query_id"), "query_id", "left_semi"), spec)
+    forward = query_batch(b, rows_as_queries(a).join(chosen.withColumnRenamed("row_id", "query_id"), "query_id", "left_semi"), spec, validate=False)
     forward = forward.withColumn("sim", _similarity(metric))
     best = forward.where("rank = 1").select(F.col("query_id").alias("source_a"), F.col("row_id").alias("source_b"), "sim")
     mean_a = forward.groupBy(F.col("query_id").alias("source_a")).agg(_mean("rank", "sim").alias("mean_a"))
     back_ids = best.select(F.col("source_b").alias("query_id")).distinct()
-    back = query_batch(a, rows_as_queries(b).join(back_ids, "query_id", "left_semi"), spec).withColumn("sim", _similarity(metric))
+    back = query_batch(a, rows_as_queries(b).join(back_ids, "query_id", "left_semi"), spec, validate=False).withColumn("sim", _similarity(metric))
     chosen_back = back.where("rank = 1").select(F.col("query_id").alias("source_b"), F.col("row_id").alias("_back"))
     mean_b = back.groupBy(F.col("query_id").alias("source_b")).agg(_mean("rank", "sim").alias("mean_b"))
     joined = best.join(mean_a, "source_a").join(chosen_back, "source_b").join(mean_b, "source_b")

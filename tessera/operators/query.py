@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bake import quantized_queries
-from ..functions.validate import check_spec, validate_bias, validate_queries
+from ..functions.validate import check_spec, validate_bias, validate_payloads, validate_queries
 from ..functions.vectors import (
     best_first,
     dot,
@@ -121,7 +121,7 @@ def with_bias(scored: DataFrame, spec: QuerySpec, exact_int: bool) -> DataFrame:
         return scored
     keys = [c for c in ("query_id", "row_id") if c in spec.bias.columns]
     bias = spec.bias.select(*keys, F.col("bias").cast("double").alias("_bias"))
-    bias = F.broadcast(bias) if bias.limit(BROADCAST_BIAS + 1).count() <= BROADCAST_BIAS else bias
+    bias = _few(bias, bias, BROADCAST_BIAS)
     total = F.col("score").cast("double") + F.col("_bias")
     total = floor_to_float(total) if exact_int else total
     return scored.join(bias, keys, "left").withColumn("score", F.coalesce(total, F.col("score"))).drop("_bias")
@@ -132,7 +132,8 @@ def all_scores(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None) ->
     spec = spec or QuerySpec()
     plan = resolve(bank, spec)
     rows = bank.df if spec.exclude is None else bank.df.where(~_predicate(spec.exclude))
-    pairs = rows.crossJoin(F.broadcast(prepared(bank, queries, plan)))
+    asked = prepared(bank, queries, plan)
+    pairs = rows.crossJoin(_few(asked, asked, max(1, block.BROADCAST_BYTES // (8 * bank.dims))))
     if spec.exclude_self:
         pairs = pairs.where("query_id <> row_id")
     return with_bias(pairs.select("query_id", "row_id", score_column(bank, plan).alias("score")), spec, plan.exact_int)
@@ -145,78 +146,179 @@ def _predicate(condition: Column | str) -> Column:
 # -- block strategy ------------------------------------------------------------------------------------------------
 
 
-def _lanes(values: np.ndarray, offset: int, length: int) -> np.ndarray:
-    return values[:, offset : offset + length]
-
-
-def _floor(scores: np.ndarray) -> np.ndarray:
+def floored(scores: np.ndarray) -> np.ndarray:
     scores[np.abs(scores) < FLT_MIN] = 0.0
     return scores.astype(np.float32).astype(np.float64)
 
 
-def scorer(bank: Bank, plan: Plan) -> block.Scorer:
-    int8, dims = bank.is_int8, bank.dims
-    parts = plan.parts or ((0, dims, None, None),)
-    metric, exact, whole = plan.metric, plan.exact_int, not plan.parts
-
-    def one(q: dict, b: dict, offset: int, length: int, channel: int | None) -> np.ndarray:
-        if exact:
-            x, y = _lanes(q["_q8"], offset, length), _lanes(b["q8"], offset, length)
-            cross, rs, qs = x @ y.T, b["scale"].astype(np.float64), q["q_scale"][:, None]  # whole numbers below 2**53
-            if metric is Metric.L2:
-                return ((qs * qs) * (x * x).sum(1)[:, None] + (rs * rs) * (y * y).sum(1)) - ((rs * qs) * cross) * 2.0
-            return cross * (rs * qs)
-        x = _lanes(q["q"], offset, length)
-        if metric is Metric.L2:
-            row = b["q8"] * b["scale"].astype(np.float64)[:, None] if int8 else b["vec"]
-            return block.sequential_l2(x, _lanes(row, offset, length))
-        out = block.sequential_dot(x, _lanes(b["q8"] if int8 else b["vec"], offset, length))
-        if int8:
-            out = b["scale"].astype(np.float64) * out
-        return out * b["inv_norms"][:, channel] if channel is not None else out
-
-    def score(q: dict, b: dict) -> np.ndarray:
-        if whole:
-            total = one(q, b, 0, dims, None)
-        else:
-            total = 0.0
-            for offset, length, weight, channel in parts:
-                total = total + weight * one(q, b, offset, length, channel)
-        return _floor(total) if exact else total
-
-    return score
+class RowScorer(block.Scorer):
+    """Scores of queries and bank rows, bias included in ``pairs``.
+
+    ``left`` and ``right`` are the lanes whose product is the score, and two lanes more: what L2 and bias add, less the most
+    that rounding can come to. That is at most (lanes + 3) roundings of the sum of |x||y|, of which twice as many are taken."""
+
+    def __init__(self, bank: Bank, plan: Plan):
+        self.int8, self.dims, self.plan = bank.is_int8, bank.dims, plan
+        self.parts = plan.parts or ((0, bank.dims, 1.0, None),)
+        self.l2, self.exact = plan.metric is Metric.L2, plan.exact_int
+        self.sign = 1.0 if self.l2 else -1.0
+
+    def slack(self, dtype: type) -> float:
+        return (self.dims + 32) * (2.0**-23 if dtype is np.float32 else 2.0**-51) + 2.0**-22 * self.exact
+
+    def _query(self, q: dict) -> np.ndarray:
+        return q["_q8"].astype(np.float64) * q["q_scale"][:, None] if self.exact else q["q"].astype(np.float64)
+
+    def _row(self, b: dict) -> np.ndarray:
+        return b["q8"].astype(np.float64) * b["scale"].astype(np.float64)[:, None] if self.int8 else b["vec"].astype(np.float64)
+
+    def _augmented(self, lanes: np.ndarray, make: Callable[[type], tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
+        """The lanes with two more, in the narrower type if it will do."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            fits = block.safe(lanes)
+            if fits is None:
+                return None
+            extra = make(np.float32 if fits.dtype == np.float32 else np.float64)
+            if fits.dtype == np.float32 and max((np.abs(e).max(initial=0.0) for e in extra), default=0.0) > 1e30:
+                extra = make(np.float64)
+                fits = lanes
+        out = np.column_stack([fits, *extra]).astype(fits.dtype)
+        return out if np.isfinite(out).all() else None
+
+    def left(self, q: dict) -> np.ndarray | None:
+        x = self._query(q)
+        lanes, plus, size = np.zeros_like(x), np.zeros(len(x)), np.zeros(len(x))
+        for offset, length, weight, _ in self.parts:
+            here = x[:, offset : offset + length]
+            lanes[:, offset : offset + length] = here * (-2 * weight if self.l2 else -weight)
+            square = (here * here).sum(1)
+            plus, size = plus + weight * square, size + abs(weight) * square
+        one = np.ones(len(x))
+        if self.l2:
+            return self._augmented(lanes, lambda t: (plus - 2 * self.slack(t) * size, one))
+        return self._augmented(lanes, lambda t: (-self.slack(t) * np.sqrt((lanes * lanes).sum(1)), one))
+
+    def right(self, b: dict) -> np.ndarray | None:
+        y = self._row(b)
+        lanes, plus, size = np.zeros_like(y), np.zeros(len(y)), np.zeros(len(y))
+        for offset, length, weight, channel in self.parts:
+            here = y[:, offset : offset + length]
+            lanes[:, offset : offset + length] = here if channel is None else here * b["inv_norms"][:, channel].astype(np.float64)[:, None]
+            square = (here * here).sum(1)
+            plus, size = plus + weight * square, size + abs(weight) * square
+        bias = np.zeros(len(y))
+        if "_bias" in b and b["_bias"].dtype != object:
+            bias = np.nan_to_num(b["_bias"].astype(np.float64))
+        most = lambda t: self.sign * bias - self.slack(t) * np.abs(bias) - 2 * FLT_MIN * (t is np.float64)
+        if self.l2:
+            return self._augmented(lanes, lambda t: (np.ones(len(y)), plus - 2 * self.slack(t) * size + most(t)))
+        return self._augmented(lanes, lambda t: (np.sqrt((lanes * lanes).sum(1)), most(t)))
+
+    def _biases(self, q: dict, b: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Query, row and bias of the pairs that have one, by query and row."""
+        if "_bias_of" not in b:
+            return None
+        has = np.flatnonzero([x is not None and len(x) > 0 for x in b["_bias_of"]])
+        if not len(has):
+            return None
+        of, value = np.concatenate([b["_bias_of"][k] for k in has]), np.concatenate([b["_bias"][k] for k in has])
+        row = np.repeat(has, [len(b["_bias_of"][k]) for k in has])
+        order = np.argsort(q["query_id"], kind="stable")
+        at = np.minimum(np.searchsorted(q["query_id"], of, sorter=order), len(order) - 1)
+        here = np.flatnonzero(q["query_id"][order[at]] == of)
+        i, j, v = order[at[here]], row[here], value[here]
+        by = np.lexsort((j, i))
+        return i[by], j[by], v[by]
+
+    def adjust(self, lower: np.ndarray, q: dict, b: dict) -> None:
+        if (found := self._biases(q, b)) is not None:
+            i, j, v = found
+            lower[i, j] += (self.sign * v - 2.0**-20 * np.abs(v)).astype(lower.dtype)
+            lower[i, j] -= np.abs(lower[i, j]) * lower.dtype.type(2.0**-20)
+
+    def pairs(self, q: dict, i: np.ndarray, b: dict, j: np.ndarray) -> np.ndarray:
+        some, rows = block.rows_of(q, i), block.rows_of({k: v for k, v in b.items() if not k.startswith("_bias")}, j)
+        total = self._total(some, rows, lambda x, y: np.einsum("ij,ij->i", x, y), block.paired_dot, block.paired_l2, lambda v: v)
+        if "_bias" in b:
+            if (found := self._biases(q, b)) is not None:
+                bi, bj, v = found
+                keys, asked = bi.astype(np.int64) << 32 | bj, i.astype(np.int64) << 32 | j
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                return self._add(total, np.where(keys[at] == asked, v[at], np.nan))
+            if b["_bias"].dtype != object:
+                return self._add(total, b["_bias"][j].astype(np.float64))
+        return total
 
+    def all(self, q: dict, b: dict) -> np.ndarray:
+        return self._total(q, b, lambda x, y: whole_products(x, y), block.sequential_dot, block.sequential_l2, lambda v: v[:, None])
 
-def _biased(exact: bool) -> Callable[[np.ndarray, dict], np.ndarray]:
-    """Adds the bias of the rows that have one."""
+    def finish(self, fused: np.ndarray, b: dict) -> np.ndarray:
+        """Bias of the rows, on scores of all of them."""
+        return self._add(fused, b["_bias"].astype(np.float64)) if "_bias" in b else fused
 
-    def add(total: np.ndarray, b: dict) -> np.ndarray:
-        if "_bias" in b:
-            bias = b["_bias"].astype(np.float64)
-            has = ~np.isnan(bias)
-            total[:, has] = _floor(total[:, has] + bias[has]) if exact else total[:, has] + bias[has]
+    def _add(self, total: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        has = ~np.isnan(bias)
+        if has.any():
+            now = total[..., has] + bias[has]
+            total[..., has] = floored(now) if self.exact else now
         return total
 
-    return add
+    def _total(self, q: dict, b: dict, products, dot_of, l2_of, per_query) -> np.ndarray:
+        total = 0.0
+        for offset, length, weight, channel in self.parts:
+            at = slice(offset, offset + length)
+            if self.exact:
+                x, y = q["_q8"][:, at].astype(np.float64), b["q8"][:, at].astype(np.float64)
+                cross, rs, qs = products(x, y), b["scale"].astype(np.float64), per_query(q["q_scale"])  # whole numbers below 2**53
+                if self.l2:
+                    v = ((qs * qs) * per_query((x * x).sum(1)) + (rs * rs) * (y * y).sum(1)) - ((rs * qs) * cross) * 2.0
+                else:
+                    v = cross * (rs * qs)
+            else:
+                x = q["q"][:, at].astype(np.float64)
+                if self.l2:
+                    v = l2_of(x, self._row(b)[:, at])
+                else:
+                    v = dot_of(x, b["q8" if self.int8 else "vec"][:, at].astype(np.float64))
+                    v = b["scale"].astype(np.float64) * v if self.int8 else v
+                    v = v * b["inv_norms"][:, channel] if channel is not None else v
+            total = v if not self.plan.parts else total + weight * v
+        return floored(total) if self.exact else total
+
+
+def whole_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of int8 lanes, exact: sums below 2**24 in float32."""
+    if x.shape[1] * 127 * 127 < 1 << 24:
+        return (x.astype(np.float32) @ y.astype(np.float32).T).astype(np.float64)
+    return x @ y.T
 
 
 def _block_rows(bank: Bank, spec: QuerySpec, plan: Plan) -> DataFrame:
-    """What a block scan reads of the bank: rows that are not excluded, with their bias."""
+    """What a block scan reads of the bank: rows that are not excluded, with their bias; a bias for each query as two lists
+    (``_bias_of``, ``_bias``), as long as the queries at most."""
     rows = bank.df if spec.exclude is None else bank.df.where(~_predicate(spec.exclude))
     used = ["row_id", *(("q8", "scale") if bank.is_int8 else ("vec",))]
     if any(p[3] is not None for p in plan.parts):
         used.append("inv_norms")
     rows = rows.select(*used)
     if spec.bias is not None:
-        bias = spec.bias.select("row_id", F.col("bias").cast("double").alias("_bias"))
-        bias = F.broadcast(bias) if bias.limit(BROADCAST_BIAS + 1).count() <= BROADCAST_BIAS else bias
-        rows = rows.join(bias, "row_id", "left")
+        value = F.col("bias").cast("double").alias("_bias")
+        if "query_id" in spec.bias.columns:
+            bias = spec.bias.select("row_id", F.struct("query_id", value).alias("_of")).groupBy("row_id").agg(F.collect_list("_of").alias("_of"))
+            bias = bias.select("row_id", F.col("_of.query_id").alias("_bias_of"), F.col("_of._bias").alias("_bias"))
+        else:
+            bias = spec.bias.select("row_id", value)
+        rows = rows.join(_few(bias, spec.bias, BROADCAST_BIAS), "row_id", "left")
     return rows
 
 
+def _few(df: DataFrame, counted: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if ``counted`` has ``most`` rows or fewer."""
+    return F.broadcast(df) if counted.limit(most + 1).count() <= most else df
+
+
 def _block_hits(bank: Bank, queries: DataFrame, spec: QuerySpec, plan: Plan) -> DataFrame:
-    one, add = scorer(bank, plan), _biased(plan.exact_int)
-    hits = block.scan(_block_rows(bank, spec, plan), prepared(bank, queries, plan), lambda q, b: add(one(q, b), b), spec.k, plan.metric.higher_is_better, spec.exclude_self, 8 * bank.dims)
+    hits = block.scan(_block_rows(bank, spec, plan), prepared(bank, queries, plan), RowScorer(bank, plan), spec.k, spec.exclude_self, 8 * bank.dims)
     return hits.withColumn("score", F.col("score").cast("float")) if plan.exact_int else hits
 
 
@@ -230,40 +332,46 @@ def ranked(scored: DataFrame, metric: Metric, k: int) -> DataFrame:
     return top.select("query_id", "rank", "row_id", "score")
 
 
-def query_batch(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None, validate: bool = False) -> DataFrame:
+def _check(bank: Bank, queries: DataFrame, spec: QuerySpec) -> None:
+    """Queries or payloads, and bias, in a pass over each."""
+    if spec.exact_int and "q_scale" in queries.columns:
+        validate_payloads(bank, queries)
+    else:
+        validate_queries(bank, queries, spec.segments)
+    if spec.bias is not None:
+        validate_bias(bank, spec.bias)
+
+
+def query_batch(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None, validate: bool = True) -> DataFrame:
     """The k best rows of each query (query_id, q): query_id, rank, row_id, score. k = 0 gives none, before any check."""
     spec = spec or QuerySpec()
     check_spec(bank, spec)
     if spec.k == 0:
         return _none(bank)
     if validate:
-        if "q" in queries.columns:
-            validate_queries(bank, queries, spec.segments)
-        if spec.bias is not None:
-            validate_bias(bank, spec.bias)
+        _check(bank, queries, spec)
     plan = resolve(bank, spec)
-    by_query = spec.bias is not None and "query_id" in spec.bias.columns
-    strategy = "columns" if by_query else spec.strategy
+    strategy = spec.strategy
     if strategy == "auto":
         strategy = "block" if queries.limit(COLUMN_QUERIES + 1).count() > COLUMN_QUERIES else "columns"
     scored = _block_hits(bank, queries, spec, plan) if strategy == "block" else all_scores(bank, queries, spec)
     return ranked(scored, plan.metric, spec.k)
 
 
-def query(bank: Bank, q: DataFrame, spec: QuerySpec | None = None, validate: bool = False) -> DataFrame:
+def query(bank: Bank, q: DataFrame, spec: QuerySpec | None = None, validate: bool = True) -> DataFrame:
     """One query (a DataFrame of one row): rank, row_id, score. The limit becomes a top-k in every task."""
     spec = spec or QuerySpec()
     check_spec(bank, spec)
     if spec.k == 0:
         return _none(bank).drop("query_id")
-    if validate and "q" in q.columns:
-        validate_queries(bank, q, spec.segments)
+    if validate:
+        _check(bank, q, spec)
     metric = spec.metric(bank)
     top = all_scores(bank, q, spec).orderBy(*best_first(metric)).limit(spec.k)
     return ranked(top, metric, spec.k).drop("query_id")
 
 
-def query_intersect(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None, validate: bool = False) -> DataFrame:
+def query_intersect(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None, validate: bool = True) -> DataFrame:
     """Rows by the worst of their scores under all queries: rank, row_id, score. Bias counts once, on the fused score."""
     spec = spec or QuerySpec()
     check_spec(bank, spec)
@@ -272,15 +380,19 @@ def query_intersect(bank: Bank, queries: DataFrame, spec: QuerySpec | None = Non
     if spec.k == 0:
         return _none(bank).drop("query_id")
     if validate:
-        validate_queries(bank, queries, spec.segments)
+        _check(bank, queries, spec)
     metric, plan = spec.metric(bank), resolve(bank, spec)
-    if spec.strategy != "columns":
-        hits = block.fused_scan(_block_rows(bank, spec, plan), prepared(bank, queries, plan), scorer(bank, plan), _biased(plan.exact_int), spec.k, metric.higher_is_better, 8 * bank.dims)
+    worst = F.min("score") if metric.higher_is_better else F.max("score")
+    if spec.strategy == "columns":
+        scored = all_scores(bank, queries, replace(spec, bias=None))
+    else:
+        asked, score, size = prepared(bank, queries, plan), RowScorer(bank, plan), 8 * bank.dims
+        hits = block.fused_scan(_block_rows(bank, spec, plan), asked, score, score.finish, spec.k, size)
         if hits is not None:
             hits = hits.withColumn("score", F.col("score").cast("float")) if plan.exact_int else hits
             return ranked(hits, metric, spec.k).drop("query_id")
-    scored = all_scores(bank, queries, replace(spec, bias=None))
-    worst = F.min("score") if metric.higher_is_better else F.max("score")
+        scored = block.worst_scan(_block_rows(bank, replace(spec, bias=None), plan), asked, score, size)
+        scored = scored.withColumn("score", F.col("score").cast("float")) if plan.exact_int else scored
     fused = scored.groupBy("row_id").agg(worst.alias("score")).withColumn("query_id", F.lit(0).cast("bigint"))
     fused = with_bias(fused, spec, spec.exact_int)
     return ranked(fused.orderBy(*best_first(metric)).limit(spec.k), metric, spec.k).drop("query_id")
@@ -293,7 +405,8 @@ def decompose(bank: Bank, queries: DataFrame, hits: DataFrame, spec: QuerySpec)
     plan = resolve(bank, spec)
     if not plan.parts:
         plan = replace(plan, fold=None, parts=tuple((s.offset, s.length, float(s.weight), None) for s in spec.segments) or ((0, bank.dims, 1.0, None),))
-    pairs = hits.select("query_id", "row_id").join(F.broadcast(prepared(bank, queries, plan)), "query_id").join(bank.df, "row_id")
+    asked = prepared(bank, queries, plan)
+    pairs = hits.select("query_id", "row_id").join(_few(asked, asked, max(1, block.BROADCAST_BYTES // (8 * bank.dims))), "query_id").join(bank.df, "row_id")
     values = [floor_to_float(v) if plan.exact_int else v for v in part_scores(bank, plan)]
     return pairs.select("query_id", "row_id", F.posexplode(F.array(*values)).alias("segment", "contribution"))
 
