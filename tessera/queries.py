@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from .functions import validate
 from .functions.bake import bake, quantized_queries, rows_as_payloads, rows_as_queries
 from .functions.vectors import dequantized
-from .model import Bank, Channel, Metric, Quantization, QuerySpec, Segment
+from .model import BadFormat, Bank, Channel, Metric, Quantization, QuerySpec, Segment
 from .operators import analytics, compose, graph, matching, novelty, pca
 from .operators.query import decompose, margins, query, query_batch, query_intersect
 from .plans import oracle as o
 from .sources import sidecar, text
 from .storage import shared_dir
-from .streaming.scratch import ScratchBank
+from .streaming.scratch import RECALL_SEED, ScratchBank
 
 DIMS, K = 64, 10
 METRICS = {"cos": Metric.COSINE, "dot": Metric.DOT, "l2": Metric.L2}
@@ -503,16 +503,85 @@ def _relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _scr8 = o.int8(_scratch_rows)
 _add("scratch_relabel", _relabelled, o.exploded(f"(SELECT row_id, [{o.inverse_norm(o.part(o.lanes(), 0, 32))}, {o.inverse_norm(o.part(o.lanes(), 32, 32))}] AS inv FROM {_scr8})", "row_id", "inv"))
-_add("scratch_retained", lambda s, d: _scratch(s, d, "retained").retained_mismatches(), "SELECT vec_id AS row_id FROM embeddings WHERE false")
+
+
+def _damaged_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bank with the retained floats of label 2 doubled in store."""
+    made = _scratch(spark, sf_dir, "retained")
+    ids = _scratch_ids(spark, sf_dir).where("label = 2").select("row_id", F.lit(2.0).cast("float").alias("_by"))
+    rows = made._rows().join(ids, "row_id", "left")
+    rows = rows.withColumn("retained", F.transform("retained", lambda x: x * F.coalesce("_by", F.lit(1.0).cast("float")))).drop("_by")
+    rows.write.parquet(f"{made.path}/data/damaged")
+    return replace(made, manifest=replace(made.manifest, data=("data/damaged",))).retained_mismatches()
+
+
+_add("scratch_retained", _damaged_retained, f"SELECT row_id FROM {_ids} WHERE label = 2")
+
+
+def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = _scratch(spark, sf_dir, "frozen").freeze_with_recall(K, 100)
+    lanes = F.concat(F.col("q8").cast("array<double>"), F.col("inv_norms").cast("array<double>"))
+    return rows.df.select("row_id", F.posexplode(lanes).alias("pos", "value"))
+
+
+_dense8 = f"(SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, q8, [{', '.join(o.inverse_norm(o.part(o.lanes(), a, n)) for a, n in o.CHANNELS)}] AS inv FROM {_scr8})"
+_add("scratch_freeze_rows", _frozen, o.exploded(f"(SELECT row_id, list_concat(q8::DOUBLE[], inv::DOUBLE[]) AS v FROM {_dense8})", "row_id", "v"))
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bank tells of itself: before a row goes, after it, grown, loaded anew (all rows checked) and destroyed."""
+    made = _scratch(spark, sf_dir, "accounts")
+    held = made.snapshot()  # a reader of this version
+    report = made.recall(K, 10)
+    stale = made.stale(report)
+    made.remove(spark.createDataFrame([(0,)], "row_id bigint"))
+    made.grow(1 << 20)
+    again, info = ScratchBank.load(spark, made.path), ScratchBank.peek(spark, made.path)
+    bits = made.tombstone_words().agg(F.sum(F.bit_count("bits"))).first()[0]
+    row = (again.count, again.live_count(), held.df.count(), info.capacity, made.generation, bits, info.row_bytes, stale, made.stale(report), again.retained(held.df.select("row_id")).count())
+    made.destroy()
+    try:
+        ScratchBank.peek(spark, made.path)
+        gone = False
+    except BadFormat:
+        gone = True
+    return spark.createDataFrame([(*row, gone)], "n bigint, live bigint, held bigint, capacity bigint, generation bigint, removed bigint, row_bytes bigint, stale_before boolean, stale_after boolean, retained bigint, gone boolean")
+
+
+_live = "count(*) FILTER (label <> 3)"
+_add("scratch_accounts", _accounts, f"SELECT count(*) AS n, {_live} - 1 AS live, {_live} AS held, 1048576::BIGINT AS capacity, 4::BIGINT AS generation, count(*) - {_live} + 1 AS removed, (64 + 4 + 4 * 64)::BIGINT AS row_bytes, false AS stale_before, true AS stale_after, {_live} AS retained, true AS gone FROM {_ids}")
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all live rows as queries: the whole row (channel -1) and each channel."""
     made = _scratch(spark, sf_dir, "recall")
-    reports = [asdict(made.recall(K)) | {"channel": -1}, *(asdict(made.recall(K, channel=c)) | {"channel": c} for c in range(len(CHANNELS)))]
+    every = 1 << 28
+    reports = [asdict(made.recall(K, every)) | {"channel": -1}, *(asdict(made.recall(K, every, channel=c)) | {"channel": c} for c in range(len(CHANNELS)))]
     return spark.createDataFrame(reports, "channel int, recall double, k int, sample_count int, live_rows bigint, seed bigint, generation bigint, informative boolean")
 
 
-_add("scratch_recall", _recall)
+def _recall_sql() -> str:
+    parts = []
+    for c, (a, n) in enumerate([(0, DIMS), *o.CHANNELS], -1):
+        f = f"(SELECT row_id, {o.part('vec', a, n)} AS vec, label FROM srows)"
+        i = f"(SELECT row_id, {o.part('q8', a, n)} AS q8, scale, label FROM srows8)"
+        near = o.top(o.scored("f", "(SELECT row_id AS query_id, vec AS q FROM f)", o.float_score("cos")), True, K)
+        fast = o.top(o.scored("i", o.payload("(SELECT row_id AS query_id, vec AS q FROM f)"), o.xd_score("cos")), True, K)
+        parts.append(f"(WITH f AS MATERIALIZED {f}, i AS MATERIALIZED {i} SELECT {c} AS channel, (SELECT count(*) FROM ({near}) x JOIN ({fast}) y USING (query_id, row_id))::DOUBLE / (count(*) * {K}) AS recall, {K} AS k, count(*)::INTEGER AS sample_count, count(*) AS live_rows, {RECALL_SEED}::BIGINT AS seed, 3::BIGINT AS generation, count(*) >= 100 AS informative FROM f)")
+    return f"WITH srows AS MATERIALIZED {_scratch_rows}, srows8 AS MATERIALIZED {_scr8} " + " UNION ALL ".join(parts)
+
+
+_add("scratch_recall", _recall, _recall_sql())
+
+
+def _recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference ranking of a recall: retained floats in double, each row without itself."""
+    made = _scratch(spark, sf_dir, "reference")
+    floats = Bank(made.retained().join(made.snapshot().df.select("row_id"), "row_id", "left_semi"), DIMS, Metric.COSINE)
+    return query_batch(floats, rows_as_queries(floats, ASKED), SELF)
+
+
+_add("scratch_recall_topk", _recall_topk, o.top(o.scored(_scratch_rows, o.query_set(_scratch_rows, ASKED), o.float_score("cos")), True))
 
 
 def _sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -536,6 +605,41 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("source_words", _words, "SELECT 'w' || vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, unnest(embedding) AS value FROM embeddings WHERE label <> 0")
 
 
+def _ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest words of the first word, in a file of all rows as words."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}/ask"
+    line = F.concat_ws(" ", F.concat(F.lit("w"), F.col("row_id").cast("string")), F.array_join(F.col("vec").cast("array<string>"), " "))
+    rows(spark, sf_dir).select(line.alias("value")).repartitionByRange(2, "value").write.text(path)
+    words, named = text.word_bank(spark, path, DIMS)
+    return text.nearest_words(words, named, "w0", K).select("rank", "id", F.round("score", 6).alias("score"))
+
+
+_w8 = f"(SELECT 'w' || row_id AS row_id, q8, scale, label FROM {_cos8})"
+_add("ask_words", _ask, f"SELECT rank, row_id AS id, round(score, 6) AS score FROM ({o.top(o.scored(_w8, f'(SELECT row_id AS query_id, {o.lanes()} AS q FROM {_w8} WHERE row_id = ' + chr(39) + 'w0' + chr(39) + ')', o.dot('q.q', 'list_transform(b.q8, lambda x: x::DOUBLE * b.scale::DOUBLE)')), True)})")
+
+# -- payloads as queries -------------------------------------------------------------------------------------------
+
+
+def _by_payload(metric: str, single: bool) -> Query:
+    """Pooled labels as queries, which enter as payloads: all, or the first alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        b = bank(spark, sf_dir, metric, True)
+        pool = compose.pooled(b, _by_label(b))
+        if single:
+            return query(b, pool.where("query_id = 0"), QuerySpec(k=K, exact_int=True))
+        return query_batch(b, pool, QuerySpec(k=K, exact_int=True))
+
+    return run
+
+
+for _m in METRICS:
+    _b8 = o.int8(o.BANKS[_m])
+    _hits = o.top(o.scored(_b8, _pooled_sql(_b8, "1"), o.xd_score(_m), "true"), _m != "l2")
+    _add(f"topk_payload_batch_{_m}", _by_payload(_m, False), _hits)
+    _add(f"topk_payload_single_{_m}", _by_payload(_m, True), f"SELECT rank, row_id, score FROM ({_hits}) WHERE query_id = 0")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest other rows of each row asked, exact, in the integer mode."""
     return QUERIES["topk_batch_cos_xd"](spark, sf_dir)
