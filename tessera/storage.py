@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written since the innermost ``intermediates`` began.
-_open: list[list[DataFrame]] = []
+#: ``made``: for each ``intermediates`` that this thread is in, the tables written since it began.
+_scopes = threading.local()
+
+
+def _open() -> list[list[DataFrame]]:
+    if not hasattr(_scopes, "made"):
+        _scopes.made = []
+    return _scopes.made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +50,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     out._tessera_path = path
     files, folder = _folder(out)
     files.deleteOnExit(folder)
-    if _open:
-        _open[-1].append(out)
+    if _open():
+        _open()[-1].append(out)
     return out
 
 
@@ -59,12 +66,22 @@ def release(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def intermediates() -> Iterator[list[DataFrame]]:
-    """Releases, at its end, all that ``materialize`` wrote inside; take out of the list what shall stay."""
+def intermediates() -> Iterator[None]:
+    """Releases, at its end, what ``materialize`` wrote inside, but for tables that were ``kept``."""
     made: list[DataFrame] = []
-    _open.append(made)
+    _open().append(made)
     try:
-        yield made
+        yield
     finally:
-        _open.remove(made)
+        _open().pop()
         release(*made)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that outlives the innermost ``intermediates``; the next one around it may release it."""
+    scopes = _open()
+    if scopes:
+        scopes[-1][:] = [t for t in scopes[-1] if t is not df]
+        if len(scopes) > 1:
+            scopes[-2].append(df)
+    return df
