@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import mapped, slices
 
 WIDE = 64
 #: Words whose ids each Python worker keeps; beyond that it starts anew.
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             names = [id_col, "n_tokens", *["token_ids"] * ids, "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -302,4 +302,4 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
             texts = [bpe.decode(x or []) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], names=[id_col, "decoded"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, decoded string")
+    return mapped(source, run, f"`{id_col}` {kind}, decoded string")

@@ -1,58 +1,48 @@
-"""Helpers shared by the text operators: shared storage, batch slicing and word hashing.
+"""Helpers shared by the text operators: batch slicing and word hashing; and the library's shared storage.
 
 Words are maximal runs of characters outside ``\\x20\\x09-\\x0D``. Word and shingle hashes are 64 bits wide.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import intermediates, kept, materialize, release, shared_dir
+
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir"):
-        return folder
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, whose worker hands its free memory back at the end of each task: workers outlive tasks, stages and
+    queries, and the allocators keep what they once had."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(lean, schema)
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_tessera_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

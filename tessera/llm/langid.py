@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, slices, split_words
+from .common import crc_bucket, mapped, slices, split_words
 
 ROWS_PER_LANG = 4_000
 WORDS_PER_LANG = 30_000
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, learnable: Column | None = None, id_col: str = "doc_id"
                         total[kind, clean[i]] += int(n[i])
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total]), pa.array([w for _, w in total]), pa.array(list(total.values()), pa.int64())], schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
-    words = rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = mapped(rows, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for lang, part in words.where("n > 1").toPandas().groupby("lang"):  # as large as the bounded sample at most
         part = part.sort_values(["n", "word"], ascending=[False, True]).head(WORDS_PER_LANG)
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             pred = [langs[best[i]] if known[i] else "und" for i in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0) if langs else np.zeros(n))], names=[id_col, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

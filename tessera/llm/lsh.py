@@ -4,8 +4,8 @@ Each permutation gives two values of a set, its minimum and its maximum, for one
 several values name buckets; sets that share one are candidates. Of each other pair's 1-bit values a sketch is kept,
 which rejects candidates that lie far below the threshold (six standard deviations), before sets are compared in full.
 
-A bucket's members are not paired with each other. Each is compared with the bucket's least member, and in a second round
-with a few others; what links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
+A bucket's members are not paired with each other. Each is compared with the bucket's least member; in a second round one
+member of each component is compared with a few of those of the others; what links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
 elements are put in order: those that no other component holds, which no link between components can share, then the
 rest by how many sets hold them. The first element that two sets share bounds their overlap by what follows it in either,
 so it must lie early in both; how early depends on the sizes, and classes of sizes are part of the join's key. Sets that
@@ -24,7 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mix, release
+from .common import intermediates, kept, materialize, mix, release
+
+
+def fingerprints(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set of distinct values; 0 of an empty one."""
+    full = np.flatnonzero(np.diff(offsets))
+    f1, f2 = np.zeros(len(offsets) - 1, np.uint64), np.zeros(len(offsets) - 1, np.uint64)
+    if len(full):
+        f1[full] = np.add.reduceat(mix(values), offsets[:-1][full])
+        f2[full] = np.bitwise_xor.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), offsets[:-1][full])
+    return f1, f2
 
 
 @dataclass(frozen=True)
@@ -58,11 +68,9 @@ class Scheme:
         size = np.diff(offsets)
         full = np.flatnonzero(size)
         starts, n = offsets[:-1][full], len(size)
-        f1, f2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        f1, f2 = fingerprints(values, offsets)
         keys, sketch = np.zeros((len(full), self.bands), np.uint64), np.zeros((len(full), self.sketch_words), np.uint64)
         if len(full):
-            f1[full] = np.add.reduceat(mix(values), starts)
-            f2[full] = np.bitwise_xor.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
             for k in range(self.hashes):
                 a, b = mix(np.array([2 * k + 1, 2 * k + 2], np.uint64))
                 h = values * (a | np.uint64(1)) + b
@@ -80,7 +88,7 @@ class Scheme:
         return [pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64))), *(pa.array(spread[:, i].copy().view(np.int64)) for i in range(self.sketch_words))]
 
 
-#: Members of a bucket that the others are compared with in the second round.
+#: Members of a bucket that those of other components are compared with in the second round.
 PIVOTS = 16
 #: Ids (8 bytes) that are broadcast, and rows of a few numbers; more are joined by shuffle.
 BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 200_000
@@ -121,22 +129,27 @@ def _meetings(posted: DataFrame, percent: int, side: Callable[[DataFrame, str],
     return both.where(ordered & ((100 + percent) * (F.col("x_n") - F.col("x_at")) >= least) & ((100 + percent) * (F.col("y_n") - F.col("y_at")) >= least))
 
 
-def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Components of distinct sets whose Jaccard similarity is ``percent`` / 100 or more.
+def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int = 80) -> DataFrame:
+    """Links (a, b) of distinct sets whose Jaccard similarity is ``percent`` / 100 or more: verified ones, and as many as
+    make the components.
 
     ``items`` has id (bigint) and the scheme's fields, an id once; ``sets(ids)`` gives (id, set array<bigint>) of the ids.
-    Returns (id, comp) of every id with a link, comp the least id reachable, and the verified links (a, b) it rests on.
     """
+    with intermediates():
+        return kept(materialize(_linked(items, sets, scheme, percent), "links"))
+
+
+def _linked(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Scheme, percent: int) -> DataFrame:
     sketch = [f"s{i}" for i in range(scheme.sketch_words)]
     rows = items.select(F.explode("keys").alias("key"), "id")
     buckets = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "buckets")
     members = materialize(rows.join(few(buckets), "key").select("key", "id"), "members")
+    release(buckets)
     ids = materialize(members.select("id").distinct(), "ids")
     traits = materialize(items.select("id", "n", *sketch).join(few(ids), "id", "left_semi").dropDuplicates(["id"]), "traits")
     content = materialize(sets(few(ids)), "sets")
     if not content.groupBy("id").count().where("count > 1").isEmpty():  # repeated rows; else no set moves
         content = materialize(content.dropDuplicates(["id"]), "sets")
-    release(buckets)
     cand = materialize(members.join(few(traits, BROADCAST_ROWS), "id").select("key", "id", "n", *sketch), "candidates")
     release(members)
 
@@ -151,60 +164,60 @@ def link(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Schem
         return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link. A pivot of many pairs makes a large partition on its side, which Spark splits."""
         left, right = content.select(F.col("id").alias("a"), F.col("set").alias("_sa")), content.select(F.col("id").alias("b"), F.col("set").alias("_sb"))
-        both = pairs.join(right, "b").join(left, "a")
         common = F.size(F.array_intersect("_sa", "_sb"))
-        return both.select("a", "b", (100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).alias("linked"))
-
-    def settle(pairs: DataFrame) -> None:
-        """Verify pairs, and find the components again if one links."""
-        nonlocal labels, edges
-        found = materialize(verified(materialize(pairs, "pairs")).where("linked").select("a", "b"), "links")
-        if labels is not None and found.isEmpty():
-            return
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-
-    labels, edges = None, None
+        return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
+
     least = materialize(cand.groupBy("key").agg(F.min("id").alias("x_id")), "pivots")
-    settle(close(side(cand, "y").join(least.join(side(traits, "x"), "x_id"), "key").where("x_id <> y_id")))
+    first = close(side(cand, "y").join(least.join(side(traits, "x"), "x_id"), "key").where("x_id <> y_id"))
+    links = materialize(verified(materialize(first, "pairs")), "links")
 
     def still() -> DataFrame:
         """Members of the buckets that hold several components."""
+        labels = materialize(components(links), "labels")
         now = materialize(cand.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
         mixed = materialize(now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"), "open")
         return now.join(mixed, "key", "left_semi")
 
-    open_ = materialize(still(), "still")
-    slot = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-    more = open_.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("x_id")).join(least.withColumnRenamed("x_id", "_first"), "key").where("x_id <> _first")
-    some = materialize(more.select("key", "x_id"), "pivots").join(side(open_.drop("key").dropDuplicates(["id"]), "x"), "x_id")
-    settle(close(side(open_, "y").join(some, "key").where(F.col("x_comp") != F.col("y_comp"))))
-    rest = materialize(still().drop("key").dropDuplicates(["id"]), "rest")
-    if not rest.isEmpty():
-        posted = materialize(_postings(content, rest, percent), "postings")
-        settle(close(_meetings(posted, percent, side).where(F.col("x_comp") != F.col("y_comp"))))
-    return labels, edges
+    # each component of a bucket sends one member, which meets the first of every slot
+    member = F.struct("id", "comp", "n", *sketch)
+    sent = still().groupBy("key", "comp").agg(F.min(member).alias("_m"), F.min("id").alias("_id"))
+    sent = materialize(sent.select("key", F.pmod(F.xxhash64("_id"), F.lit(PIVOTS)).alias("_slot"), "_m"), "sent")
+    if not sent.isEmpty():
+        met = sent.groupBy("key", "_slot").agg(F.min("_m").alias("_m"))
+        pairs = side(sent.select("key", "_m.*"), "y").join(side(met.select("key", "_m.*"), "x"), "key").where(F.col("x_comp") != F.col("y_comp"))
+        links = links.unionByName(materialize(verified(materialize(close(pairs), "pairs")), "links"))
+        rest = materialize(still().drop("key").dropDuplicates(["id"]), "rest")
+        if not rest.isEmpty():
+            posted = materialize(_postings(content, rest, percent), "postings")
+            pairs = _meetings(posted, percent, side).where(F.col("x_comp") != F.col("y_comp"))
+            links = links.unionByName(verified(materialize(close(pairs), "pairs")))
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) as (id, comp), comp the least id: alternating large and small stars.
 
     Every step is a grouped minimum and a join, so no node's neighbours meet in one task."""
+    with intermediates():
+        stars = _stars(edges)
+        return kept(materialize(stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct()), "components"))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
+    while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         after = materialize(large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "small")
-        for old in (now, low, large):
-            release(old)
+        release(now, low, large)
         now = after
         # stars: a node has one parent, and no parent has one
         twice = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         nested = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")
         if twice.unionByName(nested).isEmpty():
             break
-    stars = now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())
+    return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))

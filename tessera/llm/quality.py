@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_text_sum, slices, text_bytes, word_hashes
+from .common import mapped, materialize, per_text_sum, slices, text_bytes, word_hashes
 from .rules import FEATURES, _features, duplicate_lines, repeated_words
 
 ROWS_PER_CLASS = 10_000
@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
         used = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "bad", "good"])
 
-    found = rows.mapInArrow(count, "bucket int, bad bigint, good bigint").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
+    found = mapped(rows, count, "bucket int, bad bigint, good bigint").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
     bad, good = np.zeros(FEATURES), np.zeros(FEATURES)
     bad[found["bucket"]], good[found["bucket"]] = found["bad"], found["good"]
     if not bad.sum() or not good.sum():
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
             x = model.evidence(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_y"), *(pa.array(x[:, i]) for i in range(5))], names=["y", *"abcde"])
 
-    seen = rows.where("_fold").mapInArrow(features, "y int, a double, b double, c double, d double, e double").toPandas()
+    seen = mapped(rows.where("_fold"), features, "y int, a double, b double, c double, d double, e double").toPandas()
     y, x = seen["y"].to_numpy(float), seen[list("abcde")].to_numpy(float)
     w, ridge = np.zeros(5), np.diag([1e-3, 0.05, 0.05, 0.05, 0.05])
     for _ in range(40):
@@ -111,7 +111,7 @@ def classify(docs: DataFrame, model: Model, host: Column | str = "source", path:
         for batch in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_host"), batch.column("_path"), pa.array(model.log_odds(batch.column("_text")))], names=[id_col, "_host", "_path", "_own"])
 
-    scored = source.mapInArrow(run, f"`{id_col}` {kind}, _host string, _path string, _own double")
+    scored = mapped(source, run, f"`{id_col}` {kind}, _host string, _path string, _own double")
     scored = materialize(scored.withColumn("_p", 1 / (1 + F.exp(-F.col("_own")))), "evidence")
     sums = [F.count("*").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")]
     paths = materialize(scored.groupBy("_host", "_path").agg(*sums), "paths")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, per_text_sum, slices, text_bytes, word_hashes
+from .common import mapped, mix, per_text_sum, slices, text_bytes, word_hashes
 
 FEATURES, GRAM = 1 << 16, 4
 TRUSTED_ROWS = 20_000
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
 
-    found = source.mapInArrow(count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    found = mapped(source, count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(FEATURES), np.zeros(FEATURES)
     raw[found["bucket"]], good[found["bucket"]] = found["raw"], found["good"]
     if not good.sum():
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
             columns = [*(batch.column(c) for c in lead), *map(pa.array, (words, per_text_sum(_CHAR[raw], at), per_text_sum(_SYMBOL[raw], at), lines, repeat, ratio, failed, ~failed & (ratio >= threshold)))]
             yield pa.RecordBatch.from_arrays(columns, names=[*lead, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def keep(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -153,4 +153,4 @@ def keep(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold:
             failed = (words < MIN_WORDS) | (100 * repeated_words(hashes, offsets) > MAX_REPEAT_PERCENT * words)
             yield batch.filter(pa.array(~failed & (ratio >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

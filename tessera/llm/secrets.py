@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize, slices
+from .common import fresh_name, mapped, materialize, slices
 
 #: Raise it with any change of the rules: blobs scanned under another version are unseen.
 RULE_VERSION = "3"
@@ -67,7 +67,7 @@ def scan(content: DataFrame, version: str = RULE_VERSION) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([version] * len(spans), pa.string()), pa.array(spans, _SPANS)], names=["blob", "rule_version", "spans"])
 
-    return content.select("blob", "text").mapInArrow(run, LEDGER)
+    return mapped(content.select("blob", "text"), run, LEDGER)
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
@@ -125,7 +125,7 @@ def redact_documents(docs: DataFrame, ledger: DataFrame, text_col: str = "text",
                     out = out.set_column(at, out.schema.field(at), pa.array(changed, out.schema.field(at).type))
             yield out
 
-    return joined.mapInArrow(run, docs.schema)
+    return mapped(joined, run, docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

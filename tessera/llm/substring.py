@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import distinct_per_text, materialize, mix, release, shingles, slices, text_bytes, word_hashes
+from .common import distinct_per_text, mapped, materialize, mix, release, shingles, slices, text_bytes, word_hashes
 from .rules import _BLANK, _CHAR_START
-from .lsh import Scheme, few, link
+from .lsh import Scheme, components, few, link
 
 #: A pair at 0.8 shares no bucket with a chance of 1 in 1,300, at 0.9 with 1 in 460,000; equal paragraphs always meet.
 SCHEME = Scheme(rows=3, bands=10, sketch_words=1)
@@ -61,7 +61,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*lead, *columns], names=["doc", "para", "start", "end", "words", *SCHEME.names])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).where("id is not null")
-    return source.mapInArrow(run, f"doc bigint, para int, start int, `end` int, words int, {SCHEME.fields}")
+    return mapped(source, run, f"doc bigint, para int, start int, `end` int, words int, {SCHEME.fields}")
 
 
 def winnow(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -130,7 +130,7 @@ def _seeds(source: DataFrame) -> DataFrame:
             ints = [pa.array(x.astype(np.int32)) for x in (at - zero, first - zero, last - zero, left[first], right[last + RUN_WORDS - 1])]
             yield pa.RecordBatch.from_arrays([*lead, *ints, pa.array(value.view(np.int64)), pa.array(around.view(np.int64))], names=["doc", "v", "pos", "a", "b", "start", "end", "h", "c"])
 
-    return source.mapInArrow(run, "doc bigint, v int, pos int, a int, b int, start int, `end` int, h bigint, c bigint")
+    return mapped(source, run, "doc bigint, v int, pos int, a int, b int, start int, `end` int, h bigint, c bigint")
 
 
 def _stretches(source: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _stretches(source: DataFrame) -> DataFrame:
             zero = offsets[text]
             yield pa.RecordBatch.from_arrays([*lead, pa.array((at - zero).astype(np.int32)), pa.array((first - zero).astype(np.int32)), pa.array(value.view(np.int64)), pa.array(around.view(np.int64)), *lists], names=["doc", "v", "pos", "a", "h", "c", "each", "starts", "ends"])
 
-    return source.mapInArrow(run, "doc bigint, v int, pos int, a int, h bigint, c bigint, each array<bigint>, starts array<int>, ends array<int>")
+    return mapped(source, run, "doc bigint, v int, pos int, a int, h bigint, c bigint, each array<bigint>, starts array<int>, ends array<int>")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,9 +219,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, min_words: int = MIN_W
                 listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64))).take(pa.array(full)) if len(lines) else pa.array([], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([f1, listed], names=["id", "set"])
 
-        return source.mapInArrow(run, "id bigint, set array<bigint>")
+        return mapped(source, run, "id bigint, set array<bigint>")
 
-    labels, _ = link(items, sets, SCHEME, percent)
+    labels = components(link(items, sets, SCHEME, percent))
     of_set = materialize(items.select("id", "_doc").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "components")
     placed = materialize(signed.select("doc", "para", "start", "end", "words", F.col("f1").alias("id")).join(of_set, "id").select("doc", "para", "start", "end", "words", "comp"), "occurrences")
     spans = materialize(placed.groupBy("comp").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).where("first_doc < _last").select("comp", "first_doc"), "repeats")

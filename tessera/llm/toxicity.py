@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import mapped, slices, split_words
 
 ROWS_PER_CLASS = 10_000
 PRIOR_STRENGTH = 500.0
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
             parts = [np.bincount(f[learn[d] & (toxic[d] == c)], minlength=len(index)) for c in (True, False) for d, f in ((doc, feature), (d1, f1))]
             yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), *map(pa.array, parts)], names=["feature", "t1", "d1", "t0", "d0"])
 
-    source = rows.mapInArrow(count, "feature string, t1 bigint, d1 bigint, t0 bigint, d0 bigint")
+    source = mapped(rows, count, "feature string, t1 bigint, d1 bigint, t0 bigint, d0 bigint")
     counts = source.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("t1", "d1", "t0", "d0")])
     size = rows.where("not _fold").groupBy("_y").count().collect()
     docs_of = {r["_y"]: float(r["count"]) for r in size}
@@ -196,7 +196,7 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
             got = [(n, *model.features(found, n)) for n, found in scan(batch.column("_text"), model)]
             yield pa.RecordBatch.from_arrays([batch.column("_y"), *(pa.array([float(g[i]) for g in got]) for i in range(4))], names=["y", "n", "a", "b", "c"])
 
-    seen = rows.mapInArrow(best, "y int, n double, a double, b double, c double").toPandas()
+    seen = mapped(rows, best, "y int, n double, a double, b double, c double").toPandas()
     y, x = seen["y"].to_numpy(float), np.column_stack([np.ones(len(seen)), seen[["a", "b", "c"]].to_numpy(float)])
     w, ridge = np.zeros(4), np.diag([1e-3, 0.1, 0.1, 0.1])
     for _ in range(30):
@@ -229,4 +229,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 passages.append([{"first_word": a, "end_word": b, "score": s, "p_value": p} for a, b, s in found if (p := model.p_value(s, n)) <= P_VALUE])
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(value), pa.array(passages, _PASSAGES)], names=[id_col, "score", "passages"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

@@ -58,7 +58,7 @@ def test_prefix_filter_finds_what_pivots_miss(spark):
     items = spark.createDataFrame([(i, s) for i, s in sets.items()], "id bigint, set array<bigint>")
     scheme = lsh.Scheme(rows=5, bands=32)
     flat = items.select("id", F.size("set").cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("f1"), F.lit(1).cast("bigint").alias("f2"), F.array(F.lit(7).cast("bigint")).alias("keys"), *[F.lit(0).cast("bigint").alias(f"s{i}") for i in range(scheme.sketch_words)])
-    labels, _ = lsh.link(materialize(flat, "flat"), lambda ids: items.join(ids, "id", "left_semi"), scheme)
+    labels = lsh.components(lsh.link(materialize(flat, "flat"), lambda ids: items.join(ids, "id", "left_semi"), scheme))
     got = {r["id"]: r["comp"] for r in labels.collect()}
     edges = [(a, b) for a in sets for b in sets if a < b and 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})]
     want = brute.components(sets, edges)
@@ -86,6 +86,28 @@ def test_min_max_signatures_estimate_similarity():
     assert abs(same - 0.8) < 0.08
 
 
+def test_an_id_with_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 80) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (7, a + " tail"), (9, b + " tail"), (2, c), (11, c), (12, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, words=2).collect()]
+    want = brute.near_duplicates(rows, 2)
+    assert sorted(got) == sorted((i, want[i], want[i] == i) for i, _ in rows)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from tessera.storage import shared_dir
+
+    df = spark.createDataFrame([(i, f"the same words again and again {i % 3}") for i in range(30)], "doc_id bigint, text string")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    minhash.near_duplicates(df, words=2).collect()
+    assert len(set(os.listdir(folder)) - before) == 2  # what the result itself reads
+
+
 def test_edges(messy, empty):
     rows = minhash.near_duplicates(messy, words=2).collect()
     assert len(rows) == messy.count()
