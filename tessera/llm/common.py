@@ -20,6 +20,8 @@ from ..storage import intermediates, kept, materialize, release, shared_dir
 
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
+#: The same where every byte or word has several numbers at a time.
+ARRAY_BYTES = 1 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

@@ -4,8 +4,8 @@ Each permutation gives two values of a set, its minimum and its maximum, for one
 several values name buckets; sets that share one are candidates. Of each other pair's 1-bit values a sketch is kept,
 which rejects candidates that lie far below the threshold (six standard deviations), before sets are compared in full.
 
-A bucket's members are not paired with each other. Each is compared with the bucket's least member; in a second round one
-member of each component is compared with a few of those of the others; what links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
+A bucket's members are not paired with each other. Each is compared with the bucket's least member; in a second round a few
+members of each component are compared with a few of the others; what links shares a component. What then still meets members of other components goes through an exact prefix filter. A set's
 elements are put in order: those that no other component holds, which no link between components can share, then the
 rest by how many sets hold them. The first element that two sets share bounds their overlap by what follows it in either,
 so it must lie early in both; how early depends on the sizes, and classes of sizes are part of the join's key. Sets that
@@ -15,16 +15,17 @@ lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import intermediates, kept, materialize, mix, release
+from .common import intermediates, kept, mapped, materialize, mix, release
 
 
 def fingerprints(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +64,6 @@ class Scheme:
 
     def arrays(self, values: np.ndarray, offsets: np.ndarray) -> list:
         """Arrow columns of ``fields`` for sets of distinct values one after another; an empty set has no keys."""
-        import pyarrow as pa
-
         size = np.diff(offsets)
         full = np.flatnonzero(size)
         starts, n = offsets[:-1][full], len(size)
@@ -90,6 +89,8 @@ class Scheme:
 
 #: Members of a bucket that those of other components are compared with in the second round.
 PIVOTS = 16
+#: Edges (16 bytes) that one task joins up.
+TASK_EDGES = 1_000_000
 #: Ids (8 bytes) that are broadcast, and rows of a few numbers; more are joined by shuffle.
 BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 200_000
 #: Sets of one class differ in size by this factor at most.
@@ -105,7 +106,7 @@ def _postings(content: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     """(id, token, at) of the elements that a link between components can be found by; ``at`` elements precede it."""
     tokens = content.join(rest.select("id", "comp"), "id").select("id", "comp", F.explode("set").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("_df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-    shared = materialize(held.where("_lo < _hi").select("token", "_df"), "shared")
+    shared = held.where("_lo < _hi").select("token", "_df")
     own = Window.partitionBy("id")
     listed = tokens.join(shared, "token").select("id", "token", F.row_number().over(own.orderBy("_df", "token")).alias("_k"), F.count("*").over(own).alias("_of"))
     placed = listed.join(rest, "id").withColumn("at", F.col("n") - F.col("_of") + F.col("_k") - 1)
@@ -169,44 +170,65 @@ def _linked(items: DataFrame, sets: Callable[[DataFrame], DataFrame], scheme: Sc
         common = F.size(F.array_intersect("_sa", "_sb"))
         return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
-    least = materialize(cand.groupBy("key").agg(F.min("id").alias("x_id")), "pivots")
+    least = cand.groupBy("key").agg(F.min("id").alias("x_id"))
     first = close(side(cand, "y").join(least.join(side(traits, "x"), "x_id"), "key").where("x_id <> y_id"))
-    links = materialize(verified(materialize(first, "pairs")), "links")
+    links = materialize(verified(first), "links")
 
     def still() -> DataFrame:
         """Members of the buckets that hold several components."""
-        labels = materialize(components(links), "labels")
+        labels = components(links)
         now = materialize(cand.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
-        mixed = materialize(now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"), "open")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
         return now.join(mixed, "key", "left_semi")
 
-    # each component of a bucket sends one member, which meets the first of every slot
+    # a component of a bucket sends a member of each slot at most, and they meet the first of every slot
     member = F.struct("id", "comp", "n", *sketch)
-    sent = still().groupBy("key", "comp").agg(F.min(member).alias("_m"), F.min("id").alias("_id"))
-    sent = materialize(sent.select("key", F.pmod(F.xxhash64("_id"), F.lit(PIVOTS)).alias("_slot"), "_m"), "sent")
+    sent = still().groupBy("key", "comp", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("_slot")).agg(F.min(member).alias("_m"))
+    sent = materialize(sent.select("key", "_slot", "_m"), "sent")
     if not sent.isEmpty():
         met = sent.groupBy("key", "_slot").agg(F.min("_m").alias("_m"))
         pairs = side(sent.select("key", "_m.*"), "y").join(side(met.select("key", "_m.*"), "x"), "key").where(F.col("x_comp") != F.col("y_comp"))
-        links = links.unionByName(materialize(verified(materialize(close(pairs), "pairs")), "links"))
+        links = links.unionByName(materialize(verified(close(pairs)), "links"))
         rest = materialize(still().drop("key").dropDuplicates(["id"]), "rest")
         if not rest.isEmpty():
             posted = materialize(_postings(content, rest, percent), "postings")
             pairs = _meetings(posted, percent, side).where(F.col("x_comp") != F.col("y_comp"))
-            links = links.unionByName(verified(materialize(close(pairs), "pairs")))
+            links = links.unionByName(verified(close(pairs)))
     return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) as (id, comp), comp the least id: alternating large and small stars.
+    """Connected components of (a, b) as (id, comp), comp the least id.
 
-    Every step is a grouped minimum and a join, so no node's neighbours meet in one task."""
+    Up to ``TASK_EDGES`` edges are joined up in one task; more by alternating large and small stars, where every step is a
+    grouped minimum and a join, so that no node's neighbours meet in one task."""
     with intermediates():
+        edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        if edges.count() <= TASK_EDGES:
+            return kept(materialize(mapped(edges.coalesce(1), _joined_up, "id bigint, comp bigint"), "components"))
         stars = _stars(edges)
         return kept(materialize(stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct()), "components"))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        lo, hi = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        if (lo == hi).all():
+            break
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "comp"])
+
+
+def _stars(now: DataFrame) -> DataFrame:
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")

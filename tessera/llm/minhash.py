@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_per_text, intermediates, kept, mapped, materialize, shingles, slices, word_hashes
+from .common import ARRAY_BYTES, distinct_per_text, intermediates, kept, mapped, materialize, shingles, slices, word_hashes
 from .lsh import Scheme, components, fingerprints, link
 
 #: A pair at 0.8 shares no bucket with a chance of 3e-6; sets that meet at 0.2 share one with 1 %.
@@ -25,7 +25,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, scheme:
     """id and the scheme's fields of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ARRAY_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("id"), *scheme.arrays(*_sets(batch.column("_text"), words))], names=["id", *scheme.names])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
@@ -55,7 +55,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             wanted = named.join(ids, "id", "left_semi")
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in slices(batches, "_text"):
+                for batch in slices(batches, "_text", ARRAY_BYTES):
                     values, at = _sets(batch.column("_text"), words)
                     same = pa.array(np.ones(batch.num_rows, bool))
                     for name, found in zip(("f1", "f2"), fingerprints(values, at), strict=True):  # another text of the same id
@@ -72,7 +72,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             texts = signed.where(full).join(several, "id", "left_semi").select("id", "f1", "f2").join(classes.select("f1", "f2", F.col("id").alias("b")), ["f1", "f2"])
             hubs = texts.groupBy("id").agg(F.min("b").alias("a"))
             links = links.unionByName(texts.join(hubs, "id").where("a <> b").select("a", "b").distinct())
-        labels = materialize(components(links), "labels")
+        labels = components(links)
         comps = classes.select("id", "doc").join(labels, "id").groupBy("comp").agg(F.min("doc").alias("_least"))
         of_class = classes.join(labels, "id", "left").join(comps, "comp", "left").select("f1", "f2", F.coalesce("_least", "doc").alias("comp"))
         of_class = kept(materialize(of_class, "components"))

@@ -3,8 +3,9 @@
 A classifier scores each document: hashed byte 4-gram log-odds of good against bad labelled text, with shares of repeated
 words and lines, through a logistic curve (both from a bounded sample of labelled rows, ``ROWS_PER_CLASS``, the least
 hashes of doc_id). Sites then add what their other documents say: a host's mean is shrunk toward the global mean, a
-path's mean toward its host's, with strengths from the variance within and between groups. The last step adds a
-document's own log-odds to those of its path, relative to the global ones.
+path's mean toward its host's, with strengths from the variance within and between groups. The last step adds to a
+document's own log-odds those of its path, relative to the global ones, by a weight that labelled documents decide: the
+classifier has seen some of a site's evidence already, so the two are not independent.
 """
 
 from __future__ import annotations
@@ -17,23 +18,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialize, per_text_sum, slices, text_bytes, word_hashes
-from .rules import FEATURES, _features, duplicate_lines, repeated_words
+from .common import ARRAY_BYTES, mapped, materialize, per_text_sum, slices, text_bytes, word_hashes
+from .lsh import few
+from .rules import _features, duplicate_lines, repeated_words
 
 ROWS_PER_CLASS = 10_000
-#: Site log-odds may move a document by so much at most.
-SITE_WEIGHT, SITE_LIMIT = 0.5, 1.5
-
+#: Hash buckets of the classifier, which learns from a bounded sample.
+FEATURES = 1 << 16
 
 @dataclass
 class Model:
     odds: np.ndarray
     weights: np.ndarray
+    #: The labelled documents that the log-odds have not seen (_id, _y), for the weight of sites.
+    curve: DataFrame | None = None
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """A row of features for each text."""
         raw, at = text_bytes(texts)
-        bucket, grams = _features(raw, at)
+        bucket, grams = _features(raw, at, FEATURES)
         ratio = per_text_sum(self.odds[bucket], grams) / np.maximum(np.diff(grams), 1)
         hashes, offsets = word_hashes(texts)
         words = np.maximum(np.diff(offsets), 1)
@@ -49,13 +52,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
     known = labels.where((F.lit(True) if learnable is None else learnable) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
     some = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(ROWS_PER_CLASS) for y in (0, 1)]
-    ids = some[0].unionByName(some[1]).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(4)) == 0)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_text", "_y", "_fold").dropDuplicates(["_text"])
+    ids = some[0].unionByName(some[1])
+    fold = F.pmod(F.xxhash64("_text", F.lit("fold")), F.lit(4)) == 0  # equal texts lie in one fold
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")
+    curve = materialize(rows.where(fold).groupBy("_id").agg(F.min("_y").alias("_y")), "curve")
+    rows = rows.groupBy("_text").agg(F.min("_y").alias("_y")).withColumn("_fold", fold)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, FEATURES), np.int64)
-        for batch in slices(batches, "_text"):
-            bucket, at = _features(*text_bytes(batch.column("_text")))
+        for batch in slices(batches, "_text", ARRAY_BYTES):
+            bucket, at = _features(*text_bytes(batch.column("_text")), FEATURES)
             y = batch.column("_y").to_numpy(zero_copy_only=False)
             learn = ~batch.column("_fold").to_numpy(zero_copy_only=False).astype(bool)
             for c in (0, 1):
@@ -74,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
     model = Model(odds, np.zeros(5))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ARRAY_BYTES):
             x = model.evidence(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_y"), *(pa.array(x[:, i]) for i in range(5))], names=["y", *"abcde"])
 
@@ -87,8 +93,22 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = w
-    return model
+    return Model(odds, w, curve)
+
+
+def _site_weight(joined: DataFrame, curve: DataFrame | None, id_col: str) -> float:
+    """How much of a site's log-odds (_shift) adds to a document's own (_own): the most likely weight of the labelled
+    documents, from 0 to 1, under a normal prior around 1/2."""
+    if curve is None:
+        return 0.5
+    seen = joined.select(F.col(id_col).alias("_id"), "_own", "_shift").join(F.broadcast(curve), "_id").toPandas()  # a bounded sample
+    own, shift, y = (seen[c].to_numpy(float) for c in ("_own", "_shift", "_y"))
+    w = 0.5
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(own + w * shift, -30, 30)))
+        step = (float((shift * (y - p)).sum()) - 4 * (w - 0.5)) / (float((shift * shift * p * (1 - p)).sum()) + 4)
+        w = min(1.0, max(0.0, w + step))
+    return w
 
 
 def _strength(groups: DataFrame, mean: Column) -> Column:
@@ -102,14 +122,16 @@ def classify(docs: DataFrame, model: Model, host: Column | str = "source", path:
     """One row for each document: id_col, doc_score, host_posterior, path_posterior, score, kept.
 
     ``host`` and ``path`` name a document's site, a path counting within its host; nulls form a site of their own. Null
-    texts are scored as empty ones; repeated rows each have a row; other columns are ignored."""
+    texts are scored as empty ones; texts of any length are read whole; repeated rows each have a row; an empty table gives no
+    rows; other columns are ignored."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.coalesce(as_column(host).cast("string"), F.lit("\0")).alias("_host"), F.coalesce(as_column(path).cast("string"), F.lit("\0")).alias("_path"))
     kind = source.schema[id_col].dataType.simpleString()
+    classifier = Model(model.odds, model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_host"), batch.column("_path"), pa.array(model.log_odds(batch.column("_text")))], names=[id_col, "_host", "_path", "_own"])
+        for batch in slices(batches, "_text", ARRAY_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_host"), batch.column("_path"), pa.array(classifier.log_odds(batch.column("_text")))], names=[id_col, "_host", "_path", "_own"])
 
     scored = mapped(source, run, f"`{id_col}` {kind}, _host string, _path string, _own double")
     scored = materialize(scored.withColumn("_p", 1 / (1 + F.exp(-F.col("_own")))), "evidence")
@@ -124,12 +146,11 @@ def classify(docs: DataFrame, model: Model, host: Column | str = "source", path:
     of_path = paths.agg(_strength(paths, F.col("_hs") / F.col("_hn"))).first()[0] or 1.0
     paths = materialize(paths.select("_host", "_path", F.col("n").alias("_n"), F.col("s").alias("_s"), "_hn", "_hs"), "sites")
 
-    joined = scored.join(paths, ["_host", "_path"])
+    joined = scored.join(few(paths), ["_host", "_path"])  # of many sites a hot one is split by Spark
     own = F.col("_p")  # a document's own score is no evidence of its site
     host_mean = (F.col("_hs") - own + of_host * mean) / (F.col("_hn") - 1 + of_host)
     path_mean = (F.col("_s") - own + of_path * host_mean) / (F.col("_n") - 1 + of_path)
     safe = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), path_mean))
-    shift = SITE_WEIGHT * (F.log(safe / (1 - safe)) - float(np.log(mean / (1 - mean))))
-    shift = F.least(F.lit(SITE_LIMIT), F.greatest(F.lit(-SITE_LIMIT), shift))
-    score = 1 / (1 + F.exp(-(F.col("_own") + shift)))
+    joined = joined.withColumn("_shift", F.log(safe / (1 - safe)) - float(np.log(mean / (1 - mean))))
+    score = 1 / (1 + F.exp(-(F.col("_own") + _site_weight(joined, model.curve, id_col) * F.col("_shift"))))
     return joined.select(id_col, own.alias("doc_score"), host_mean.alias("host_posterior"), path_mean.alias("path_posterior"), score.alias("score"), (score >= threshold).alias("kept"))

@@ -1,7 +1,7 @@
 """Quality rules: exact counts of each text, and a hashed n-gram log-likelihood ratio of trusted against raw text.
 
-Character (UTF-8 byte) 4-grams fall into ``FEATURES`` hash buckets. Raw counts come from every document, trusted ones from a
-bounded sample of rows that a label marks as good (``TRUSTED_ROWS``, the least hashes of doc_id). A document's score is
+Character (UTF-8 byte) 4-grams fall into hash buckets, whose number grows with the cube root of the corpus (``buckets_for``).
+Raw counts come from every document, trusted ones from every document that a label marks as good. A document's score is
 the mean log ratio of its n-grams under the two smoothed multinomials; it stays if no base rule fails and the score is
 ``THRESHOLD`` or more.
 """
@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, per_text_sum, slices, text_bytes, word_hashes
+from .common import ARRAY_BYTES, intermediates, mapped, materialize, mix, per_text_sum, slices, text_bytes, word_hashes
+from .lsh import few
 
-FEATURES, GRAM = 1 << 16, 4
-TRUSTED_ROWS = 20_000
+GRAM = 4
+#: Buckets for each cube root of a byte of text; at least ``LEAST_BITS`` bits of them. 2**18 for 0.5 GB, 2**20 for 30 GB, 2**24
+#: (128 MB) for 100 TB.
+BUCKETS, LEAST_BITS = 256, 16
 THRESHOLD = -0.4
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
@@ -63,7 +66,12 @@ def duplicate_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
-def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(text_bytes: int) -> int:
+    """A power of two."""
+    return 1 << max(LEAST_BITS, int(BUCKETS * text_bytes ** (1 / 3)).bit_length())
+
+
+def _features(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all ``GRAM``-byte grams one text after another, and the n + 1 offsets of the texts among them."""
     n = len(raw) - GRAM + 1
     counts = np.maximum(np.diff(offsets) - GRAM + 1, 0)
@@ -74,7 +82,7 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     code = raw[:n].astype(np.uint32)
     for j in range(1, GRAM):
         code = (code << np.uint32(8)) | raw[j : n + j]
-    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURES.bit_length() + 1)).astype(np.int32)
+    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(33 - buckets.bit_length())).astype(np.int32)
     inside = np.ones(n, bool)
     for j in range(1, GRAM):  # grams that would run into the next text
         cut = offsets[1:-1] - j
@@ -86,52 +94,59 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
-    """The log ratio of each bucket. The model has ``FEATURES`` numbers at any size of the input."""
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    trusted = trusted.orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED_ROWS).withColumn("_trusted", F.lit(True))
+    """The log ratio of each bucket, from all documents and all trusted ones; zeros without trusted text."""
+    with intermediates():
+        return _fit(docs, labels, id_col, text_col, label_col)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> np.ndarray:
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = buckets_for(size)
+    trusted = few(materialize(labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct(), "trusted"))
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    source = source.join(F.broadcast(trusted), "_id", "left").select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
+    source = source.join(trusted.withColumn("_trusted", F.lit(True)), "_id", "left").select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
-        for batch in slices(batches, "_text"):
-            bucket, at = _features(*text_bytes(batch.column("_text")))
-            raw += np.bincount(bucket, minlength=FEATURES)
+        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for batch in slices(batches, "_text", ARRAY_BYTES):
+            bucket, at = _features(*text_bytes(batch.column("_text")), buckets)
+            raw += np.bincount(bucket, minlength=buckets)
             mark = batch.column("_trusted").to_numpy(zero_copy_only=False).astype(bool)
             if mark.any():
-                good += np.bincount(bucket[np.repeat(mark, np.diff(at))], minlength=FEATURES)
+                good += np.bincount(bucket[np.repeat(mark, np.diff(at))], minlength=buckets)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
 
     found = mapped(source, count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    raw, good = np.zeros(FEATURES), np.zeros(FEATURES)
+    raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[found["bucket"]], good[found["bucket"]] = found["raw"], found["good"]
     if not good.sum():
-        return np.zeros(FEATURES)
+        return np.zeros(buckets)
     # the raw multinomial smooths the trusted one, so that a bucket neither has seen says nothing
-    prior = (raw + 1) / (raw.sum() + FEATURES)
+    prior = (raw + 1) / (raw.sum() + buckets)
     strength = 0.02 * float(good.sum())
     return np.log((good + strength * prior) / (good.sum() + strength)) - np.log(prior)
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: id_col, ``carry``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr,
-    base_failed, kept. A null text counts as empty and fails the base rules; repeated rows each have a row."""
+    base_failed, kept. A null text counts as empty and fails the base rules; repeated rows each have a row; texts of any length
+    are counted whole; an empty table gives no rows; other columns are ignored."""
     source = docs.select(id_col, text_col, *[c for c in carry if c not in (id_col, text_col)])
     lead = [id_col, *carry]
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in lead)
     schema = f"{fields}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, llr double, base_failed boolean, kept boolean"
-    weights = model.astype(np.float64)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, ARRAY_BYTES):
             texts = batch.column(text_col)
             hashes, offsets = word_hashes(texts)
             raw, at = text_bytes(texts)
             words = np.diff(offsets)
             repeat = repeated_words(hashes, offsets)
-            bucket, grams = _features(raw, at)
-            ratio = per_text_sum(weights[bucket], grams) / np.maximum(np.diff(grams), 1)
+            bucket, grams = _features(raw, at, len(shared.value))
+            ratio = per_text_sum(shared.value[bucket], grams) / np.maximum(np.diff(grams), 1)
             failed = (words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * words)
             lines = np.array([duplicate_lines(t) for t in texts.to_pylist()], np.int64)
             columns = [*(batch.column(c) for c in lead), *map(pa.array, (words, per_text_sum(_CHAR[raw], at), per_text_sum(_SYMBOL[raw], at), lines, repeat, ratio, failed, ~failed & (ratio >= threshold)))]
@@ -141,15 +156,17 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with all their columns, whatever their names."""
+    """The rows of ``docs`` that ``score`` keeps, with all their columns, whatever their names. Null and empty texts go; an empty table
+    stays empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, ARRAY_BYTES):
             texts = batch.column(text_col)
             hashes, offsets = word_hashes(texts)
             words = np.diff(offsets)
-            bucket, grams = _features(*text_bytes(texts))
-            ratio = per_text_sum(model[bucket], grams) / np.maximum(np.diff(grams), 1)
+            bucket, grams = _features(*text_bytes(texts), len(shared.value))
+            ratio = per_text_sum(shared.value[bucket], grams) / np.maximum(np.diff(grams), 1)
             failed = (words < MIN_WORDS) | (100 * repeated_words(hashes, offsets) > MAX_REPEAT_PERCENT * words)
             yield batch.filter(pa.array(~failed & (ratio >= threshold)))
 

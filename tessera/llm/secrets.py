@@ -3,6 +3,10 @@
 Every version of a text is addressed by the SHA-256 of its content. A ledger holds the spans found for each pair of blob
 and rule version. A scan takes only the pairs that the ledger lacks, adds them to it, and joins the spans back to every
 path (here: document) that holds the blob. Spans are code point offsets into the text, end exclusive.
+
+Texts stay where they lie. Without a ledger all blobs are unseen: each task scans its own texts, each content once, and the
+paths have their spans at once. With one, only hashes are shuffled to find the unseen blobs; their texts are picked by a
+broadcast of the hashes if those are few, and by a join else.
 """
 
 from __future__ import annotations
@@ -11,21 +15,24 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, mapped, materialize, slices
+from .lsh import few
 
 #: Raise it with any change of the rules: blobs scanned under another version are unseen.
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 
 _I = re.ASCII | re.IGNORECASE
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LABEL = r"(?:[A-Z]{2,10} )?PRIVATE KEY(?: BLOCK)?-----"
-#: Up to the END line; without one up to the first hyphen after the headers of an encrypted key.
-_PEM = re.compile(rf"-----BEGIN {_LABEL}(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*-----END {_LABEL}|\s*(?:(?:Proc-Type|DEK-Info):[^\n]*\n)*[^-]*)")
+#: Up to the END line, over text without five hyphens; without one up to the first hyphen after the headers of an encrypted key.
+_PEM = re.compile(rf"-----BEGIN {_LABEL}(?:(?:[^-]|-{{1,4}}[^-])*-----END {_LABEL}|\s*(?:(?:Proc-Type|DEK-Info):[^\n]*\n)*[^-]*)", re.ASCII)
+#: Blobs whose spans a task remembers.
+SEEN_BLOBS = 50_000
 #: Kinds in the order that breaks ties of a start. The first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "vendor")
 _MORE = (
@@ -53,36 +60,55 @@ LEDGER = f"blob binary, rule_version string, spans array<{SPAN}>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def blobs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each distinct content once: blob, text. Copies meet by hash and are merged before and after the shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+def _blob(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def _scanned(batch: pa.RecordBatch, seen: dict[bytes, list]) -> list[list]:
+    """Spans of each text of a batch (blob, text); ``seen`` has those of the task's last blobs."""
+    out = []
+    for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if (spans := seen.get(blob)) is None:
+            if len(seen) >= SEEN_BLOBS:
+                seen.clear()
+            spans = seen[blob] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(text)]
+        out.append(spans)
+    return out
 
 
 def scan(content: DataFrame, version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of the blobs in ``content`` (blob, text); a blob without a finding has empty spans."""
+    """``content`` (blob, text and others) with rule_version and spans in place of text; a blob without a finding has none."""
+    carry = [c for c in content.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list] = {}
         for batch in slices(batches, "text"):
-            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan_text(t)] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([version] * len(spans), pa.string()), pa.array(spans, _SPANS)], names=["blob", "rule_version", "spans"])
+            spans = _scanned(batch, seen)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array([version] * len(spans), pa.string()), pa.array(spans, _SPANS)], names=[*carry, "rule_version", "spans"])
+
+    lead = ", ".join(f"`{c}` {content.schema[c].dataType.simpleString()}" for c in carry)
+    return mapped(content, run, f"{lead}, rule_version string, spans array<{SPAN}>")
+
 
-    return mapped(content.select("blob", "text"), run, LEDGER)
+def _ledger(scanned: DataFrame) -> DataFrame:
+    return scanned.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """The rows to append to the ledger: blobs of ``docs`` that it lacks under this rule version."""
-    found = blobs(docs, text_col)
+    content = docs.select(_blob(text_col).alias("blob"), F.col(text_col).alias("text"))
     if ledger is not None:
-        found = found.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return scan(found, version)
+        known = ledger.where(F.col("rule_version") == version).select("blob")
+        unseen = materialize(content.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        content = content.join(few(unseen), "blob", "left_semi")
+    return _ledger(scan(content, version))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """Spans of every path: id_col, spans. Paths of equal content share the ledger's row; null texts count as empty.
 
     Only blobs with a finding are joined: the join moves 32 bytes for a path and never a text."""
-    paths = docs.select(id_col, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
+    paths = docs.select(id_col, _blob(text_col).alias("blob"))
     hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     return paths.join(hits, "blob", "left").select(id_col, F.coalesce("spans", F.from_json(F.lit("[]"), f"array<{SPAN}>")).alias("spans"))
 
@@ -90,9 +116,14 @@ def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_co
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scan what is unseen and report on all: (findings, rows to append to the ledger).
 
-    Empty tables give empty results; repeated rows each have a row; other columns are ignored."""
+    Null texts count as empty and have no spans; empty tables give empty results; repeated rows each have a row; texts of any
+    length are scanned whole; other columns are ignored."""
+    if ledger is None:
+        rows = docs.select(F.col(id_col).alias("_path"), _blob(text_col).alias("blob"), F.col(text_col).alias("text"))
+        scanned = materialize(scan(rows, version), "scanned")
+        return scanned.select(F.col("_path").alias(id_col), "spans"), _ledger(scanned)
     fresh = materialize(update_ledger(docs, ledger, text_col, version), "ledger")
-    known = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
+    known = ledger.select("blob", "rule_version", "spans").unionByName(fresh)
     return findings(docs, known, id_col, text_col, version), fresh
 
 
@@ -106,26 +137,35 @@ def redact(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_documents(docs: DataFrame, ledger: DataFrame, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
-    """``docs`` with the ledger's spans redacted, columns as they were; an ``n_chars`` column follows the new text."""
+def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
+    """``docs`` with the ledger's spans redacted, columns as they were; an ``n_chars`` column follows the new text. Without a
+    ledger the texts are scanned where they lie, and none moves. Nulls stay null; repeated rows and empty tables are as any."""
     blob, found = fresh_name(docs, "_blob"), fresh_name(docs, "_spans")
-    hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(found)).dropDuplicates([blob])
-    joined = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(hits, blob, "left").select(*docs.columns, found)
+    marked = docs.withColumn(blob, _blob(text_col))
+    fresh = ledger is None
+    if not fresh:
+        hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(found)).dropDuplicates([blob])
+        marked = marked.join(hits, blob, "left").select(*docs.columns, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list] = {}
         for batch in slices(batches, text_col):
-            spans = batch.column(found)
-            out = batch.drop_columns([found])
-            if spans.null_count < len(spans):
-                texts = [t if s is None else redact(t, s) for t, s in zip(batch.column(text_col).to_pylist(), spans.to_pylist(), strict=True)]
+            column = batch.column(text_col)
+            if fresh:
+                spans = _scanned(pa.RecordBatch.from_arrays([batch.column(blob), column], names=["blob", "text"]), seen)
+                out = batch.drop_columns([blob])
+            else:
+                spans, out = batch.column(found).to_pylist(), batch.drop_columns([found])
+            if any(spans):
+                texts = [redact(t, s) if s and t is not None else t for t, s in zip(column.to_pylist(), spans, strict=True)]
                 at = out.schema.get_field_index(text_col)
                 out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
-                if (at := out.schema.get_field_index("n_chars")) >= 0:
-                    changed = [n if s is None else len(t) for n, t, s in zip(out.column("n_chars").to_pylist(), texts, spans.to_pylist(), strict=True)]
+                if (at := out.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(out.schema.field(at).type):
+                    changed = [len(t) if s and t is not None else n for n, t, s in zip(out.column("n_chars").to_pylist(), texts, spans, strict=True)]
                     out = out.set_column(at, out.schema.field(at), pa.array(changed, out.schema.field(at).type))
             yield out
 
-    return mapped(joined, run, docs.schema)
+    return mapped(marked, run, docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import distinct_per_text, mapped, materialize, mix, release, shingles, slices, text_bytes, word_hashes
+from .common import ARRAY_BYTES, distinct_per_text, intermediates, kept, mapped, materialize, mix, release, shingles, slices, text_bytes, word_hashes
 from .rules import _BLANK, _CHAR_START
-from .lsh import Scheme, components, few, link
+from .lsh import BROADCAST_ROWS, Scheme, components, few, fingerprints, link
 
 #: A pair at 0.8 shares no bucket with a chance of 1 in 1,300, at 0.9 with 1 in 460,000; equal paragraphs always meet.
 SCHEME = Scheme(rows=3, bands=10, sketch_words=1)
@@ -52,7 +52,7 @@ def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ARRAY_BYTES):
             rows = [(i, k, at, line) for i, t in zip(batch.column("id").to_pylist(), batch.column("_text").to_pylist(), strict=True) for k, at, line in paragraphs(t, least)]
             lines = [r[3] for r in rows]
             hashes, offsets = word_hashes(pa.array(lines, pa.string()), lower=True)
@@ -120,7 +120,7 @@ def _seeds(source: DataFrame) -> DataFrame:
     and end (code points of the neighbourhood) of all seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ARRAY_BYTES):
             hashes, offsets = word_hashes(batch.column("_text"), lower=True)
             at, value, first, count, around, _ = winnow(hashes, offsets)
             left, right = _edges(batch.column("_text"), offsets)
@@ -137,7 +137,7 @@ def _stretches(source: DataFrame) -> DataFrame:
     """doc, v, pos, h, c, a and of each stretch of the seeds at ``_at`` its hash, start and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ARRAY_BYTES):
             hashes, offsets = word_hashes(batch.column("_text"), lower=True)
             at, value, first, count, around, each = winnow(hashes, offsets)
             left, right = _edges(batch.column("_text"), offsets)
@@ -160,18 +160,26 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Passages inside lines: id_col, start, end, words, component_id (the least hash of a seed), first_doc, kept.
 
     A passage ends where the next stretch is not repeated or is first held by another document, so passages of different
-    first documents may overlap; each is whole in its first document."""
+    first documents may overlap; each is whole in its first document. Null ids and texts of fewer than ``RUN_WORDS`` words give
+    no rows, an empty table none; the texts of a repeated id are searched each, and count as one document."""
+    with intermediates():
+        return kept(materialize(_windows(docs, id_col, text_col), "windows"))
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = _source(docs, id_col, text_col)
     seeds = materialize(_seeds(source), "seeds")
     held = seeds.groupBy("h").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"), (F.min("c") < F.max("c")).alias("_differ")).where("first_doc < _last").drop("_last")
-    marked = materialize(seeds.join(held, "h"), "repeats")
-    release(seeds)
+    # written, so that the join reads two exchanges and Spark can split a seed that very many documents hold
+    held = materialize(held, "held")
+    marked = materialize(seeds.join(few(held, BROADCAST_ROWS), "h"), "repeats")
+    release(seeds, held)
     whole = marked.where("not _differ").select("doc", "v", "a", "b", "start", "end", "h", "first_doc")
 
     # seeds whose neighbourhoods differ
     wanted = materialize(marked.where("_differ").groupBy("doc", "v").agg(F.collect_set("pos").alias("_at")), "wanted")
-    texts = source.join(few(wanted.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc", "v"])
-    listed = materialize(_stretches(texts.join(wanted, ["doc", "v"]).select("doc", "v", "_at", "_text")), "stretches")
+    texts = source.join(few(wanted), ["doc", "v"]).select("doc", "v", "_at", "_text")
+    listed = materialize(_stretches(texts), "stretches")
     around = listed.groupBy("h", "c").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.first(F.struct((F.col("a") - F.col("pos")).alias("off"), "each")).alias("_of"))
     around = materialize(around.select("h", "c", "_lo", "_hi", "_of.off", F.posexplode("_of.each").alias("i", "e")).withColumn("off", F.col("off") + F.col("i")), "neighbourhoods")
     shared = around.groupBy("h", "off", "e").agg(F.min("_lo").alias("first_doc"), F.max("_hi").alias("_last")).where("first_doc < _last").drop("_last")
@@ -193,42 +201,51 @@ def repeated_passages(docs: DataFrame, percent: int = 80, min_words: int = MIN_W
     kept; ``para`` is null for a passage found by windows, which may lie inside a line or span several.
 
     ``kept`` is true in the document of the least id. Null ids, null and empty texts, and short lines give no rows;
-    repeated rows of one id count as one document; an empty table gives no rows; other columns are ignored.
+    repeated rows of one id count as one document; texts of any length are searched whole; an empty table gives no rows;
+    other columns are ignored.
     """
-    inside = materialize(repeated_windows(docs, id_col, text_col), "inside")
-    signed = materialize(_signed(docs, id_col, text_col, min_words), "paragraphs")
-    # one paragraph of each set, by its 128-bit fingerprint; f1 names it from here on
-    distinct = signed.groupBy("f1").agg(*[F.first(c).alias(c) for c in SCHEME.names if c != "f1"], F.min("doc").alias("_doc"))
-    items = materialize(distinct.withColumnRenamed("f1", "id"), "distinct")
+    inside = repeated_windows(docs, id_col, text_col)
+    with intermediates():
+        by_para = kept(materialize(_paragraphs(docs, percent, min_words, run_words, id_col, text_col), "passages"))
+    return by_para.unionByName(inside.withColumn("para", F.lit(None).cast("int")))
+
+
+def _paragraphs(docs: DataFrame, percent: int, min_words: int, run_words: int, id_col: str, text_col: str) -> DataFrame:
+    signed = materialize(_signed(docs, id_col, text_col, min_words).withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
+    # one paragraph stands for all of its set
+    least = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc", "para", "uid")).alias("_first"))
+    classes = materialize(least.select("f1", "f2", "_first.doc", "_first.para", F.col("_first.uid").alias("id")), "classes")
+    items = signed.select(F.col("uid").alias("id"), *SCHEME.names).join(classes.select("id"), "id", "left_semi")
 
     def sets(ids: DataFrame) -> DataFrame:
         """The documents that first hold the wanted sets, and which of their paragraphs are wanted."""
-        homes = items.join(ids, "id", "left_semi").select("id", F.col("_doc").alias("doc"))
-        wanted = signed.select("doc", "para", F.col("f1").alias("id")).join(homes, ["id", "doc"], "left_semi").groupBy("doc").agg(F.collect_set("para").alias("_paras"))
-        source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text")).join(wanted, "doc").select("_paras", "_text")
+        wanted = classes.join(ids, "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("para", "id", "f1")).alias("_wanted"))
+        source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text")).join(wanted, "doc").select("_wanted", "_text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_text"):
-                lines = []
-                for t, ks in zip(batch.column("_text").to_pylist(), batch.column("_paras").to_pylist(), strict=True):
-                    want = set(ks)
-                    lines += [line for k, _, line in paragraphs(t, min_words) if k in want]
+            for batch in slices(batches, "_text", ARRAY_BYTES):
+                lines, ids, f1 = [], [], []
+                for t, asked in zip(batch.column("_text").to_pylist(), batch.column("_wanted").to_pylist(), strict=True):
+                    at = {k: line for k, _, line in paragraphs(t, min_words)}
+                    for w in asked:
+                        if w["para"] in at:
+                            lines.append(at[w["para"]])
+                            ids.append(w["id"])
+                            f1.append(w["f1"])
                 values, at = _sets(lines)
-                full = np.flatnonzero(np.diff(at))
-                f1 = SCHEME.arrays(values, at)[1].take(pa.array(full)) if len(full) else pa.array([], pa.int64())
-                listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64))).take(pa.array(full)) if len(lines) else pa.array([], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([f1, listed], names=["id", "set"])
+                same = fingerprints(values, at)[0].view(np.int64) == np.array(f1, np.int64)  # not another text of the same id
+                listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), listed], names=["id", "set"]).filter(pa.array(same))
 
         return mapped(source, run, "id bigint, set array<bigint>")
 
     labels = components(link(items, sets, SCHEME, percent))
-    of_set = materialize(items.select("id", "_doc").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "components")
-    placed = materialize(signed.select("doc", "para", "start", "end", "words", F.col("f1").alias("id")).join(of_set, "id").select("doc", "para", "start", "end", "words", "comp"), "occurrences")
-    spans = materialize(placed.groupBy("comp").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).where("first_doc < _last").select("comp", "first_doc"), "repeats")
-    marked = placed.join(spans, "comp", "left")
+    of_set = materialize(classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("comp")), "components")
+    placed = materialize(signed.select("doc", "para", "start", "end", "words", "f1", "f2").join(of_set, ["f1", "f2"]).select("doc", "para", "start", "end", "words", "comp"), "occurrences")
+    spans = materialize(placed.groupBy("comp").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).where("first_doc < _last").select("comp", "first_doc"), "spans")
+    marked = placed.join(few(spans, BROADCAST_ROWS), "comp", "left")
 
     by_doc = Window.partitionBy("doc").orderBy("para")
-    marked = marked.repartition("doc").dropDuplicates(["doc", "para"]).withColumn("_island", F.sum(F.col("first_doc").isNull().cast("int")).over(by_doc))
+    marked = marked.dropDuplicates(["doc", "para"]).withColumn("_island", F.sum(F.col("first_doc").isNull().cast("int")).over(by_doc))
     runs = marked.where("first_doc is not null").withColumn("_run", F.sum("words").over(Window.partitionBy("doc", "_island"))).where(F.col("_run") >= run_words)
-    by_para = runs.select(F.col("doc").alias(id_col), "para", "start", "end", "words", F.col("comp").alias("component_id"), "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))
-    return by_para.unionByName(inside.withColumn("para", F.lit(None).cast("int")))
+    return runs.select(F.col("doc").alias(id_col), "para", "start", "end", "words", F.col("comp").alias("component_id"), "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))

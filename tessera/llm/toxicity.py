@@ -3,11 +3,11 @@
 A token's features are the word itself and its beginnings (stems). They score by the log-odds of toxic against clean
 labelled documents under an informative Dirichlet prior; a token has the score of its best feature, and a small negative
 drift if none is significant. A linear-time scan finds all maximal segments of a
-text. The best segment's score is normalised by the extreme-value law of such scores (Karlin and Altschul's lambda and
-K under the clean background), and a logistic curve turns it into a probability.
+text. The best segment's score is normalised by the extreme-value law of such scores: lambda is Karlin and Altschul's under
+the clean background, K the most likely one for the best scores of clean texts. A logistic curve turns it into a probability.
 
-Both fits use a bounded sample of labelled rows (``ROWS_PER_CLASS``, the least hashes of doc_id): four fifths of it give
-the log-odds, one fifth the curve.
+All fits use a bounded sample of labelled rows (``ROWS_PER_CLASS``, the least hashes of doc_id): four fifths of its texts give
+the log-odds, one fifth K and the curve. Of equal texts with several labels the greatest counts.
 """
 
 from __future__ import annotations
@@ -109,11 +109,11 @@ def scan(texts: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, i
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """The bounded sample, each text once: _text, _y, _fold (True: for the curve)."""
+    """The bounded sample, each text once: _text, _y, _fold (True: for K and the curve)."""
     known = labels.where(learnable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     some = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(ROWS_PER_CLASS) for y in (0, 1)]
-    ids = some[0].unionByName(some[1]).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(5)) == 0)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_text", "_y", "_fold").dropDuplicates(["_text"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some[0].unionByName(some[1])), "_id")
+    return rows.groupBy("_text").agg(F.max("_y").alias("_y")).withColumn("_fold", F.pmod(F.xxhash64("_text", F.lit("fold")), F.lit(5)) == 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -190,7 +190,24 @@ def _lambda(odds: np.ndarray, share: np.ndarray, drift: float) -> float:
     return (low + high) / 2
 
 
+def _fit_k(rows: DataFrame, model: Model) -> float:
+    """The most likely K for the best scores x of clean texts of n words: n * exp(-lambda * x) is exponential with rate K, and
+    at least n where no token scores."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            got = [(n, max((s for *_, s in found), default=0.0)) for n, found in scan(batch.column("_text"), model) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["n", "x"])
+
+    seen = mapped(rows.where("_y = 0"), best, "n bigint, x double").toPandas()
+    x = seen["x"].to_numpy(float)
+    total = float((seen["n"].to_numpy(float) * np.exp(-np.minimum(700.0, model.lam * x))).sum())
+    return max(0.5, float((x > 0).sum())) / total if total > 0 else model.k
+
+
 def _calibrate(rows: DataFrame, model: Model) -> Model:
+    model.k = _fit_k(rows, model)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             got = [(n, *model.features(found, n)) for n, found in scan(batch.column("_text"), model)]
@@ -217,7 +234,8 @@ _PASSAGES = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int3
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col, score (0 to 1), passages (its significant segments, by word number).
 
-    Null, empty and clean texts have the score of a text without a toxic word; repeated rows each have a row."""
+    Null, empty and clean texts have the score of a text without a toxic word; texts of any length are scanned whole; repeated
+    rows each have a row; an empty table gives no rows; other columns are ignored."""
     source = docs.select(id_col, text_col)
     schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, score double, passages array<{PASSAGE}>"
 

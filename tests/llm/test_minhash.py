@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import lsh, minhash
@@ -32,8 +33,10 @@ def test_five_words(spark, sf, documents):
     assert {i: r["component_id"] for i, r in got.items()} == brute.near_duplicates(docs, 5)
 
 
-def test_chains_across_shared_passages(spark):
+@pytest.mark.parametrize("most", [lsh.TASK_EDGES, 0])
+def test_chains_across_shared_passages(spark, monkeypatch, most):
     """Every document of a large group meets every other in some bucket; links between far ends must not be lost."""
+    monkeypatch.setattr(lsh, "TASK_EDGES", most)
     rng = random.Random(3)
     words = sentence(rng, 60).split()
     docs, text = [], list(words)
@@ -65,7 +68,9 @@ def test_prefix_filter_finds_what_pivots_miss(spark):
     assert {i: got.get(i, i) for i in sets} == want
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("most", [lsh.TASK_EDGES, 0])
+def test_components_of_a_long_path(spark, monkeypatch, most):
+    monkeypatch.setattr(lsh, "TASK_EDGES", most)
     order = list(range(200))
     random.Random(5).shuffle(order)
     edges = spark.createDataFrame([*zip(order, order[1:], strict=False), (500, 501), (501, 502), (7, 7)], "a bigint, b bigint")

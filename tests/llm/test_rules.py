@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
@@ -33,6 +33,36 @@ def counts(text: str | None) -> tuple:
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def test_query_verdicts(spark, sf, documents):
+    """The ratio and the verdict of every document, recomputed from the texts alone."""
+    from math import log
+
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in documents.collect()}
+    good_ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    size = sum(map(len, text.values()))
+    bits = max(16, int(256 * size ** (1 / 3)).bit_length())
+    grams = {i: [(int.from_bytes(t[j : j + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits) for j in range(len(t) - 3)] for i, t in text.items()}
+    raw, good = Counter(g for v in grams.values() for g in v), Counter(g for i in good_ids for g in grams[i])
+    n_raw, n_good = raw.total() + (1 << bits), good.total()
+    strength = 0.02 * n_good
+
+    def ratio(g):
+        prior = (raw[g] + 1) / n_raw
+        return log((good[g] + strength * prior) / (n_good + strength)) - log(prior)
+
+    each = {g: ratio(g) for g in raw}
+    for r in op7_quality_rules(spark, sf).collect():
+        mine = grams[r["doc_id"]]
+        want = sum(each[g] for g in mine) / max(1, len(mine))
+        assert abs(r["llr"] - want) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and want >= rules.THRESHOLD)
+
+
+def test_the_model_grows_with_the_corpus():
+    sizes = [rules.buckets_for(n) for n in (0, 10**6, 10**8, 10**9, 3 * 10**10, 10**14)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 16 and sizes[-1] >= 64 * sizes[2]
+
+
 def test_query_counts(spark, sf, documents):
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
     rows = op7_quality_rules(spark, sf).collect()
@@ -58,18 +88,17 @@ def test_counts_of_any_texts(texts):
 
 def test_ratio_is_the_mean_log_ratio():
     rng = np.random.default_rng(0)
-    model = rng.normal(size=rules.FEATURES)
+    model = rng.normal(size=1 << 16)
     texts = ["abcdefgh", "", "abc", "été déjà"]
     import pyarrow as pa
 
     from tessera.llm.common import text_bytes
 
-    bucket, at = rules._features(*text_bytes(pa.array(texts)))
+    bucket, at = rules._features(*text_bytes(pa.array(texts)), len(model))
     for i, t in enumerate(texts):
         raw = t.encode()
         want = [((int.from_bytes(raw[j : j + 4], "big") * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for j in range(len(raw) - 3)]
         assert bucket[at[i] : at[i + 1]].tolist() == want
-    assert len(model) == 1 << 16
 
 
 def test_junk_goes_and_prose_stays(spark):

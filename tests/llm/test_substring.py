@@ -93,7 +93,7 @@ def test_passages_inside_lines(spark):
     for i in (4, 9, 30):
         words = docs[i][1].split()
         at = rng.randrange(150)
-        docs[i] = (i, " ".join([*words[:at], "Ü é", passage.upper() if i == 9 else passage, *words[at:]]))
+        docs[i] = (i, " ".join([*words[:at], f"Ü é{i}", passage.upper() if i == 9 else passage, *words[at:]]))
     text = dict(docs)
     rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {(r["doc_id"], r["kept"], r["first_doc"]) for r in rows} == {(4, True, 4), (9, False, 4), (30, False, 4)}
