@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import Bank, Channel, Metric, Quantization, QuerySpec, Segment, queries
 from tessera.functions import validate
 from tessera.functions.bake import bake, quantized_queries, rows_as_queries, with_channels
+from tessera.functions.ids import dense_ids
 from tessera.model import BadFormat, CapacityExceeded, DimensionMismatch, InvalidArgument, NonFiniteInput, NonFiniteQuery, UnsupportedMode, ZeroNormQuery, ZeroNormRow
 from tessera.operators import analytics, compose, graph, matching, novelty, pca
 from tessera.operators.query import decompose, query, query_batch, query_intersect
@@ -68,6 +70,60 @@ def test_blocks_of_queries_meet_blocks_of_rows(small, monkeypatch):
     monkeypatch.setattr(block, "BROADCAST_BYTES", 0)
     assert hits(query_batch(b, rows_as_queries(b), spec)) == want
     assert hits(analytics.nearest(b, sets)) == near
+    for spec in (QuerySpec(k=5), QuerySpec(k=5, exact_int=True, segments=SEGMENTS)):
+        assert hits(query_intersect(b, rows_as_queries(b), spec)) == hits(query_intersect(b, rows_as_queries(b), replace(spec, strategy="columns")))
+
+
+def test_dense_ids_of_many_rows(spark):
+    df = spark.range(2_000_000).select(F.xxhash64("id").alias("ord"), F.sha2(F.col("id").cast("string"), 256).alias("payload")).dropDuplicates(["ord"])
+    n = df.count()
+    found = dense_ids(df, "ord").select("row_id", "ord")
+    assert found.agg(F.count("*"), F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first()[:] == (n, n, 0, n - 1)
+    assert found.orderBy("row_id").limit(3).collect() == found.orderBy("ord").limit(3).collect()
+
+
+def test_appended_and_frozen_ids(spark, tmp_path):
+    made = ScratchBank.create(spark, f"file://{tmp_path}/bank", 16, Metric.DOT)
+    rows = spark.range(300_000).select(F.xxhash64("id").alias("ord"), F.array(*[F.rand(i).cast("float") for i in range(16)]).alias("vec")).dropDuplicates(["ord"])
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    made.append(rows.where("ord % 2 = 0"))
+    made.append(rows.where("ord % 2 <> 0"))
+    made.verify()
+    made.remove(made.snapshot().df.where("row_id % 3 = 0").select("row_id"))
+    frozen, ids = made.freeze()
+    live = made.live_count()
+    assert frozen.df.agg(F.count("*"), F.count_distinct("row_id"), F.max("row_id")).first()[:] == (live, live, live - 1)
+    assert ids.where("new_id >= 0").agg(F.count_distinct("new_id")).first()[0] == live
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_lose_no_row(spark, seed):
+    """Blocks against columns on lanes of wild sizes, with ties, zeros, repeated rows, bias and negative weights."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(300, 48)) * 10.0 ** rng.integers(-3 - 6 * seed, 3 + 6 * seed, (300, 1))
+    x[::7] = x[3]
+    x[5::11] = 0
+    x[::13, ::2] = 0
+    df = frame(spark, x)
+    bias = spark.createDataFrame([(i, j, float(rng.normal())) for i in range(0, 60, 3) for j in range(0, 300, 5)], "query_id bigint, row_id bigint, bias float")
+    for metric, kind in ((Metric.DOT, Quantization.FLOAT32), (Metric.L2, Quantization.FLOAT32), (Metric.L2, Quantization.INT8), (Metric.DOT, Quantization.INT8)):
+        b = bake(df, 48, metric, kind)
+        q = rows_as_queries(b, F.col("row_id") < 60)
+        for spec in (dict(), dict(segments=SEGMENTS), dict(bias=bias), dict(bias=bias.where("query_id = 0").drop("query_id")), dict(exact_int=kind is Quantization.INT8, bias=bias, exclude_self=True)):
+            a, c = (query_batch(b, q, QuerySpec(k=6, strategy=s, **spec)) for s in ("columns", "block"))
+            assert hits(a) == hits(c)
+
+
+def test_payloads_are_checked(spark, small):
+    b = bake(small, 48, Metric.COSINE, Quantization.INT8)
+    good = quantized_queries(rows_as_queries(b, "row_id < 2"))
+    assert hits(query_batch(b, good, QuerySpec(k=3, exact_int=True))) == hits(query_batch(b, rows_as_queries(b, "row_id < 2"), QuerySpec(k=3, exact_int=True)))
+    for column, value, error in (("q_scale", "-1.0D", InvalidArgument), ("q_scale", "double('inf')", InvalidArgument), ("q_sq", "q_sq + 1", InvalidArgument), ("q8", "slice(q8, 1, 4)", DimensionMismatch)):
+        with pytest.raises(error):
+            query_batch(b, good.withColumn(column, F.expr(value)), QuerySpec(exact_int=True))
+    with pytest.raises(ZeroNormQuery):
+        query_batch(b, good.withColumn("q8", F.transform("q8", lambda x: F.lit(0).cast("tinyint"))).withColumn("q_sq", F.lit(0).cast("bigint")), QuerySpec(exact_int=True))
 
 
 def test_contributions_add_up(small):
@@ -113,9 +169,12 @@ def test_errors(spark, small):
     with pytest.raises(UnsupportedMode):
         query_batch(b, q, QuerySpec(exact_int=True))
     bad = lambda v: spark.createDataFrame([(0, v)], "query_id bigint, q array<float>")
-    for values, error in (([1.0] * 4, DimensionMismatch), ([float("nan")] * 48, NonFiniteQuery), ([0.0] * 48, ZeroNormQuery)):
-        with pytest.raises(error):
-            query_batch(b, bad(values), QuerySpec(), validate=True)
+    for values, error in (([1.0] * 4, DimensionMismatch), ([float("nan")] * 48, NonFiniteQuery), ([0.0] * 48, ZeroNormQuery), (None, DimensionMismatch)):
+        for ask in (query, query_batch, query_intersect):
+            with pytest.raises(error):
+                ask(b, bad(values), QuerySpec())
+    with pytest.raises(ZeroNormQuery):
+        query_batch(b, bad([1.0] + [0.0] * 47), QuerySpec(segments=(Segment(4, 4),)))
     for vectors, error in (([[1] * 4], DimensionMismatch), ([[float("inf")] * 48], NonFiniteInput), ([[0] * 48], ZeroNormRow)):
         with pytest.raises(error):
             bake(frame(spark, vectors), 48, Metric.COSINE, validate=True)
@@ -126,7 +185,7 @@ def test_errors(spark, small):
         novelty.baseline(bake(small, 48, Metric.DOT), 3).count()
     bias = spark.createDataFrame([(0, 1.0), (0, 2.0)], "row_id bigint, bias float")
     with pytest.raises(InvalidArgument):
-        query_batch(b, q, QuerySpec(bias=bias), validate=True)
+        query_batch(b, q, QuerySpec(bias=bias))
     validate.validate_bank(b, data=True)
     with pytest.raises(NonFiniteInput):
         validate.validate_bank(Bank(small, 48, Metric.COSINE), data=True)
@@ -219,11 +278,79 @@ def test_scratch_life(spark, small, tmp_path):
     assert again.manifest == made.manifest and ScratchBank.load(spark, path, 1).count == 40
     with pytest.raises(InvalidArgument):
         ScratchBank.create(spark, path, 48, Metric.COSINE)
+    *_, reports = made.freeze_with_recall(3)
+    assert [r.sample_count for r in reports] == [58, 58] and all(r.recall > 0.9 and not r.informative for r in reports)
+    info = ScratchBank.peek(spark, path)
+    assert (info.count, info.row_bytes, info.padded_dims) == (60, 48 + 4 + 4 * 48, 48) and info.stored_bytes > 0
     made.destroy()
     with pytest.raises(BadFormat):
         ScratchBank.load(spark, path)
 
 
+def test_recall_of_few_rows(spark, small, tmp_path):
+    made = ScratchBank.create(spark, f"file://{tmp_path}/few", 48, Metric.DOT, retain_floats=True)
+    assert made.recall().recall == 0.0
+    made.append(small.where("row_id < 4").withColumnRenamed("row_id", "ord"))
+    report = made.recall()
+    assert (report.k, report.sample_count, report.recall) == (3, 4, 1.0)
+
+
+def test_damaged_archives(spark, small, tmp_path):
+    path = tmp_path / "bank"
+    made = ScratchBank.create(spark, f"file://{path}", 48, Metric.COSINE, capacity=80, channels=(Channel("a", 0, 16),), retain_floats=True)
+    made.append(small.withColumnRenamed("row_id", "ord"))
+    ScratchBank.load(spark, f"file://{path}")
+    manifest = path / "manifest" / f"{made.manifest.version}.json"
+    good = json.loads(manifest.read_text())
+
+    def stored(m) -> None:
+        manifest.write_text(json.dumps(m))
+        for f in (path / "manifest").glob(".*crc"):
+            f.unlink()
+
+    for change in ({"format": 9}, {"format": 2}, {"dims": 0}, {"dims": 1 << 18}, {"capacity": 1 << 29}, {"count": 81}, {"count": -1}, {"count": 59}, {"metric": "l7"}, {"channels": [["a", 0, 16], ["a", 16, 16]]}, {"channels": [["a", 3, 5]]}, {"data": ["data/none"]}, {"data": []}):
+        stored(good | change)
+        with pytest.raises(BadFormat):
+            ScratchBank.load(spark, f"file://{path}")
+    rows = made._rows().cache()
+    rows.count()
+    for name, df in (
+        ("ids", rows.withColumn("row_id", F.when(F.col("row_id") == 3, F.lit(4)).otherwise(F.col("row_id")))),
+        ("lanes", rows.withColumn("q8", F.when(F.col("row_id") == 3, F.slice("q8", 1, 4)).otherwise(F.col("q8")))),
+        ("scale", rows.withColumn("scale", F.when(F.col("row_id") == 3, F.lit(float("nan"))).otherwise(F.col("scale")).cast("float"))),
+        ("floats", rows.withColumn("retained", F.when(F.col("row_id") == 3, F.reverse("retained")).otherwise(F.col("retained")))),
+        ("nofloats", rows.withColumn("retained", F.when(F.col("row_id") != 3, F.col("retained")))),
+    ):
+        df.write.parquet(f"file://{path}/data/{name}")
+        stored(good | {"data": [f"data/{name}"]})
+        with pytest.raises(BadFormat):
+            ScratchBank.load(spark, f"file://{path}")
+    spark.createDataFrame([(60,)], "row_id bigint").write.parquet(f"file://{path}/removed/odd")
+    stored(good | {"removed": ["removed/odd"]})
+    with pytest.raises(BadFormat):
+        ScratchBank.load(spark, f"file://{path}")
+
+
+def test_two_writers(spark, small, tmp_path):
+    """The slower of two writers of one version fails, and nothing of its change is seen."""
+    first = ScratchBank.create(spark, f"file://{tmp_path}/bank", 48, Metric.L2)
+    second = ScratchBank.load(spark, f"file://{tmp_path}/bank")
+    rows = small.withColumnRenamed("row_id", "ord")
+    first.append(rows.where("ord < 10"))
+    with pytest.raises(Exception):  # noqa: B017  the file system's own error
+        second.append(rows)
+    assert ScratchBank.load(spark, f"file://{tmp_path}/bank").count == 10
+
+
+def test_a_refused_batch_leaves_no_removals(spark, small, tmp_path):
+    made = ScratchBank.create(spark, f"file://{tmp_path}/bank", 48, Metric.L2, capacity=61)
+    made.append(small.withColumnRenamed("row_id", "ord"))
+    log = spark.createDataFrame([(1, "append", None, [1.0] * 48), (2, "append", None, [1.0] * 48), (3, "remove", 5, None)], "seq bigint, op string, row_id bigint, vec array<float>")
+    with pytest.raises(CapacityExceeded):
+        made.apply(log, 0)
+    assert not (tmp_path / "bank" / "removed").exists() and made.live_count() == 60
+
+
 def test_stream(spark, small, tmp_path):
     log = small.select(F.col("row_id").alias("seq"), F.lit("append").alias("op"), F.lit(None).cast("bigint").alias("row_id"), "vec")
     log = log.unionByName(spark.createDataFrame([(100, "remove", 7, None)], log.schema))
