@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ARRAY_BYTES, distinct_per_text, intermediates, kept, mapped, materialize, mix, release, shingles, slices, text_bytes, word_hashes
+from .common import ARRAY_BYTES, distinct_per_text, intermediates, kept, mapped, materialize, mix, release, shingles, slices, split_words, text_bytes, word_hashes
 from .rules import _BLANK, _CHAR_START
 from .lsh import BROADCAST_ROWS, Scheme, components, few, fingerprints, link
 
@@ -116,44 +116,59 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(source: DataFrame) -> DataFrame:
-    """doc, v, pos (word), h, c (of the neighbourhood), a and b (the first and the last stretch, by their first words), start
-    and end (code points of the neighbourhood) of all seeds."""
+    """doc, v, pos (word), h, c (of the neighbourhood), a and b (the first and the last stretch, by their first words) of all
+    seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", ARRAY_BYTES):
             hashes, offsets = word_hashes(batch.column("_text"), lower=True)
             at, value, first, count, around, _ = winnow(hashes, offsets)
-            left, right = _edges(batch.column("_text"), offsets)
             text = np.searchsorted(offsets, at, "right") - 1
-            last, zero = first + count - 1, offsets[text]
+            zero = offsets[text]
             lead = [batch.column(c).take(pa.array(text)) for c in ("doc", "v")]
-            ints = [pa.array(x.astype(np.int32)) for x in (at - zero, first - zero, last - zero, left[first], right[last + RUN_WORDS - 1])]
-            yield pa.RecordBatch.from_arrays([*lead, *ints, pa.array(value.view(np.int64)), pa.array(around.view(np.int64))], names=["doc", "v", "pos", "a", "b", "start", "end", "h", "c"])
+            ints = [pa.array(x.astype(np.int32)) for x in (at - zero, first - zero, first + count - 1 - zero)]
+            yield pa.RecordBatch.from_arrays([*lead, *ints, pa.array(value.view(np.int64)), pa.array(around.view(np.int64))], names=["doc", "v", "pos", "a", "b", "h", "c"])
 
-    return mapped(source, run, "doc bigint, v int, pos int, a int, b int, start int, `end` int, h bigint, c bigint")
+    return mapped(source, run, "doc bigint, v int, pos int, a int, b int, h bigint, c bigint")
 
 
 def _stretches(source: DataFrame) -> DataFrame:
-    """doc, v, pos, h, c, a and of each stretch of the seeds at ``_at`` its hash, start and end."""
+    """Of the seeds at ``_at`` (pos, lo, hi): h, c, lo, hi, off (of the first stretch from the seed) and the hashes of their
+    stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", ARRAY_BYTES):
             hashes, offsets = word_hashes(batch.column("_text"), lower=True)
             at, value, first, count, around, each = winnow(hashes, offsets)
-            left, right = _edges(batch.column("_text"), offsets)
             wanted = batch.column("_at")
-            asked = wanted.flatten().to_numpy() + np.repeat(offsets[:-1], np.diff(wanted.offsets.to_numpy()))
-            keep = np.flatnonzero(np.isin(at, asked))
-            at, value, first, count, around = at[keep], value[keep], first[keep], count[keep], around[keep]
-            text = np.searchsorted(offsets, at, "right") - 1
+            flat = wanted.flatten()
+            asked = flat.field("pos").to_numpy() + np.repeat(offsets[:-1], np.diff(wanted.offsets.to_numpy()))
+            keep = np.searchsorted(at, asked)
+            value, first, count, around = value[keep], first[keep], count[keep], around[keep]
             ends = np.concatenate([[0], np.cumsum(count)])
             of = np.repeat(first - ends[:-1], count) + np.arange(ends[-1])
-            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (each[of].view(np.int64), left[of].astype(np.int32), right[of + RUN_WORDS - 1].astype(np.int32))]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(each[of].view(np.int64)))
+            off = pa.array((first - asked).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(around.view(np.int64)), flat.field("lo"), flat.field("hi"), off, lists], names=["h", "c", "lo", "hi", "off", "each"])
+
+    return mapped(source, run, "h bigint, c bigint, lo bigint, hi bigint, off int, each array<bigint>")
+
+
+def _placed(source: DataFrame) -> DataFrame:
+    """The runs of words in ``_runs`` (a, z, h, first_doc) with their code points: doc, v, a, start, end, words, h, first_doc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", ARRAY_BYTES):
+            _, _, offsets = split_words(batch.column("_text"))
+            left, right = _edges(batch.column("_text"), offsets)
+            runs = batch.column("_runs")
+            flat, text = runs.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
+            a, z = (flat.field(c).to_numpy() for c in "az")
             lead = [batch.column(c).take(pa.array(text)) for c in ("doc", "v")]
-            zero = offsets[text]
-            yield pa.RecordBatch.from_arrays([*lead, pa.array((at - zero).astype(np.int32)), pa.array((first - zero).astype(np.int32)), pa.array(value.view(np.int64)), pa.array(around.view(np.int64)), *lists], names=["doc", "v", "pos", "a", "h", "c", "each", "starts", "ends"])
+            points = [pa.array(x.astype(np.int32)) for x in (left[offsets[text] + a], right[offsets[text] + z])]
+            yield pa.RecordBatch.from_arrays([*lead, flat.field("a"), *points, pa.array((z - a + 1).astype(np.int32)), flat.field("h"), flat.field("first_doc")], names=["doc", "v", "a", "start", "end", "words", "h", "first_doc"])
 
-    return mapped(source, run, "doc bigint, v int, pos int, a int, h bigint, c bigint, each array<bigint>, starts array<int>, ends array<int>")
+    return mapped(source, run, "doc bigint, v int, a int, start int, `end` int, words int, h bigint, first_doc bigint")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,26 +189,41 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = materialize(held, "held")
     marked = materialize(seeds.join(few(held, BROADCAST_ROWS), "h"), "repeats")
     release(seeds, held)
-    whole = marked.where("not _differ").select("doc", "v", "a", "b", "start", "end", "h", "first_doc")
-
-    # seeds whose neighbourhoods differ
-    wanted = materialize(marked.where("_differ").groupBy("doc", "v").agg(F.collect_set("pos").alias("_at")), "wanted")
-    texts = source.join(few(wanted), ["doc", "v"]).select("doc", "v", "_at", "_text")
-    listed = materialize(_stretches(texts), "stretches")
-    around = listed.groupBy("h", "c").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.first(F.struct((F.col("a") - F.col("pos")).alias("off"), "each")).alias("_of"))
-    around = materialize(around.select("h", "c", "_lo", "_hi", "_of.off", F.posexplode("_of.each").alias("i", "e")).withColumn("off", F.col("off") + F.col("i")), "neighbourhoods")
-    shared = around.groupBy("h", "off", "e").agg(F.min("_lo").alias("first_doc"), F.max("_hi").alias("_last")).where("first_doc < _last").drop("_last")
-    found = around.join(shared, ["h", "off", "e"]).groupBy("h", "c").agg(F.collect_list(F.struct("i", "first_doc")).alias("_found"))
-    part = listed.drop("each").join(materialize(found, "shared"), ["h", "c"]).select("*", F.explode("_found").alias("_one"))
-    place = F.col("a") + F.col("_one.i")
-    part = part.select("doc", "v", place.alias("a"), place.alias("b"), F.get("starts", F.col("_one.i")).alias("start"), F.get("ends", F.col("_one.i")).alias("end"), "h", "_one.first_doc")
+    whole = marked.where("not _differ").select("doc", "v", "a", "b", "h", "first_doc")
+
+    # seeds whose neighbourhoods differ: one seed of each neighbourhood has its stretches compared
+    differ = marked.where("_differ")
+    kinds = differ.groupBy("h", "c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "v", "pos")).alias("_one"))
+    wanted = kinds.groupBy("_one.doc", "_one.v").agg(F.collect_list(F.struct("_one.pos", "lo", "hi")).alias("_at"))
+    wanted = materialize(wanted.toDF("doc", "v", "_at"), "wanted")
+    listed = materialize(_stretches(source.join(few(wanted, BROADCAST_ROWS), ["doc", "v"]).select("_at", "_text")).dropDuplicates(["h", "c"]), "stretches")
+    around = listed.select("h", "c", "lo", "hi", "off", F.posexplode("each").alias("i", "e")).withColumn("off", F.col("off") + F.col("i"))
+    shared = around.groupBy("h", "off", "e").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("_last")).where("first_doc < _last").drop("_last")
+    one = around.join(materialize(shared, "shared"), ["h", "off", "e"]).groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("i", F.col("i").alias("j"), "first_doc"))).alias("_parts"))
+    found = materialize(one.select("h", "c", _neighbours_joined("_parts").alias("_parts")), "parts")
+    part = differ.join(few(found, BROADCAST_ROWS), ["h", "c"]).select("doc", "v", "a", "h", F.explode("_parts").alias("_p"))
+    part = part.select("doc", "v", (F.col("a") + F.col("_p.i")).alias("a"), (F.col("a") + F.col("_p.j")).alias("b"), "h", "_p.first_doc")
 
     by_doc = Window.partitionBy("doc", "v").orderBy("a")
     every = whole.unionByName(part).dropDuplicates(["doc", "v", "a"])
     new = F.coalesce((F.col("a") != F.lag("b").over(by_doc) + 1) | (F.col("first_doc") != F.lag("first_doc").over(by_doc)), F.lit(True))
     runs = every.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(by_doc))
-    runs = runs.groupBy("doc", "v", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("b") + RUN_WORDS - F.min("a")).alias("words"), F.min("h").alias("component_id"), F.first("first_doc").alias("first_doc"))
-    return runs.withColumn("kept", F.col("first_doc") == F.col("doc")).drop("v", "_run").withColumnRenamed("doc", id_col)
+    runs = runs.groupBy("doc", "v", "_run").agg(F.min("a").alias("a"), (F.max("b") + RUN_WORDS - 1).alias("z"), F.min("h").alias("h"), F.first("first_doc").alias("first_doc"))
+    of_doc = materialize(runs.groupBy("doc", "v").agg(F.collect_list(F.struct("a", "z", "h", "first_doc")).alias("_runs")), "runs")
+    texts = source.join(few(of_doc, BROADCAST_ROWS), ["doc", "v"]).select("doc", "v", "_runs", "_text")
+    placed = _placed(texts).dropDuplicates(["doc", "v", "a"])  # repeated rows
+    return placed.select(F.col("doc").alias(id_col), "start", "end", "words", F.col("h").alias("component_id"), "first_doc", (F.col("first_doc") == F.col("doc")).alias("kept"))
+
+
+def _neighbours_joined(parts: str) -> Column:
+    """Structs (i, j, first_doc) in order, with neighbours of one first document joined; there are ``SPAN`` at most."""
+
+    def add(found: Column, x: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        longer = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.struct(last["i"].alias("i"), x["j"].alias("j"), x["first_doc"].alias("first_doc"))))
+        return F.when((F.size(found) > 0) & (last["j"] + 1 == x["i"]) & (last["first_doc"] == x["first_doc"]), longer).otherwise(F.concat(found, F.array(x)))
+
+    return F.aggregate(parts, F.slice(F.col(parts), 1, 0), add)
 
 
 def repeated_passages(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
