@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mapped, slices
+from .common import ARRAY_BYTES, mapped, slices
 
 WIDE = 64
 #: Words whose ids each Python worker keeps; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Words that are encoded at a time.
+LEARN_WORDS = 8_192
+#: Symbols that are merged side by side.
+CELLS = 1 << 18
+#: Rows of ids that are decoded at a time.
+DECODE_ROWS = 256
 
 _ODD = regex.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -124,23 +131,28 @@ class WordBPE:
                 rank = self._rank(sym_f[r * w + p], new[has])
                 put(r, p.copy(), np.where(rank >= 0, rank * w + p, _NONE))
 
-    def _merge_one(self, sym: list[int]) -> list[int]:
-        """The same for one long word: a tree in a list, O(log n) a merge."""
-        n, none = len(sym), (1 << 60, 0)
+    def _merge_one(self, sym: np.ndarray) -> list[int]:
+        """The same for one long word: a tree in an array of rank * w + place, O(log n) a merge."""
+        n, none = len(sym), 1 << 62
         w = 1 << max(1, (n - 1).bit_length())
-        tree = [none] * (2 * w)
+        rank = self._rank(sym[:-1], sym[1:]).astype(np.int64)
+        levels = [np.full(w, none, np.int64)]
+        levels[0][: n - 1] = np.where(rank >= 0, rank * w + np.arange(n - 1), none)
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][0::2], levels[-1][1::2]))
+        tree = array("q", [none])  # node 1 is the root
+        for level in reversed(levels):
+            tree.frombytes(level.tobytes())
+        del levels, rank
+        sym, nxt, prv = array("i", sym.tolist()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        nxt[n - 1] = -1
         get, merged = self.pair_rank.get, self.merged
 
-        def leaf(i: int, j: int) -> tuple[int, int]:
+        def leaf(i: int, j: int) -> int:
             r = get((sym[i], sym[j]))
-            return none if r is None else (r, i)
+            return none if r is None else r * w + i
 
-        for i in range(n - 1):
-            tree[w + i] = leaf(i, i + 1)
-        for node in range(w - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
-        def put(i: int, value: tuple[int, int]) -> None:
+        def put(i: int, value: int) -> None:
             node = w + i
             tree[node] = value
             while node > 1:
@@ -150,9 +162,8 @@ class WordBPE:
                     return
                 tree[node] = best
 
-        nxt, prv = [*range(1, n), -1], [*range(-1, n - 1)]
         while tree[1] != none:
-            rank, i = tree[1]
+            rank, i = divmod(tree[1], w)
             j = nxt[i]
             sym[i], sym[j] = int(merged[rank]), -1
             nxt[i] = k = nxt[j]
@@ -177,7 +188,7 @@ class WordBPE:
         width = 2
         while width <= WIDE:
             rows = np.flatnonzero((size <= width) & (size > (width // 2 if width > 2 else 1)))
-            for part in np.array_split(rows, max(1, -(-len(rows) // 20_000))) if len(rows) else ():
+            for part in np.array_split(rows, max(1, -(-len(rows) * width // CELLS))) if len(rows) else ():
                 col = np.arange(width)
                 inside = col < size[part][:, None]
                 where = at[part][:, None] + col
@@ -187,7 +198,7 @@ class WordBPE:
                 flat[where[inside]] = sym[inside]
             width *= 2
         for i in np.flatnonzero(size > WIDE):
-            done = self._merge_one(flat[at[i] : at[i + 1]].tolist())
+            done = self._merge_one(flat[at[i] : at[i + 1]])
             flat[at[i] : at[i + 1]] = done + [-1] * (size[i] - len(done))
         keep = flat >= 0
         kept = np.zeros(len(flat) + 1, np.int64)
@@ -240,8 +251,9 @@ class WordBPE:
         if len(cache) + len(fresh) > CACHE_WORDS:
             cache.clear()
             fresh = {c for row in parts for c in row if not isinstance(c, tuple)}
-        if fresh:
-            self._learn(list(fresh))
+        fresh = list(fresh)
+        for at in range(0, len(fresh), LEARN_WORDS):
+            self._learn(fresh[at : at + LEARN_WORDS])
         for s, i in self.special.items():
             cache[(s,)] = (np.array([i], "<u4").tobytes(), s)
         out = []
@@ -269,7 +281,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     ``vocabulary`` is a path that every executor can open. Returns id_col, n_tokens, [token_ids if ``ids``], ids_sha256,
     decoded_sha256. A null or empty text gives no ids and the digests of nothing; repeated rows and null ids give a row
-    each; an empty table gives none; other columns are ignored.
+    each; texts of any length are encoded whole; an empty table gives none; other columns are ignored.
     """
     source = docs.select(id_col, text_col)
     kind = source.schema[id_col].dataType.simpleString()
@@ -277,7 +289,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, ARRAY_BYTES):
             done = bpe.encode_texts(batch.column(text_col).to_pylist())
             columns = [batch.column(id_col), pa.array([len(x) // 4 for x, _ in done], pa.int64())]
             if ids:
@@ -292,14 +304,17 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """Decode ``ids_col`` back to text: id_col, decoded. Null ids give an empty text."""
+    """Decode ``ids_col`` back to text: id_col, decoded. Null ids give an empty text; repeated rows each have a row; an empty table
+    gives none; other columns are ignored."""
     source = encoded.select(id_col, ids_col)
     kind = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            texts = [bpe.decode(x or []) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], names=[id_col, "decoded"])
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(at, DECODE_ROWS)
+                texts = [bpe.decode(x.as_py() or []) for x in part.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(texts, pa.string())], names=[id_col, "decoded"])
 
     return mapped(source, run, f"`{id_col}` {kind}, decoded string")

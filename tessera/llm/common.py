@@ -6,6 +6,7 @@ Words are maximal runs of characters outside ``\\x20\\x09-\\x0D``. Word and shin
 from __future__ import annotations
 
 import ctypes
+import mmap
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,8 @@ from ..storage import intermediates, kept, materialize, release, shared_dir
 SLICE_BYTES = 4 << 20
 #: The same where every byte or word has several numbers at a time.
 ARRAY_BYTES = 1 << 20
+#: A worker that holds more than so much hands back what is free after every slice.
+LEAN_BYTES = 120 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,6 +42,16 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(lean, schema)
 
 
+def _held() -> int:
+    """Bytes of this process that are its own."""
+    try:
+        with open("/proc/self/statm") as f:
+            _, resident, shared, *_ = map(int, f.read().split())
+    except OSError:  # another system
+        return 0
+    return (resident - shared) * mmap.PAGESIZE
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     try:
@@ -76,6 +89,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+            if _held() > LEAN_BYTES:
+                _trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
