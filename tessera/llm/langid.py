@@ -118,7 +118,8 @@ def fit(docs: DataFrame, learnable: Column | None = None, id_col: str = "doc_id"
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col, lang_pred, score. ``und`` with score 0 for a null text, a text without a letter
-    or an empty model; repeated rows each have a row."""
+    or an empty model; texts of any length are read whole; repeated rows each have a row; an empty table gives no rows; other
+    columns are ignored."""
     source = docs.select(id_col, text_col)
     schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
     langs = model.langs

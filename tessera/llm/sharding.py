@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 FINE, BUNDLES = 256, 256
 #: Rows of a shard that one task numbers.
 ROWS_PER_BUCKET = 50_000
@@ -63,9 +65,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """Place every row: id_col, size, text_crc32, law, shard, slot, grown_shard.
 
     Rows of equal text share a shard; a null text is placed as an empty one. ``slot`` counts a shard's rows from 0 by
-    bucket, id and text hash. Repeated rows each have a slot; an empty table gives no rows; other columns are ignored."""
+    bucket, id and text hash. Repeated rows each have a slot, and so have rows without an id; an empty table gives no rows;
+    texts of any length are one row each; other columns are ignored. Each text is hashed once, into a narrow table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("_group"))
+    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("_group"))
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     rows = rows.withColumn("_bundle", F.pmod(F.xxhash64("_group"), F.lit(shards * BUNDLES)).cast("int"))
     groups = rows.groupBy("_group", "_bundle").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
@@ -80,17 +84,18 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     of_bundle = spark.createDataFrame([(int(k[1:]), v) for k, v in where.items() if k not in named], "_bundle int, _small int")
     placed = rows.join(F.broadcast(of_large), "_group", "left").join(F.broadcast(of_bundle), "_bundle", "left")
     placed = placed.withColumn("shard", F.coalesce("_large", "_small"))
-    return _slots(placed, total["n"], shards, id_col).select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return _slots(placed, total["n"]).select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _slots(placed: DataFrame, n: int, shards: int, id_col: str) -> DataFrame:
-    """Number the rows of each shard from 0: within hash buckets of bounded size, then by the buckets' running totals."""
+def _slots(placed: DataFrame, n: int) -> DataFrame:
+    """Number the rows of each shard from 0: within hash buckets of bounded size, then by the buckets' running totals. Rows of
+    one id, or of none, and even rows that are all alike, are spread over the buckets."""
     buckets = max(8, -(-n // ROWS_PER_BUCKET))
-    at: Column = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("slot")), F.lit(buckets)).cast("int")
+    at: Column = F.pmod(F.xxhash64("_id", "_group", F.col("_row") % buckets), F.lit(buckets)).cast("int")
     placed = placed.withColumn("_bucket", at)
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "_bucket", before.alias("_start"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy(F.col(id_col).asc_nulls_first(), "_group")
+    inside = Window.partitionBy("shard", "_bucket").orderBy(F.col("_id").asc_nulls_first(), "_group", "_row")
     numbered = placed.withColumn("_at", F.row_number().over(inside) - 1)
     return numbered.join(starts, ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_at")).cast("long"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
+import numpy as np
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -45,3 +48,23 @@ def near_duplicates(docs: list[tuple], n: int, percent: int = 80) -> dict:
     flat = [(i, s) for i, ss in sets.items() for s in ss]
     edges = [(a, b) for (a, x), (b, y) in combinations(flat, 2) if linked(x, y, percent)]
     return components(sets, edges)
+
+
+def fold(text: str, parts: int) -> bool:
+    """Whether a text's hash puts it into the part that the first fit does not see."""
+    first = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return xxhash.xxh64_intdigest(b"fold", seed=first) % parts == 0
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: list[float]) -> np.ndarray:
+    """Weights of the penalised logistic fit, by small steps uphill instead of the library's own solver."""
+    w, r = np.zeros(x.shape[1]), np.array(ridge)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (y - p) - r * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(r)
+        step = np.linalg.lstsq(bend, slope, rcond=None)[0]
+        w = w + step
+        if np.abs(step).max() < 1e-12:
+            break
+    return w

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from tessera.llm import quality
 from tessera.llm.common import crc_bucket
 from tessera.llm.queries import op5_quality_classifier
 
+from . import brute
+from .test_rules import counts
 from .test_toxicity import auc
 
 
@@ -20,6 +23,43 @@ def test_query(spark, sf, documents):
     assert sum(r["kept"] for r in good) >= 0.97 * len(good)
 
 
+def test_query_against_a_plain_refit(spark, sf, documents):
+    docs = {r["doc_id"]: r for r in documents.collect()}
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] in (0, 1) and r["doc_id"] in docs}
+    label = {}
+    for i, y in truth.items():
+        t = docs[i]["text"] or ""
+        label[t] = min(y, label.get(t, 1))
+
+    def grams(t):
+        b = t.encode()
+        return [(int.from_bytes(b[j : j + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for j in range(len(b) - 3)]
+
+    seen = [Counter(g for t, y in label.items() if y == c and not brute.fold(t, 4) for g in grams(t)) for c in (0, 1)]
+    bad, good = (np.array([c[g] for g in range(1 << 16)], float) for c in seen)
+    prior = (bad + good + 1) / (bad.sum() + good.sum() + (1 << 16))
+    strength = 0.02 * min(bad.sum(), good.sum())
+    odds = np.log((good + strength * prior) / (good.sum() + strength)) - np.log((bad + strength * prior) / (bad.sum() + strength))
+
+    def evidence(t):
+        g, (words, _, _, dup, repeat, _) = grams(t), counts(t)
+        words = max(1, words)
+        return [1.0, odds[g].sum() / max(1, len(g)), repeat / words, dup / max(1, t.count("\n")) if t else 0.0, np.log1p(words) / 5]
+
+    curve = [(t, y) for t, y in label.items() if brute.fold(t, 4)]
+    w = brute.logistic(np.array([evidence(t) for t, _ in curve]), np.array([y for _, y in curve], float), [1e-3, 0.05, 0.05, 0.05, 0.05])
+    own = {i: float(np.clip(np.dot(evidence(r["text"] or ""), w), -12, 12)) for i, r in docs.items()}
+    rows = {r["doc_id"]: r for r in op5_quality_classifier(spark, sf).collect()}
+    logit = lambda p: np.log(p / (1 - p))
+    mean = np.mean([1 / (1 + np.exp(-x)) for x in own.values()])
+    shift = {i: logit(min(1 - 1e-6, max(1e-6, r["path_posterior"]))) - logit(mean) for i, r in rows.items()}
+    told = [(own[i], shift[i], y) for i, y in truth.items() if brute.fold(docs[i]["text"] or "", 4)]
+    best = max(np.linspace(0, 1, 2001), key=lambda v: sum(-np.logaddexp(0, -(1 if y else -1) * (o + v * s)) for o, s, y in told) - 2 * (v - 0.5) ** 2)
+    for i, r in rows.items():
+        assert abs(r["doc_score"] - 1 / (1 + np.exp(-own[i]))) < 1e-6
+        assert abs(r["score"] - 1 / (1 + np.exp(-(own[i] + best * shift[i])))) < 2e-3
+
+
 def test_labels_that_were_not_learnt(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

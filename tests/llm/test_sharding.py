@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
 from tessera.llm import sharding
 from tessera.llm.queries import op8_sharding
 
@@ -31,6 +36,69 @@ def test_query(spark, sf, documents):
     assert max(size) - min(size) <= 0.02 * max(size)
 
 
+def plain(docs: list[tuple], shards: int) -> dict[str, int]:
+    """The shard of each text: best fit by looking at every bin, for the least share that holds all."""
+    size = defaultdict(int)
+    for _, t in docs:
+        size[t or ""] += len((t or "").encode()) + 1
+    total, names, weight = sum(size.values()), {}, defaultdict(int)
+    least = max(1, -(-total // (shards * sharding.FINE)))
+    for t, b in size.items():
+        group = hashlib.sha256(t.encode()).digest()[:16]
+        bundle = xxhash.xxh64_intdigest(group, seed=42)
+        bundle -= (bundle >> 63) << 64
+        names[t] = group.hex().upper() if b >= least else f"#{bundle % (shards * sharding.BUNDLES)}"
+        weight[names[t]] += b
+    items = sorted(weight.items(), key=lambda x: (-x[1], x[0]))
+    own, rest, left = [], total, shards
+    for _, b in items:
+        if not (left > 1 and b * left > rest):
+            break
+        own.append(b)
+        rest, left = rest - b, left - 1
+
+    def fit(share):
+        room, where, whole = own + [share] * left, {}, True
+        for name, b in items:
+            fits = [(c, i) for i, c in enumerate(room) if c >= b]
+            whole &= bool(fits)
+            i = min(fits)[1] if fits else max((c, i) for i, c in enumerate(room))[1]
+            room[i] -= b
+            where[name] = i
+        return where, whole
+
+    low, high = -(-rest // left), 2 * -(-rest // left) + (items[0][1] if items else 0)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fit(middle)[1] else (middle + 1, high)
+    where = fit(low)[0]
+    return {t: where[names[t]] for t in size}
+
+
+def test_query_against_plain_packing(spark, sf, documents):
+    docs = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    want, text = plain(docs, 16), dict(docs)
+    assert all(r["shard"] == want[text[r["doc_id"]] or ""] for r in op8_sharding(spark, sf).collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 17])
+def test_few_rows(spark, n):
+    docs = [(i, f"{i}") for i in range(n)]
+    laws(sharding.shard(spark.createDataFrame(docs, "doc_id bigint, text string"), 16).collect(), docs, 16)
+
+
+def test_no_row_is_lost(spark):
+    docs = [(i, f"{chr(65 + i // 74)}{chr(48 + i % 74)}") for i in range(5461)]
+    laws(sharding.shard(spark.createDataFrame(docs, "doc_id bigint, text string"), 16).collect(), docs, 16)
+
+
+def test_rows_without_an_id_and_rows_alike_are_spread(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 10).alias("text"))
+    docs = [(None, r["text"]) for r in df.collect()]
+    placed = sharding.shard(df, 4)
+    laws(placed.collect(), docs, 4)
+
+
 def test_pack_against_plain_best_fit():
     rng = random.Random(1)
     for _ in range(50):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import toxicity
 from tessera.llm.queries import op4_toxicity
 
+from . import brute
 from .conftest import sentence
 
 
@@ -30,6 +32,81 @@ def test_query_held_out(spark):
     assert auc([(r["score"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]) >= 0.9
 
 
+def test_query_against_a_plain_refit(spark, sf, documents):
+    """Log-odds, drift, lambda, K, curve and every score, refitted from texts and labels in plain Python."""
+    docs = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r["toxic"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in docs:
+            t = docs[r["doc_id"]]
+            labels[t] = max(r["toxic"], labels.get(t, 0))
+    trim = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…’‘“”«»¡¿"
+
+    def parts(token):
+        w = token.strip(trim).lower()
+        return [w, *(w[:k] + "*" for k in (4, 5, 6, 7, 8) if k < len(w))] if w else []
+
+    tokens, docs_of, sizes = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for t, y in labels.items():
+        if not brute.fold(t, 5):
+            found = [f for w in brute.WORD.findall(t) for f in parts(w)]
+            tokens[y].update(found)
+            docs_of[y].update(set(found))
+            sizes[y] += 1
+    n = [float(sum(k for f, k in c.items() if not f.endswith("*"))) for c in tokens]
+    odds, share = {}, {}
+    for f in {*docs_of[0], *docs_of[1]}:
+        d, y = [docs_of[c][f] for c in (0, 1)], [tokens[c][f] for c in (0, 1)]
+        if d[1] < 4:
+            continue
+        expected, g = [m * sum(d) / sum(sizes) for m in sizes], 0.0
+        for c in (0, 1):
+            for seen, hoped in ((d[c], expected[c]), (sizes[c] - d[c], sizes[c] - expected[c])):
+                g += seen * np.log(seen / hoped) if seen else 0.0
+        z = np.sign(d[1] / sizes[1] - d[0] / sizes[0]) * np.sqrt(max(0.0, 2 * g))
+        prior = 500 * sum(y) / sum(n)
+        ratio = [np.log((y[c] + prior) / max(n[c] + 500 - y[c] - prior, 1.0)) for c in (0, 1)]
+        if z >= 4.5 and ratio[1] - ratio[0] > 1.5:
+            odds[f], share[f] = ratio[1] - ratio[0], (y[0] + prior) / (n[0] + 500)
+    assert odds
+    over = max(1.0, 2 * sum(share.values()))
+    p = {f: v / over for f, v in share.items()}
+    drift = max(0.1, 2 * sum(p[f] * odds[f] for f in odds))
+    lam = brentq(lambda x: (1 - sum(p.values())) * np.exp(-x * drift) + sum(p[f] * np.exp(x * odds[f]) for f in odds) - 1)
+
+    def scan(t):
+        words = brute.WORD.findall(t)
+        value = [max([0.0, *(odds.get(f, 0.0) for f in parts(w))]) for w in words]
+        at = np.flatnonzero(value)
+        return len(words), toxicity.segments(at, np.array(value)[at], drift) if len(at) else []
+
+    fold = [(scan(t), y) for t, y in labels.items() if brute.fold(t, 5)]
+    best = lambda found: max((s for *_, s in found), default=0.0)
+    clean = [(m, best(found)) for (m, found), y in fold if not y and m]
+    k = max(0.5, sum(x > 0 for _, x in clean)) / sum(m * np.exp(-lam * x) for m, x in clean)
+
+    def features(m, found):
+        if not found:
+            return [1.0, 0.0, 0.0, 0.0]
+        hits = sum(-np.expm1(-k * m * np.exp(-lam * s)) <= 0.05 for *_, s in found)
+        return [1.0, min(30.0, max(-10.0, lam * best(found) - np.log(k * m))) / 10 + 1, min(30.0, best(found)) / 10, np.log(1 + hits)]
+
+    w = brute.logistic(np.array([features(*x) for x, _ in fold]), np.array([y for _, y in fold], float), [1e-3, 0.1, 0.1, 0.1])
+    for r in op4_toxicity(spark, sf).collect():
+        want = 1 / (1 + np.exp(-np.dot(features(*scan(docs[r["doc_id"]])), w)))
+        assert abs(r["score"] - want) < 1e-4
+        assert r["predicted"] == (want >= 0.5) or abs(want - 0.5) < 1e-4
+
+
+def brentq(f) -> float:
+    """The root of a function that falls below 0 and then rises, right of its minimum."""
+    low, high = 1e-3, 50.0
+    while high - low > 1e-12:
+        middle = (low + high) / 2
+        low, high = (middle, high) if f(middle) < 0 else (low, middle)
+    return low
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([-1, -1, -1, 1, 2, 3]), max_size=40))
 def test_segments_are_the_maximal_ones(marks):
