@@ -100,9 +100,15 @@ def quantized_queries(queries: DataFrame) -> DataFrame:
     return df.select("query_id", "q8", "q_scale", let(F.col("q8"), lambda v: dot_int(v, v)).alias("q_sq"))
 
 
+def payload_part(payloads: DataFrame, offset: int, length: int) -> DataFrame:
+    """Payloads on a range of lanes: the scale stays that of the whole, the sum of squares is the range's own."""
+    lanes = part(F.col("q8"), offset, length)
+    return payloads.select("query_id", lanes.alias("q8"), "q_scale", let(lanes, lambda v: dot_int(v, v)).alias("q_sq"))
+
+
 def rows_as_payloads(bank: Bank) -> DataFrame:
-    """Integer payloads of an int8 bank's rows, by quantising what they stand for."""
-    return quantized_queries(rows_as_queries(bank))
+    """Integer payloads of an int8 bank's rows: as they are stored, never quantised anew."""
+    return bank.df.select(F.col("row_id").alias("query_id"), "q8", F.col("scale").cast("double").alias("q_scale"), dot_int(F.col("q8"), F.col("q8")).alias("q_sq"))
 
 
 def half_even_quotient(num: Column, den: Column) -> Column:

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bake import quantized_queries, rows_as_payloads, rows_as_queries
-from ..functions.vectors import dot, dot_int, floor_to_float, part, xd_pair
+from ..functions.bake import payload_part, rows_as_payloads
+from ..functions.vectors import dot, dot_int, floor_to_float, xd_pair
 from ..model import Bank, Metric, QuerySpec
 from ..plans import block
 from .compose import pooled
@@ -85,8 +85,7 @@ class _ChannelScorer:
 
 def channel_payloads(bank: Bank, channel: int) -> DataFrame:
     c = bank.channel(channel)
-    lanes = rows_as_queries(bank).select("query_id", part(F.col("q"), c.offset, min(c.length, bank.dims - c.offset)).alias("q"))
-    return quantized_queries(lanes)
+    return payload_part(rows_as_payloads(bank), c.offset, min(c.length, bank.dims - c.offset))
 
 
 def nearest_divergence(bank: Bank, sets: DataFrame, pairs: DataFrame, reduce: str = "mean", channel: int | None = None) -> DataFrame:

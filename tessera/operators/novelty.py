@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bake import quantized_queries, rows_as_payloads
+from ..functions.bake import payload_part, quantized_queries, rows_as_payloads
 from ..functions.ids import before, ranged
-from ..functions.vectors import dot_int, floor_to_float, part, rank_distance, xd_pair
-from ..model import Bank, Metric, QuerySpec, UnsupportedMode
-from .analytics import _payload, channel_payloads
+from ..functions.vectors import dot_int, floor_to_float, rank_distance, xd_pair
+from ..model import Bank, InvalidArgument, Metric, QuerySpec, UnsupportedMode, ZeroNormQuery
+from .analytics import _payload
 from .graph import knn_graph
 from .query import query_batch
 
@@ -28,8 +28,14 @@ def kth_distance(bank: Bank, queries: DataFrame, k: int, spec: QuerySpec | None
     return hits.where(F.col("rank") == k).select("query_id", _distance(bank.metric, F.col("score")).alias("distance"))
 
 
-def baseline(bank: Bank, k: int) -> DataFrame:
-    """Every row's distance to its k-th nearest other row: row_id, distance (float)."""
+def baseline(bank: Bank, k: int, limit: int | None = None) -> DataFrame:
+    """Every row's distance to its k-th nearest other row: row_id, distance (float). A bank of more than ``limit`` rows, or of
+    too few to have k others, is refused: a baseline of a sample is one of a bank of that sample."""
+    if bank.metric is Metric.DOT:
+        raise UnsupportedMode("dot scores have no distance")
+    rows = bank.df.count()
+    if k < 1 or k >= rows or limit is not None and rows > limit:
+        raise InvalidArgument(f"no baseline of {rows} rows for k {k} and a limit of {limit}")
     return knn_graph(bank, k).where(F.col("slot") == k - 1).select("row_id", _distance(bank.metric, F.col("score")).alias("distance"))
 
 
@@ -49,17 +55,19 @@ def score(base: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(less, "distance").crossJoin(F.broadcast(total)).select("query_id", F.when(F.col("_total") > 0, (F.col("_less") / F.col("_total")).cast("float")).otherwise(F.lit(0.0).cast("float")).alias("novelty"))
 
 
-def probe_distance(bank: Bank, probes: DataFrame, pairs: DataFrame, channel: int | None = None) -> DataFrame:
+def probe_distance(bank: Bank, probes: DataFrame, pairs: DataFrame, channel: int | None = None, validate: bool = True) -> DataFrame:
     """Exact distance of probes (query_id, q) to rows, whole or on a channel, for ``pairs`` (query_id, row_id):
-    query_id, row_id, distance (float); null where a cosine side has no energy."""
+    query_id, row_id, distance (float). A probe is quantised whole, and a channel takes its lanes of it and of the row.
+
+    A cosine distance needs energy on both sides: ``validate`` raises where a pair has none, else such a distance is null."""
     if bank.metric is Metric.DOT:
         raise UnsupportedMode("dot scores have no distance")
-    if channel is None:
-        p, rows = quantized_queries(probes), rows_as_payloads(bank)
-    else:
+    p, rows = quantized_queries(probes), rows_as_payloads(bank)
+    if channel is not None:
         c = bank.channel(channel)
-        p = quantized_queries(probes.select("query_id", part(F.col("q"), c.offset, min(c.length, bank.dims - c.offset)).alias("q")))
-        rows = channel_payloads(bank, channel)
+        p, rows = (payload_part(x, c.offset, min(c.length, bank.dims - c.offset)) for x in (p, rows))
     both = pairs.join(_payload(p, "a", "query_id"), "query_id").join(_payload(rows, "b", "row_id"), "row_id")
+    if validate and bank.metric is Metric.COSINE and not both.where("a_sq = 0 or b_sq = 0").isEmpty():
+        raise ZeroNormQuery("a probe or a row has no direction there")
     value = xd_pair(bank.metric, dot_int(F.col("a_q8"), F.col("b_q8")), F.col("a_sq"), F.col("b_sq"), F.col("a_s"), F.col("b_s"))
     return both.select("query_id", "row_id", floor_to_float(value).alias("distance"))

@@ -153,7 +153,7 @@ class TopK:
             self.score[touched], self.row[touched] = s[best], r[best]
 
     def hits(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        full = self.score < np.inf
+        full = self.row < np.iinfo(np.int64).max
         ids = np.broadcast_to(np.asarray(query_ids)[:, None], full.shape)[full]
         return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(self.row[full]), pa.array(self.score[full] * self.sign)], names=["query_id", "row_id", "score"])
 

@@ -53,6 +53,17 @@ def payload(queries: str) -> str:
     )
 
 
+def stored_payload(bank8: str, offset: int = 0, length: int = 64) -> str:
+    """Payloads of a bank's rows on a range, as stored."""
+    lanes = part("q8", offset, length)
+    return f"(SELECT row_id AS query_id, {lanes} AS q8, scale::DOUBLE AS q_scale, list_inner_product({lanes}::DOUBLE[], {lanes}::DOUBLE[])::BIGINT AS q_sq FROM {bank8})"
+
+
+def payload_part(payloads: str, offset: int, length: int) -> str:
+    lanes = part("q8", offset, length)
+    return f"(SELECT query_id, {lanes} AS q8, q_scale, list_inner_product({lanes}::DOUBLE[], {lanes}::DOUBLE[])::BIGINT AS q_sq FROM {payloads})"
+
+
 def xd_dot(cross: str, rs: str, qs: str) -> str:
     return f"({cross} * ({rs}::DOUBLE * {qs}))"
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import validate
+from .functions import sql, validate
 from .functions.bake import bake, quantized_queries, rows_as_payloads, rows_as_queries
 from .functions.vectors import dequantized
 from .model import BadFormat, Bank, Channel, Metric, Quantization, QuerySpec, Segment
@@ -243,6 +243,9 @@ _add("channel_inverse_norms", lambda s, d: _listed(bank(s, d, "cos", True, CHANN
 _add("query_payloads", lambda s, d: quantized_queries(rows_as_queries(bank(s, d, "l2"))).select("query_id", F.posexplode(F.col("q8").cast("array<int>")).alias("pos", "value"), "q_scale", "q_sq"), f"SELECT query_id, (generate_subscripts(q8, 1) - 1)::INTEGER AS pos, unnest(q8) AS value, q_scale, q_sq FROM {o.payload(f'(SELECT row_id AS query_id, vec AS q FROM {_l2})')}")
 
 
+_add("row_payloads", lambda s, d: rows_as_payloads(bank(s, d, "l2", True)).select("query_id", F.posexplode(F.col("q8").cast("array<int>")).alias("pos", "value"), "q_scale", "q_sq"), f"SELECT query_id, (generate_subscripts(q8, 1) - 1)::INTEGER AS pos, unnest(q8) AS value, q_scale, q_sq FROM {o.stored_payload(o.int8(o.SCALED))}")
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of label 3 without a lane, of label 5 with a NaN, of label 7 zero."""
     bad = F.when(F.col("label") == 3, F.slice("vec", 1, DIMS - 1)).when(F.col("label") == 5, F.transform("vec", lambda x, i: F.when(i == 9, F.lit(float("nan"))).otherwise(x).cast("float")))
@@ -313,7 +316,6 @@ def _rounded(df: DataFrame, column: str) -> DataFrame:
 
 
 _payload_rows = lambda b8: o.payload(o.rows_as_queries(b8))
-_chan = lambda p: f"(SELECT row_id AS query_id, {o.part('q', 16, 16)} AS q FROM (SELECT query_id AS row_id, q FROM {p}))"
 for _m in METRICS:
     _b8 = o.int8(o.BANKS[_m])
     _set = "(SELECT vec_id AS row_id, label::BIGINT AS set_id FROM embeddings)"
@@ -322,7 +324,7 @@ for _m in METRICS:
         _tag = f"{_m}_channel" if _channel is not None else _m
         _chs = CHANNELS if _channel is not None else ()
         _pool = _pooled_sql(_b8, "1", *((16, 16) if _channel is not None else ()))
-        _rowsp = _payload_rows(_b8) if _channel is None else o.payload(_chan(o.rows_as_queries(_b8)))
+        _rowsp = o.stored_payload(_b8, *((16, 16) if _channel is not None else ()))
         _dist = o.floor(o.xd_pair(_m))
         _add(f"centroid_distance_{_tag}", _analytic(_m, lambda b, s, c=_channel: analytics.centroid_distance(b, s, _pairs(s), c), _chs), f"WITH p AS MATERIALIZED {_pool} SELECT a.query_id AS a, b.query_id AS b, {_dist} AS distance FROM p a JOIN p b ON a.query_id <> b.query_id")
         if _channel is None:
@@ -431,8 +433,8 @@ def _probe(channel: int | None) -> Query:
 
 for _channel in (None, 2):
     _span = (0, 64) if _channel is None else (32, 16)
-    _pr = o.payload(f"(SELECT row_id AS query_id, {o.part('list_reverse(vec)', *_span)} AS q FROM {o.COS})")
-    _rr = o.payload(f"(SELECT row_id AS query_id, {o.part(o.lanes(), *_span)} AS q FROM {_cos8})")
+    _pr = o.payload_part(o.payload(f"(SELECT row_id AS query_id, list_reverse(vec) AS q FROM {o.COS})"), *_span)
+    _rr = o.stored_payload(_cos8, *_span)
     _add("probe_distance" + ("_channel" if _channel is not None else ""), _probe(_channel), f"SELECT a.query_id, b.query_id AS row_id, {o.floor(o.xd_pair('cos', zero='NULL'))} AS distance FROM {_pr} a JOIN {_rr} b USING (query_id)")
 
 
@@ -640,6 +642,28 @@ for _m in METRICS:
     _add(f"topk_payload_single_{_m}", _by_payload(_m, True), f"SELECT rank, row_id, score FROM ({_hits}) WHERE query_id = 0")
 
 
+# -- SQL functions -------------------------------------------------------------------------------------------------
+
+
+def _by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SQL functions say of each row and the row turned round."""
+    sql.register(spark)
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: (x * (F.col("label") + 1)).cast("float")).alias("v")).createOrReplaceTempView("tessera_rows")
+    return spark.sql(
+        "SELECT vec_id AS row_id, bank_dot(v, reverse(v)) AS dot, bank_l2(v, reverse(v)) AS l2, bank_scale(v) AS scale, aggregate(bank_q8(v), 0, (s, x) -> s * 3 % 1000003 + x) AS q8, "
+        "bank_unit(v)[5] AS unit, bank_lanes(bank_q8(v), bank_scale(v))[7] AS lane, bank_part(v, 16, 16)[0] AS first FROM tessera_rows"
+    )
+
+
+_i8 = o.int8(o.SCALED)
+_add(
+    "sql_functions",
+    _by_sql,
+    f"SELECT s.row_id, {o.dot('s.vec', 'list_reverse(s.vec)')} AS dot, {o.l2('s.vec', 'list_reverse(s.vec)')} AS l2, q.scale, list_reduce(list_prepend(0, q.q8), lambda s, x: s * 3 % 1000003 + x) AS q8, "
+    f"(s.vec[6] * {o.inverse_norm('s.vec')})::FLOAT AS unit, ({o.lanes('q.q8', 'q.scale')})[8] AS lane, s.vec[17] AS first FROM {o.SCALED} s JOIN {_i8} q USING (row_id)",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest other rows of each row asked, exact, in the integer mode."""
     return QUERIES["topk_batch_cos_xd"](spark, sf_dir)

@@ -101,7 +101,7 @@ def test_appended_and_frozen_ids(spark, tmp_path):
 def test_bounds_lose_no_row(spark, seed):
     """Blocks against columns on lanes of wild sizes, with ties, zeros, repeated rows, bias and negative weights."""
     rng = np.random.default_rng(seed)
-    x = rng.normal(size=(300, 48)) * 10.0 ** rng.integers(-3 - 6 * seed, 3 + 6 * seed, (300, 1))
+    x = rng.normal(size=(300, 48)) * 10.0 ** rng.integers(-3 - 6 * seed, 3 + 4 * seed, (300, 1))
     x[::7] = x[3]
     x[5::11] = 0
     x[::13, ::2] = 0
@@ -249,6 +249,28 @@ def test_principal_components(small):
     assert abs(found[0] @ vectors[:, -1]) > 0.99 and abs(found[0] @ found[1]) < 1e-9
 
 
+def test_principal_components_of_many_lanes(small, monkeypatch):
+    b = bake(small, 48, Metric.L2)
+    mean, found = pca.principal_components(b, 2, iterations=8)
+    monkeypatch.setattr(pca, "MAX_DIMS", 0)
+    again = pca.principal_components(b, 2, iterations=8)
+    assert np.allclose(again[0], mean) and np.allclose(again[1], found)
+
+
+def test_novelty_refuses(spark, small):
+    b = bake(small, 48, Metric.COSINE, Quantization.INT8, (Channel("a", 0, 16), Channel("b", 16, 32)))
+    for k, limit in ((0, None), (60, None), (3, 59)):
+        with pytest.raises(InvalidArgument):
+            novelty.baseline(b, k, limit)
+    assert novelty.baseline(b, 3, 60).count() == 60
+    pairs = spark.createDataFrame([(0, 1)], "query_id bigint, row_id bigint")
+    probe = spark.createDataFrame([(0, [0.0] * 16 + [1.0] * 32)], "query_id bigint, q array<float>")
+    with pytest.raises(ZeroNormQuery):
+        novelty.probe_distance(b, probe, pairs, 0)
+    assert novelty.probe_distance(b, probe, pairs, 0, validate=False).first()["distance"] is None
+    assert novelty.probe_distance(b, probe, pairs, 1).first()["distance"] > 0
+
+
 def test_scratch_life(spark, small, tmp_path):
     path = f"file://{tmp_path}/bank"
     made = ScratchBank.create(spark, path, 48, Metric.COSINE, capacity=80, channels=(Channel("a", 0, 16),), retain_floats=True)
