@@ -22,9 +22,11 @@ from ..storage import intermediates, kept, materialize, release, shared_dir
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 #: The same where every byte or word has several numbers at a time.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 2 << 20
+#: Longer strings are hashed one by one.
+SHORT_BYTES = 64
 #: A worker that holds more than so much hands back what is free after every slice.
-LEAN_BYTES = 120 << 20
+LEAN_BYTES = 224 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,8 +118,24 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 
 
 def hash_strings(words: pa.Array) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+    """64-bit hashes of short strings, eight bytes of all at a time; longer ones are hashed one by one."""
+    raw, at = text_bytes(words)
+    size = np.diff(at)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = np.zeros(len(raw) + 1, np.uint64)  # the eight bytes from each place on
+    for k in range(8):
+        eight |= padded[k : k + len(eight)] << np.uint64(8 * k)
+    out = mix(size.astype(np.uint64) * _GOLD)
+    active = np.flatnonzero((size > 0) & (size <= SHORT_BYTES))
+    for k in range(0, SHORT_BYTES, 8):
+        active = active[size[active] > k]
+        if not len(active):
+            break
+        left = np.minimum(size[active] - k, 8).astype(np.uint64)
+        out[active] = mix(out[active] ^ (eight[at[active] + k] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))))
+    for i in np.flatnonzero(size > SHORT_BYTES):
+        out[i] = xxhash.xxh3_64_intdigest(words[int(i)].as_py())
+    return out
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +165,25 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
 
 def distinct_per_text(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values of each text."""
-    parts = [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    out = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=out[1:])
-    return (np.concatenate(parts) if parts else values[:0]), out
+    size = np.diff(offsets)
+    text = np.repeat(np.arange(len(size)), size)
+    short = len(values) < 64 * len(size) and len(size) < 1 << 20
+    if short:  # many short texts: one sort of all
+        key = text.astype(np.uint64) << np.uint64(44) | values >> np.uint64(20)
+        order = np.argsort(key)
+        key, found = key[order], values[order]
+        short = not ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any()  # the key tells all values apart
+    if short:
+        values = found
+    else:
+        values = values.copy()
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            values[a:b].sort()
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+    out = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(np.bincount(text[first], minlength=len(size)), out=out[1:])
+    return values[first], out
 
 
 def per_text_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,12 +54,22 @@ def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _signed(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", ARRAY_BYTES):
-            rows = [(i, k, at, line) for i, t in zip(batch.column("id").to_pylist(), batch.column("_text").to_pylist(), strict=True) for k, at, line in paragraphs(t, least)]
-            lines = [r[3] for r in rows]
-            hashes, offsets = word_hashes(pa.array(lines, pa.string()), lower=True)
-            columns = SCHEME.arrays(*distinct_per_text(*shingles(hashes, offsets, SHINGLE)))
-            lead = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[2] + len(r[3]) for r in rows], pa.int32()), pa.array(np.diff(offsets).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*lead, *columns], names=["doc", "para", "start", "end", "words", *SCHEME.names])
+            lists = pc.split_pattern(pc.fill_null(batch.column("_text"), ""), "\n")
+            lines, of_text = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(of_text))
+            of_text = of_text - of_text[0]
+            hashes, offsets = word_hashes(lines, lower=True)
+            size, words = pc.utf8_length(lines).to_numpy().astype(np.int64), np.diff(offsets)
+            ends = np.cumsum(size + 1)
+            start = ends - size - 1
+            start -= start[np.minimum(of_text[text], max(0, len(start) - 1))]
+            keep = np.flatnonzero(words >= least)
+            words, text = words[keep], text[keep]
+            at = np.concatenate([[0], np.cumsum(words)])
+            own = hashes[np.repeat(offsets[keep] - at[:-1], words) + np.arange(at[-1])]
+            columns = SCHEME.arrays(*distinct_per_text(*shingles(own, at, SHINGLE)))
+            ints = [pa.array(x.astype(np.int32)) for x in (keep - of_text[text], start[keep], start[keep] + size[keep], words)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), *ints, *columns], names=["doc", "para", "start", "end", "words", *SCHEME.names])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).where("id is not null")
     return mapped(source, run, f"doc bigint, para int, start int, `end` int, words int, {SCHEME.fields}")
