@@ -114,6 +114,10 @@ class Bank:
     def chunk_rows(self, chunk_bytes: int = 1 << 16) -> int:
         return max(1, chunk_bytes // self.row_bytes)
 
+    def partitions(self, rows: int, partition_bytes: int = 64 << 20) -> int:
+        """Partitions of a stored bank of so many rows."""
+        return max(1, -(-rows * self.row_bytes // partition_bytes))
+
     def where(self, condition: Column | str) -> Bank:
         return replace(self, df=self.df.where(condition))
 

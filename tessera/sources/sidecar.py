@@ -79,24 +79,22 @@ def write(rows: DataFrame, path: str, metric: Metric, channels: tuple[Channel, .
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(row_id, vec[, id]) and the header of a sidecar pair. The payload is read by executors."""
+    """(row_id, vec[, id]) and the header of a sidecar pair. Tasks read byte ranges of the payload, whole rows each."""
     h = peek(spark, path)
-    payload = spark.read.format("binaryFile").load(f"{path}.wvbank.bin")
-    dims, count = h["dims"], h["count"]
-    if payload.select("length").first()["length"] != dims * count * 4:
+    dims, count, where = h["dims"], h["count"], f"{path}.wvbank.bin"
+    if spark.read.format("binaryFile").load(where).select("length").first()["length"] != dims * count * 4:
         raise BadFormat("the payload has another size")
+    # rows of one length, numbered in the order of the file: what only Hadoop's input format of fixed lengths reads in parts
+    records = spark.sparkContext.binaryRecords(where, 4 * dims).zipWithIndex() if count else spark.sparkContext.emptyRDD()
+    packed = spark.createDataFrame(records, "vec binary, row_id bigint", verifySchema=False)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column("content"):
-                values = np.frombuffer(blob.as_buffer(), "<f4")
-                for at in range(0, count, 8192):
-                    part = values[at * dims : (at + 8192) * dims]
-                    n = len(part) // dims
-                    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dims)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.ListArray.from_arrays(offsets, pa.array(part))], names=["row_id", "vec"])
-
-    rows = payload.select("content").mapInArrow(decode, "row_id bigint, vec array<float>")
+            values = np.frombuffer(b"".join(batch.column("vec").to_pylist()), "<f4")
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["row_id", "vec"])
+
+    rows = packed.mapInArrow(decode, "row_id bigint, vec array<float>")
     if h["ids"] is not None:
         names = spark.createDataFrame(list(enumerate(h["ids"])), "row_id bigint, id string")
         rows = rows.join(names, "row_id")

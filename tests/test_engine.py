@@ -391,6 +391,7 @@ def test_sidecar(spark, small, tmp_path):
     back, header = sidecar.read(spark, path)
     assert hits(back.select("row_id", "vec")) == hits(small) and header["description"] == "about"
     assert sidecar.read_bank(spark, path).channels == (Channel("a", 0, 16),)
+    assert (Bank(small, 48, Metric.L2).partitions(60), Bank(small, 48, Metric.L2).partitions(10**7)) == (1, 29)
     good = (tmp_path / "x.wvbank.json").read_text()
     for old, new in (('"schemaVersion": 2', '"schemaVersion": 9'), ('"metric": "l2"', '"metric": "l3"'), ('"dtype": "float32"', '"dtype": "int4"'), ('"n1"', '"n0"'), ('"count": 60', '"count": 59')):
         assert old in good
