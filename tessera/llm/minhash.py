@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ARRAY_BYTES, distinct_per_text, intermediates, kept, mapped, materialize, shingles, slices, word_hashes
-from .lsh import Scheme, components, fingerprints, link
+from .lsh import BROADCAST_ROWS, Scheme, components, few, fingerprints, link
 
 #: A pair at 0.8 shares no bucket with a chance of 3e-6; sets that meet at 0.2 share one with 1 %.
 SCHEME = Scheme(rows=5, bands=32)
@@ -73,8 +73,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             hubs = texts.groupBy("id").agg(F.min("b").alias("a"))
             links = links.unionByName(texts.join(hubs, "id").where("a <> b").select("a", "b").distinct())
         labels = components(links)
-        comps = classes.select("id", "doc").join(labels, "id").groupBy("comp").agg(F.min("doc").alias("_least"))
-        of_class = classes.join(labels, "id", "left").join(comps, "comp", "left").select("f1", "f2", F.coalesce("_least", "doc").alias("comp"))
+        comps = materialize(classes.select("id", "doc").join(labels, "id").groupBy("comp").agg(F.min("doc").alias("_least")), "least")
+        of_class = classes.join(labels, "id", "left").join(few(comps, BROADCAST_ROWS), "comp", "left").select("f1", "f2", F.coalesce("_least", "doc").alias("comp"))
         of_class = kept(materialize(of_class, "components"))
     out = signed.where(full).select("id", "n", "f1", "f2").join(of_class, ["f1", "f2"]).select("id", "n", "comp")
     out = out.unionByName(signed.where(~full).select("id", "n", F.col("id").alias("comp")))
