@@ -22,18 +22,26 @@ from ..storage import intermediates, kept, materialize, release, shared_dir
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 #: The same where every byte or word has several numbers at a time.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
+#: Bytes of rows that go to a worker at a time; both the executor and the worker hold them.
+BATCH_BYTES = 4 << 20
 #: Longer strings are hashed one by one.
 SHORT_BYTES = 64
 #: A worker that holds more than so much hands back what is free after every slice.
-LEAN_BYTES = 224 << 20
+LEAN_BYTES = 160 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow``, whose worker hands its free memory back at the end of each task: workers outlive tasks, stages and
-    queries, and the allocators keep what they once had."""
+    """``df.mapInArrow`` with batches of ``BATCH_BYTES``, unless the session says otherwise, whose worker hands its free memory
+    back at the end of each task: workers outlive tasks, stages and queries, and the allocators keep what they once had."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
