@@ -53,7 +53,8 @@ def near_duplicates(docs: list[tuple], n: int, percent: int = 80) -> dict:
 def fold(text: str, parts: int) -> bool:
     """Whether a text's hash puts it into the part that the first fit does not see."""
     first = xxhash.xxh64_intdigest(text.encode(), seed=42)
-    return xxhash.xxh64_intdigest(b"fold", seed=first) % parts == 0
+    signed = xxhash.xxh64_intdigest(b"fold", seed=first)
+    return (signed - ((signed >> 63) << 64)) % parts == 0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: list[float]) -> np.ndarray:
