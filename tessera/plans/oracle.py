@@ -132,6 +132,26 @@ def pooled(bank8: str, rows: str, offset: int = 0, length: int = 64) -> str:
     )
 
 
+def components(bank: str, dims: int, count: int, iterations: int) -> str:
+    """CTEs (to follow WITH RECURSIVE): mean (m), and found1 to found<count> (v), by power iteration on the covariance."""
+    lanes = f"lanes AS MATERIALIZED (SELECT row_id, generate_subscripts(vec, 1) AS pos, unnest(vec)::DOUBLE AS x FROM {bank})"
+    means = "means AS MATERIALIZED (SELECT pos, avg(x) AS m FROM lanes GROUP BY pos), mean AS MATERIALIZED (SELECT list(m ORDER BY pos) AS m FROM means)"
+    entry = "SELECT a.pos AS i, b.pos AS j, avg(a.x * b.x) - any_value(p.m) * any_value(q.m) AS c FROM lanes a JOIN lanes b USING (row_id) JOIN means p ON p.pos = a.pos JOIN means q ON q.pos = b.pos GROUP BY a.pos, b.pos"
+    cov = f"cov AS MATERIALIZED (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS r FROM ({entry}) GROUP BY i))"
+    parts = [lanes, means, cov]
+    for k in range(1, count + 1):
+        before = range(1, k)
+        sides = "".join(f", found{f}" for f in before)
+        start = f"list_transform(range({dims}), lambda i: (i = {k - 1})::INTEGER::DOUBLE)"
+        times = f"SELECT it, list_transform(c, lambda r: list_inner_product(r, step{k}.v)) AS w FROM step{k}, cov WHERE it < {iterations}"
+        dots = "".join(f", list_inner_product(w, found{f}.v) AS d{f}, found{f}.v AS f{f}" for f in before)
+        left = "list_transform(range(1, %d), lambda i: w[i]%s)" % (dims + 1, "".join(f" - d{f} * f{f}[i]" for f in before))
+        unit = "list_transform(u, lambda x: x / sqrt(list_inner_product(u, u)))"
+        step = f"SELECT it + 1, {unit} FROM (SELECT it, {left} AS u FROM (SELECT it, w{dots} FROM ({times}){sides}))"
+        parts += [f"step{k} AS (SELECT 0 AS it, {start} AS v UNION ALL {step})", f"found{k} AS MATERIALIZED (SELECT v FROM step{k} WHERE it = {iterations})"]
+    return ", ".join(parts)
+
+
 def exploded(rows: str, key: str, value: str) -> str:
     """(key, pos from 0, value) of list columns."""
     return f"SELECT {key}, (generate_subscripts({value}, 1) - 1)::INTEGER AS pos, unnest({value}) AS value FROM {rows}"

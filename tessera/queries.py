@@ -373,8 +373,11 @@ def _pca_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.projected(b, *pca.principal_components(b, 4))
 
 
-_add("pca_components", _pca)
-_add("pca_projection", _pca_projected)
+_parts = o.components(o.SCALED, DIMS, 4, 64)
+_listed_parts = " UNION ALL ".join(f"SELECT {c}::INTEGER AS component, v FROM found{c + 1}" for c in range(4))
+_add("pca_components", lambda s, d: _pca(s, d).withColumn("value", F.round("value", 6)), f"WITH RECURSIVE {_parts} SELECT component, (generate_subscripts(v, 1) - 1)::INTEGER AS pos, round(unnest(v), 6) AS value FROM ({_listed_parts})")
+_coord = "list_inner_product(list_transform(list_zip(b.vec::DOUBLE[], mean.m), lambda z: z[1] - z[2]), f.v)"
+_add("pca_projection", lambda s, d: _pca_projected(s, d).withColumn("coord", F.round("coord", 6)), f"WITH RECURSIVE {_parts} SELECT b.row_id, f.component, round({_coord}, 6) AS coord FROM {o.SCALED} b, mean, ({_listed_parts}) f")
 
 
 # -- graph, novelty, matching --------------------------------------------------------------------------------------
