@@ -32,6 +32,8 @@ from ..plans import block
 
 #: Queries of one call that the column strategy takes; more go to the block strategy.
 COLUMN_QUERIES = 4
+#: Bytes of queries that are computed once, before anything else.
+SETTLED_BYTES = 4 << 20
 #: Rows of bias that are broadcast; more are joined by shuffle.
 BROADCAST_BIAS = 1_000_000
 
@@ -342,12 +344,21 @@ def _check(bank: Bank, queries: DataFrame, spec: QuerySpec) -> None:
         validate_bias(bank, spec.bias)
 
 
+def _settled(bank: Bank, queries: DataFrame) -> DataFrame:
+    """Few queries computed once, for what made them may be long, and they are checked, counted and sent."""
+    most = max(1, SETTLED_BYTES // (8 * bank.dims))
+    columns = [c for c in ("query_id", "q", "q8", "q_scale", "q_sq") if c in queries.columns]
+    some = queries.select(*columns).limit(most + 1).toArrow()
+    return queries.sparkSession.createDataFrame(some, queries.select(*columns).schema) if some.num_rows <= most else queries
+
+
 def query_batch(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None, validate: bool = True) -> DataFrame:
     """The k best rows of each query (query_id, q): query_id, rank, row_id, score. k = 0 gives none, before any check."""
     spec = spec or QuerySpec()
     check_spec(bank, spec)
     if spec.k == 0:
         return _none(bank)
+    queries = _settled(bank, queries)
     if validate:
         _check(bank, queries, spec)
     plan = resolve(bank, spec)
@@ -364,6 +375,7 @@ def query(bank: Bank, q: DataFrame, spec: QuerySpec | None = None, validate: boo
     check_spec(bank, spec)
     if spec.k == 0:
         return _none(bank).drop("query_id")
+    q = _settled(bank, q)
     if validate:
         _check(bank, q, spec)
     metric = spec.metric(bank)
@@ -375,6 +387,7 @@ def query_intersect(bank: Bank, queries: DataFrame, spec: QuerySpec | None = Non
     """Rows by the worst of their scores under all queries: rank, row_id, score. Bias counts once, on the fused score."""
     spec = spec or QuerySpec()
     check_spec(bank, spec)
+    queries = _settled(bank, queries)
     if queries.limit(1).count() == 0:
         raise InvalidArgument("an intersection needs a query")
     if spec.k == 0:
