@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARRAY_BYTES, mapped, materialize, per_text_sum, slices, text_bytes, word_hashes
+from .common import ARRAY_BYTES, intermediates, kept, mapped, materialize, per_text_sum, slices, text_bytes, word_hashes
 from .lsh import few
 from .rules import _features, duplicate_lines, repeated_words
 
@@ -135,16 +135,17 @@ def classify(docs: DataFrame, model: Model, host: Column | str = "source", path:
 
     scored = mapped(source, run, f"`{id_col}` {kind}, _host string, _path string, _own double")
     scored = materialize(scored.withColumn("_p", 1 / (1 + F.exp(-F.col("_own")))), "evidence")
-    sums = [F.count("*").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")]
-    paths = materialize(scored.groupBy("_host", "_path").agg(*sums), "paths")
-    hosts = materialize(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "hosts")
-    whole = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
-    mean = 0.5 if whole is None else min(1 - 1e-6, max(1e-6, whole))
-    of_host = hosts.agg(_strength(hosts, F.lit(mean))).first()[0] or 1.0
-    hosts = hosts.select("_host", F.col("n").alias("_hn"), F.col("s").alias("_hs"))
-    paths = paths.join(hosts, "_host")
-    of_path = paths.agg(_strength(paths, F.col("_hs") / F.col("_hn"))).first()[0] or 1.0
-    paths = materialize(paths.select("_host", "_path", F.col("n").alias("_n"), F.col("s").alias("_s"), "_hn", "_hs"), "sites")
+    with intermediates():
+        sums = [F.count("*").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")]
+        paths = materialize(scored.groupBy("_host", "_path").agg(*sums), "paths")
+        hosts = materialize(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "hosts")
+        whole = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
+        mean = 0.5 if whole is None else min(1 - 1e-6, max(1e-6, whole))
+        of_host = hosts.agg(_strength(hosts, F.lit(mean))).first()[0] or 1.0
+        hosts = hosts.select("_host", F.col("n").alias("_hn"), F.col("s").alias("_hs"))
+        paths = paths.join(hosts, "_host")
+        of_path = paths.agg(_strength(paths, F.col("_hs") / F.col("_hn"))).first()[0] or 1.0
+        paths = kept(materialize(paths.select("_host", "_path", F.col("n").alias("_n"), F.col("s").alias("_s"), "_hn", "_hs"), "sites"))
 
     joined = scored.join(few(paths), ["_host", "_path"])  # of many sites a hot one is split by Spark
     own = F.col("_p")  # a document's own score is no evidence of its site
