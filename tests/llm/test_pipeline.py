@@ -87,3 +87,17 @@ def test_stages_take_messy_tables(spark, sf, messy, empty):
 def test_run_gives_the_same(spark, sf, stages):
     got = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {r["doc_id"]: r["ids_sha256"] for r in stages[5].collect()}
+
+
+def test_run_on_messy_and_empty_tables(spark, sf, messy, empty, tmp_path):
+    """Nulls, repeated rows, odd columns and no rows at all, from the first stage to the last."""
+    for name, docs in (("messy", messy), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{table}.parquet").write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        known = {r["doc_id"] for r in docs.collect()}
+        assert {r["doc_id"] for r in rows} <= known and len(rows) <= docs.count()
+        assert all(len(r["token_ids"]) == r["n_tokens"] for r in rows)
+    encoded = corpus_pipeline.STAGES[-1][1](spark, messy, sf)
+    assert encoded.count() == messy.count() and encoded.where("n_tokens = 0").count() >= 3
