@@ -38,15 +38,18 @@ def normalized(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def _rounded(v: Column, inv: Column) -> Column:
-    return F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * inv))).cast("tinyint"))
+    """v * inv in the type of both, to whole numbers; 0 * infinity (of a vector of subnormal lanes) is 0."""
+    zero = F.lit(0.0)
+    return F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(F.nanvl(x * inv, zero)))).cast("tinyint"))
 
 
 def quantized(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """q8 and scale instead of ``vec``: half-even rounding of v * (127 / max), in float32."""
+    """q8 and scale instead of ``vec``: half-even rounding of v * (127 / max), in float32. Spark divides floats as doubles, so
+    the quotient is cast before it multiplies a lane; a product near a half would round otherwise."""
     one, zero = F.lit(127.0).cast("float"), F.lit(0.0).cast("float")
 
     def lanes(v: Column, top: Column) -> Column:
-        return let(F.when(top > 0, one / top).otherwise(zero), lambda inv: F.struct(_rounded(v, inv).alias("q8"), (top / one).cast("float").alias("scale")))
+        return let(F.when(top > 0, (one / top).cast("float")).otherwise(zero), lambda inv: F.struct(_rounded(v, inv).alias("q8"), (top / one).cast("float").alias("scale")))
 
     both = let(F.col(vec), lambda v: let(max_abs(v).cast("float"), lambda top: lanes(v, top)))
     return df.withColumn("_both", both).withColumns({"q8": F.col("_both.q8"), "scale": F.col("_both.scale")}).drop(vec, "_both")

@@ -126,6 +126,13 @@ def test_payloads_are_checked(spark, small):
         query_batch(b, good.withColumn("q8", F.transform("q8", lambda x: F.lit(0).cast("tinyint"))).withColumn("q_sq", F.lit(0).cast("bigint")), QuerySpec(exact_int=True))
 
 
+def test_lanes_are_quantized_in_float32(spark):
+    """Products beside a half, which float32 and double round to different whole numbers; subnormal lanes."""
+    pairs = [(1.1360278129577637, -1.0778846740722656, -120), (2.584702253341675, 2.5338222980499268, 124), (2.828348159790039, -2.0822877883911133, -94), (1.3519607782363892, -0.49500927329063416, -46), (1e-40, -1e-40, -127)]
+    b = bake(frame(spark, [[m, x, 0, 0] for m, x, _ in pairs]), 4, Metric.DOT, Quantization.INT8)
+    assert [r["q8"] for r in b.df.orderBy("row_id").collect()] == [[127, q, 0, 0] for *_, q in pairs]
+
+
 def test_contributions_add_up(small):
     b = bake(small, 48, Metric.L2)
     spec = QuerySpec(k=4, segments=SEGMENTS)
