@@ -159,6 +159,21 @@ def validate_payloads(bank: Bank, payloads: DataFrame) -> None:
         raise ZeroNormQuery("a payload has no direction")
 
 
+#: The group of rows without one.
+NO_GROUP = -(1 << 63)
+
+
+def validate_group_bias(bias: DataFrame) -> None:
+    """Pairs of a query and a group must be unique and finite; no row need be of the group."""
+    odd = F.col("bias").isNull() | F.isnan("bias") | (F.abs("bias") == float("inf"))
+    none = F.col("query_id").isNull() | F.col("group").isNull() | (F.col("group") == NO_GROUP)
+    found = bias.groupBy("query_id", "group").agg(F.count("*").alias("n"), F.max(odd.cast("int")).alias("odd"), F.max(none.cast("int")).alias("none")).agg(*[F.max(c).alias(c) for c in ("n", "odd", "none")]).first()
+    if found["odd"]:
+        raise NonFiniteQuery("a bias is not finite")
+    if found["none"] or (found["n"] or 0) > 1:
+        raise InvalidArgument("bias pairs must be unique queries and groups")
+
+
 def validate_bias(bank: Bank, bias: DataFrame) -> None:
     """Pairs must be unique, in the bank and finite."""
     keys = [c for c in ("query_id", "row_id") if c in bias.columns]

@@ -130,11 +130,13 @@ class Bank:
 @dataclass(frozen=True)
 class QuerySpec:
     """``exclude``: a predicate on bank columns. ``bias``: (row_id, bias) or (query_id, row_id, bias), added to the score
-    of the rows it names. ``exact_int``: the integer mode, for int8 banks. ``score_as_dot``: score and order by dot."""
+    of the rows it names; with ``bias_group``, a whole number made of bank columns, (query_id, group, bias), added to the score
+    of all rows of the group, without a table of pairs. ``exact_int``: the integer mode, for int8 banks. ``score_as_dot``: score and order by dot."""
 
     k: int = 10
     segments: tuple[Segment, ...] = ()
     bias: DataFrame | None = None
+    bias_group: Column | str | None = None
     exclude: Column | str | None = None
     exclude_self: bool = False
     exact_int: bool = False

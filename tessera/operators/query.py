@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bake import quantized_queries
-from ..functions.validate import check_spec, validate_bias, validate_payloads, validate_queries
+from ..functions.validate import NO_GROUP, check_spec, validate_bias, validate_group_bias, validate_payloads, validate_queries
 from ..functions.vectors import (
     best_first,
     dot,
@@ -27,7 +27,7 @@ from ..functions.vectors import (
     xd_dot,
     xd_l2,
 )
-from ..model import FLT_MIN, Bank, InvalidArgument, Metric, QuerySpec, Segment
+from ..model import FLT_MIN, Bank, InvalidArgument, Metric, QuerySpec, Segment, UnsupportedMode
 from ..plans import block
 
 #: Queries of one call that the column strategy takes; more go to the block strategy.
@@ -121,12 +121,12 @@ def prepared(bank: Bank, queries: DataFrame, plan: Plan) -> DataFrame:
 def with_bias(scored: DataFrame, spec: QuerySpec, exact_int: bool) -> DataFrame:
     if spec.bias is None:
         return scored
-    keys = [c for c in ("query_id", "row_id") if c in spec.bias.columns]
+    keys = ["query_id", "group"] if spec.bias_group is not None else [c for c in ("query_id", "row_id") if c in spec.bias.columns]
     bias = spec.bias.select(*keys, F.col("bias").cast("double").alias("_bias"))
     bias = _few(bias, bias, BROADCAST_BIAS)
     total = F.col("score").cast("double") + F.col("_bias")
     total = floor_to_float(total) if exact_int else total
-    return scored.join(bias, keys, "left").withColumn("score", F.coalesce(total, F.col("score"))).drop("_bias")
+    return scored.join(bias, keys, "left").withColumn("score", F.coalesce(total, F.col("score"))).drop("_bias", "group")
 
 
 def all_scores(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None) -> DataFrame:
@@ -138,7 +138,16 @@ def all_scores(bank: Bank, queries: DataFrame, spec: QuerySpec | None = None) ->
     pairs = rows.crossJoin(_few(asked, asked, max(1, block.BROADCAST_BYTES // (8 * bank.dims))))
     if spec.exclude_self:
         pairs = pairs.where("query_id <> row_id")
-    return with_bias(pairs.select("query_id", "row_id", score_column(bank, plan).alias("score")), spec, plan.exact_int)
+    scored = pairs.select("query_id", "row_id", score_column(bank, plan).alias("score"), *_group(spec))
+    return with_bias(scored, spec, plan.exact_int)
+
+
+def _group(spec: QuerySpec) -> list[Column]:
+    """The group of a row, where a bias goes by groups."""
+    if spec.bias is None or spec.bias_group is None:
+        return []
+    group = F.expr(spec.bias_group) if isinstance(spec.bias_group, str) else spec.bias_group
+    return [F.coalesce(group.cast("bigint"), F.lit(NO_GROUP)).alias("group")]
 
 
 def _predicate(condition: Column | str) -> Column:
@@ -164,6 +173,7 @@ class RowScorer(block.Scorer):
         self.parts = plan.parts or ((0, bank.dims, 1.0, None),)
         self.l2, self.exact = plan.metric is Metric.L2, plan.exact_int
         self.sign = 1.0 if self.l2 else -1.0
+        self._seen: tuple | None = None
 
     def slack(self, dtype: type) -> float:
         return (self.dims + 32) * (2.0**-23 if dtype is np.float32 else 2.0**-51) + 2.0**-22 * self.exact
@@ -228,19 +238,46 @@ class RowScorer(block.Scorer):
         order = np.argsort(q["query_id"], kind="stable")
         at = np.minimum(np.searchsorted(q["query_id"], of, sorter=order), len(order) - 1)
         here = np.flatnonzero(q["query_id"][order[at]] == of)
+        if not len(here):
+            return None
         i, j, v = order[at[here]], row[here], value[here]
         by = np.lexsort((j, i))
         return i[by], j[by], v[by]
 
+    def _group_biases(self, q: dict, b: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        """Bias of each query in each group of the rows (NaN: none), and the place of each row's group."""
+        if "_bias_group" not in q:
+            return None
+        if self._seen is None or self._seen[0] is not q or self._seen[1] is not b:
+            groups, place = np.unique(b["group"], return_inverse=True)
+            table = np.full((len(q["query_id"]), len(groups)), np.nan)
+            has = np.flatnonzero([x is not None and len(x) > 0 for x in q["_bias_group"]])
+            if len(has) and len(groups):
+                of, value = np.concatenate([q["_bias_group"][k] for k in has]), np.concatenate([q["_bias_value"][k] for k in has])
+                query = np.repeat(has, [len(q["_bias_group"][k]) for k in has])
+                at = np.minimum(np.searchsorted(groups, of), len(groups) - 1)
+                here = groups[at] == of
+                table[query[here], at[here]] = value[here]
+            self._seen = (q, b, table, place)
+        return self._seen[2:]
+
     def adjust(self, lower: np.ndarray, q: dict, b: dict) -> None:
+        if (grouped := self._group_biases(q, b)) is not None:
+            table, place = grouped
+            more = np.nan_to_num(self.sign * table - 2.0**-20 * np.abs(table)).astype(lower.dtype)
+            lower += more[:, place]
+            lower -= np.abs(lower) * lower.dtype.type(2.0**-20)
         if (found := self._biases(q, b)) is not None:
             i, j, v = found
             lower[i, j] += (self.sign * v - 2.0**-20 * np.abs(v)).astype(lower.dtype)
             lower[i, j] -= np.abs(lower[i, j]) * lower.dtype.type(2.0**-20)
 
     def pairs(self, q: dict, i: np.ndarray, b: dict, j: np.ndarray) -> np.ndarray:
-        some, rows = block.rows_of(q, i), block.rows_of({k: v for k, v in b.items() if not k.startswith("_bias")}, j)
+        some, rows = (block.rows_of({k: v for k, v in x.items() if not k.startswith("_bias")}, at) for x, at in ((q, i), (b, j)))
         total = self._total(some, rows, lambda x, y: np.einsum("ij,ij->i", x, y), block.paired_dot, block.paired_l2, lambda v: v)
+        if (grouped := self._group_biases(q, b)) is not None:
+            table, place = grouped
+            return self._add(total, table[i, place[j]])
         if "_bias" in b:
             if (found := self._biases(q, b)) is not None:
                 bi, bj, v = found
@@ -297,13 +334,13 @@ def whole_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _block_rows(bank: Bank, spec: QuerySpec, plan: Plan) -> DataFrame:
     """What a block scan reads of the bank: rows that are not excluded, with their bias; a bias for each query as two lists
-    (``_bias_of``, ``_bias``), as long as the queries at most."""
+    (``_bias_of``, ``_bias``), as long as the queries at most; of a bias by groups, the group alone."""
     rows = bank.df if spec.exclude is None else bank.df.where(~_predicate(spec.exclude))
     used = ["row_id", *(("q8", "scale") if bank.is_int8 else ("vec",))]
     if any(p[3] is not None for p in plan.parts):
         used.append("inv_norms")
-    rows = rows.select(*used)
-    if spec.bias is not None:
+    rows = rows.select(*used, *_group(spec))
+    if spec.bias is not None and spec.bias_group is None:
         value = F.col("bias").cast("double").alias("_bias")
         if "query_id" in spec.bias.columns:
             bias = spec.bias.select("row_id", F.struct("query_id", value).alias("_of")).groupBy("row_id").agg(F.collect_list("_of").alias("_of"))
@@ -319,8 +356,20 @@ def _few(df: DataFrame, counted: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if counted.limit(most + 1).count() <= most else df
 
 
+def _with_group_bias(asked: DataFrame, spec: QuerySpec) -> tuple[DataFrame, int]:
+    """Queries with their bias as two lists (``_bias_group``, ``_bias_value``), and the bytes of the longest."""
+    if spec.bias is None or spec.bias_group is None:
+        return asked, 0
+    pair = F.struct(F.col("group").cast("bigint").alias("group"), F.col("bias").cast("double").alias("value"))
+    lists = spec.bias.groupBy("query_id").agg(F.collect_list(pair).alias("_of"))
+    longest = spec.bias.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    lists = lists.select("query_id", F.col("_of.group").alias("_bias_group"), F.col("_of.value").alias("_bias_value"))
+    return asked.join(lists, "query_id", "left"), 16 * longest
+
+
 def _block_hits(bank: Bank, queries: DataFrame, spec: QuerySpec, plan: Plan) -> DataFrame:
-    hits = block.scan(_block_rows(bank, spec, plan), prepared(bank, queries, plan), RowScorer(bank, plan), spec.k, spec.exclude_self, 8 * bank.dims)
+    asked, more = _with_group_bias(prepared(bank, queries, plan), spec)
+    hits = block.scan(_block_rows(bank, spec, plan), asked, RowScorer(bank, plan), spec.k, spec.exclude_self, 8 * bank.dims + more)
     return hits.withColumn("score", F.col("score").cast("float")) if plan.exact_int else hits
 
 
@@ -340,7 +389,9 @@ def _check(bank: Bank, queries: DataFrame, spec: QuerySpec) -> None:
         validate_payloads(bank, queries)
     else:
         validate_queries(bank, queries, spec.segments)
-    if spec.bias is not None:
+    if spec.bias is not None and spec.bias_group is not None:
+        validate_group_bias(spec.bias)
+    elif spec.bias is not None:
         validate_bias(bank, spec.bias)
 
 
@@ -387,6 +438,8 @@ def query_intersect(bank: Bank, queries: DataFrame, spec: QuerySpec | None = Non
     """Rows by the worst of their scores under all queries: rank, row_id, score. Bias counts once, on the fused score."""
     spec = spec or QuerySpec()
     check_spec(bank, spec)
+    if spec.bias is not None and spec.bias_group is not None:
+        raise UnsupportedMode("an intersection has a bias of rows only")
     queries = _settled(bank, queries)
     if queries.limit(1).count() == 0:
         raise InvalidArgument("an intersection needs a query")

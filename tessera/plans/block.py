@@ -23,6 +23,8 @@ QUERY_BYTES = 256 << 20
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 #: Lanes (doubles) that are scored exactly at a time.
 EXACT_LANES = 1 << 20
+#: Biases of pairs that a part of a batch of rows has at most, but for a single row's.
+BIAS_PAIRS = 1 << 20
 #: Doubles of a task's best scores of queries in groups, before they are handed on.
 GROUP_CELLS = 4 << 20
 
@@ -194,8 +196,14 @@ def _lanes(data: dict) -> int:
 def _cut(rows: dict) -> Iterator[dict]:
     n = len(rows["row_id"])
     step = max(64, min(ROW_BLOCK, (4 << 20) // max(1, _lanes(rows))))
-    for at in range(0, n, step):
-        yield rows_of(rows, slice(at, at + step))
+    lists = rows.get("_bias_of", ())
+    pairs = np.cumsum([0, *(0 if x is None else len(x) for x in lists)]) if len(lists) else np.zeros(n + 1, np.int64)
+    at = 0
+    while at < n:
+        most = int(np.searchsorted(pairs, pairs[at] + BIAS_PAIRS, side="right")) - 1
+        end = min(n, at + step, max(at + 1, most))
+        yield rows_of(rows, slice(at, end))
+        at = end
 
 
 def _merge(blocks: list[_Block], rows: dict, scorer: Scorer, exclude_self: bool) -> None:

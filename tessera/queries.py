@@ -90,9 +90,8 @@ def _top(metric: str, int8: bool, spec: QuerySpec, channels: tuple[Channel, ...]
         if bias:
             pairs = b.df.select("row_id", F.expr(BIAS).cast("float").alias("bias"))
             if by_query:
-                ids = b.df.where(ASKED).select(F.col("row_id").alias("query_id"), F.col("label").alias("_own"))
-                named = b.df.select("row_id", "label")
-                pairs = named.join(ids, F.col("label") == F.col("_own")).select("query_id", "row_id", F.lit(-0.75).cast("float").alias("bias"))
+                pairs = b.df.where(ASKED).select(F.col("row_id").alias("query_id"), F.col("label").cast("bigint").alias("group"), F.lit(-0.75).cast("float").alias("bias"))
+                s = replace(s, bias_group="label")
             s = replace(s, bias=pairs)
         return query_batch(b, _asked(b), s)
 

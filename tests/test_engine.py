@@ -115,6 +115,29 @@ def test_bounds_lose_no_row(spark, seed):
             assert hits(a) == hits(c)
 
 
+def test_bias_of_groups(spark, small, monkeypatch):
+    """A bias by query and group is that of all pairs; no table of pairs is made, so a plan has as many rows as queries."""
+    b = bake(small.withColumn("set", F.when(F.col("row_id") != 7, F.col("row_id") % 4)), 48, Metric.L2, Quantization.INT8)
+    q = rows_as_queries(b, "row_id < 20")
+    group = spark.createDataFrame([(i, g, (-1.0) ** g * 40.5 * (i + 1)) for i in range(0, 20, 3) for g in (0, 1, 3, 9)], "query_id bigint, group bigint, bias float")
+    pairs = group.join(b.df.select("row_id", F.col("set").alias("group")), "group").select("query_id", "row_id", "bias")
+    for exact in (False, True):
+        spec = QuerySpec(k=5, exact_int=exact, exclude_self=True)
+        want = hits(query_batch(b, q, replace(spec, bias=pairs)))
+        for strategy in ("block", "columns"):
+            assert hits(query_batch(b, q, replace(spec, bias=group, bias_group="set", strategy=strategy))) == want
+        with monkeypatch.context() as m:
+            m.setattr(block, "BROADCAST_BYTES", 0)
+            assert hits(query_batch(b, q, replace(spec, bias=group, bias_group="set"))) == want
+            m.setattr(block, "BIAS_PAIRS", 9)
+            assert hits(query_batch(b, q, replace(spec, bias=pairs))) == want
+    for odd in (group.union(group), group.withColumn("bias", F.lit(float("nan"))), group.withColumn("group", F.lit(None).cast("bigint"))):
+        with pytest.raises((InvalidArgument, NonFiniteQuery)):
+            query_batch(b, q, QuerySpec(bias=odd, bias_group="set"))
+    with pytest.raises(UnsupportedMode):
+        query_intersect(b, q, QuerySpec(bias=group, bias_group="set"))
+
+
 def test_payloads_are_checked(spark, small):
     b = bake(small, 48, Metric.COSINE, Quantization.INT8)
     good = quantized_queries(rows_as_queries(b, "row_id < 2"))
