@@ -21,6 +21,8 @@ BROADCAST_BYTES = 64 << 20
 #: Bytes of packed queries that one task of a blocked scan meets.
 QUERY_BYTES = 256 << 20
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Blocks of queries that a blocked scan sends at a time.
+SENT_BLOCKS = 4
 #: Lanes (doubles) that are scored exactly at a time.
 EXACT_LANES = 1 << 20
 #: Biases of pairs that a part of a batch of rows has at most, but for a single row's.
@@ -127,17 +129,21 @@ class TopK:
         """Take in rows whose scores times ``sign`` are ``lower`` or more; NaN marks pairs that do not count."""
         fresh = np.flatnonzero(np.isinf(self.score[:, -1]))
         if len(fresh) and lower.shape[1] > 2 * self.k:  # exact scores of some k rows bound the rest
-            first = np.argpartition(lower[fresh], self.k - 1, axis=1)[:, : self.k]
-            i, j = np.repeat(fresh, self.k), first.reshape(-1)
-            real = ~np.isnan(lower[i, j])
-            i, j = i[real], j[real]
+            some = lower[fresh]
+            kth = np.partition(some, self.k - 1, axis=1)[:, self.k - 1]  # NaN, the last in order, if fewer count
+            at = np.flatnonzero(some <= np.where(np.isnan(kth), np.array(np.inf, lower.dtype), kth)[:, None])
+            i, j = fresh[at // lower.shape[1]], at % lower.shape[1]
             self._push(i, j, rows, lanes, exact)
             lower[i, j] = np.nan
         bound = self.score[:, -1].astype(lower.dtype)
         bound = np.where(bound < self.score[:, -1], np.nextafter(bound, np.array(np.inf, lower.dtype)), bound)
-        i, j = np.nonzero(lower <= bound[:, None])
-        if len(i):
-            self._push(i, j, rows, lanes, exact)
+        with np.errstate(invalid="ignore"):
+            reach = np.flatnonzero(~(lower.min(1, initial=np.inf) > bound))  # few queries, once many rows are seen; all with a NaN
+        if len(reach):
+            some = lower if len(reach) == len(lower) else lower[reach]
+            at = np.flatnonzero(some <= bound[reach, None])  # of one dimension: of two it takes longer than the product
+            if len(at):
+                self._push(reach[at // lower.shape[1]], at % lower.shape[1], rows, lanes, exact)
 
     def _push(self, i: np.ndarray, j: np.ndarray, rows: np.ndarray, lanes: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
         step = max(64, EXACT_LANES // max(1, lanes))
@@ -307,12 +313,18 @@ def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
     return columns(pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0])
 
 
-def _grid(bank: DataFrame, queries: DataFrame, bytes_a_query: int) -> DataFrame:
+def _grid(bank: DataFrame, queries: DataFrame, bytes_a_query: int, by_queries: bool = False) -> DataFrame:
     """Blocks of rows and blocks of queries (rows, block, no: the query block's number). A task has some blocks of rows and
-    all blocks of a part of the queries; both sides are shuffled once, as blocks."""
-    parts = max(1, -(-queries.count() * bytes_a_query // QUERY_BYTES))
+    all blocks of a part of the queries; both sides are shuffled once, as blocks. ``by_queries`` deals the queries to tasks
+    and leaves the bank in parts as large as those of queries may be: a query then keeps its hits in few tasks."""
+    n, sent = queries.count(), QUERY_BLOCK * (SENT_BLOCKS if by_queries else 1)
+    parts = max(1, -(-n * bytes_a_query // QUERY_BYTES))
     tasks = int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = _packed(queries, QUERY_BLOCK, "block").withColumn("no", F.monotonically_increasing_id()).repartition(parts)
+    if by_queries:
+        tasks = max(tasks, 2 * bank.sparkSession.sparkContext.defaultParallelism)
+        of_bank = max(1, -(-bank.count() * bytes_a_query // (2 * QUERY_BYTES)))
+        parts = max(parts, min(-(-tasks // of_bank), -(-n // sent)))
+    q = _packed(queries, sent, "block").withColumn("no", F.monotonically_increasing_id()).repartition(parts)
     b = _packed(bank, 4 * ROW_BLOCK, "rows").repartition(max(1, -(-tasks // parts)))
     return b.crossJoin(q.hint("shuffle_replicate_nl"))
 
@@ -336,14 +348,23 @@ def _blocked_scan(bank: DataFrame, queries: DataFrame, scorer: Scorer, k: int, e
     is a row of the plan, and a task keeps k hits of each of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, _Block] = {}
-        for rows, block, no in _met(batches, lambda q: _Block(q, scorer, k)):
-            blocks[no] = block
-            _merge([block], rows, scorer, exclude_self)
-        for block in blocks.values():
-            yield block.top.hits(block.ids)
-
-    return _grid(bank, queries, bytes_a_query).mapInArrow(run, HITS)
+        blocks: dict[int, list[_Block]] = {}
+        last, parts = None, []
+        for rows, sent, no in _met(batches, make):
+            if rows is not last:
+                last, parts = rows, [(part, scorer.right(part)) for part in _cut(rows)]
+            blocks[no] = sent
+            for block in sent:
+                for part, right in parts:
+                    block.meet(part, right, exclude_self)
+        for sent in blocks.values():
+            for block in sent:
+                yield block.top.hits(block.ids)
+
+    def make(q: dict) -> list[_Block]:
+        return [_Block(rows_of(q, slice(a, a + QUERY_BLOCK)), scorer, k) for a in range(0, len(q["query_id"]), QUERY_BLOCK)]
+
+    return _grid(bank, queries, bytes_a_query, by_queries=True).mapInArrow(run, HITS)
 
 
 def worst_scan(bank: DataFrame, queries: DataFrame, scorer: Scorer, bytes_a_query: int) -> DataFrame:

@@ -14,13 +14,13 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bake import bake, quantized, rows_as_queries, with_channels
+from ..functions.bake import bake, quantized, quantized_queries, rows_as_queries, with_channels
 from ..functions.ids import dense_ids
 from ..functions.validate import bad_bank_rows, check_channels, validate_source_rows
 from ..functions.vectors import dot
 from ..model import MAX_DIMS, MAX_ROWS, BadFormat, Bank, CapacityExceeded, Channel, InvalidArgument, Metric, Quantization, QuerySpec, UnsupportedMode
 from ..operators.query import query_batch
-from ..storage import intermediates
+from ..storage import intermediates, materialize
 
 FORMAT = 3
 #: Below so many live rows a recall says little.
@@ -372,9 +372,13 @@ class ScratchBank:
         if live > sample:
             ids = ids.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(sample)
         queries = rows_as_queries(floats).join(ids, "query_id", "left_semi")
-        exact = query_batch(floats, queries, QuerySpec(k=k, exclude_self=True), validate=False)
-        fast = query_batch(own, queries, QuerySpec(k=k, exclude_self=True, exact_int=own.is_int8), validate=False)
-        hit = exact.join(fast.select("query_id", "row_id"), ["query_id", "row_id"], "left_semi").count()
+        with intermediates():  # queries and rows are read several times by each search
+            queries = materialize(queries, "queries")
+            payloads = materialize(quantized_queries(queries), "payloads") if own.is_int8 else queries
+            floats, own = (replace(b, df=materialize(b.df, "bank")) for b in (floats, own))
+            exact = query_batch(floats, queries, QuerySpec(k=k, exclude_self=True), validate=False)
+            fast = query_batch(own, payloads, QuerySpec(k=k, exclude_self=True, exact_int=own.is_int8), validate=False)
+            hit = exact.join(fast.select("query_id", "row_id"), ["query_id", "row_id"], "left_semi").count()
         return replace(report, recall=hit / (asked * k))
 
     def stale(self, report: RecallReport) -> bool:

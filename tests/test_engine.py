@@ -15,7 +15,7 @@ from tessera.functions.bake import bake, quantized_queries, rows_as_queries, wit
 from tessera.functions.ids import dense_ids
 from tessera.model import BadFormat, CapacityExceeded, DimensionMismatch, InvalidArgument, NonFiniteInput, NonFiniteQuery, UnsupportedMode, ZeroNormQuery, ZeroNormRow
 from tessera.operators import analytics, compose, graph, matching, novelty, pca
-from tessera.operators.query import decompose, query, query_batch, query_intersect
+from tessera.operators.query import RowScorer, decompose, query, query_batch, query_intersect, resolve
 from tessera.plans import block
 from tessera.sources import sidecar, text
 from tessera.streaming.scratch import ScratchBank
@@ -74,6 +74,19 @@ def test_blocks_of_queries_meet_blocks_of_rows(small, monkeypatch):
         assert hits(query_intersect(b, rows_as_queries(b), spec)) == hits(query_intersect(b, rows_as_queries(b), replace(spec, strategy="columns")))
 
 
+def test_searches_run_once(small, monkeypatch):
+    """A blocked scan deals queries to tasks: each keeps its k hits in one. A match reads both searches from their tables."""
+    b = bake(small, 48, Metric.COSINE, Quantization.INT8)
+    found = matching.mutual_matches(b, b, small.select("row_id"), 3)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert {(r["source_a"], r["source_b"]) for r in found.collect()} == {(i, i) for i in range(60)}
+    for name, value in (("BROADCAST_BYTES", 0), ("QUERY_BLOCK", 1), ("SENT_BLOCKS", 1)):
+        monkeypatch.setattr(block, name, value, raising=False)
+    floats = bake(small, 48, Metric.L2)
+    q, plan = rows_as_queries(floats), resolve(floats, QuerySpec())
+    assert block.scan(floats.df, q, RowScorer(floats, plan), 3, True, 8 * 48).count() == 60 * 3
+
+
 def test_dense_ids_of_many_rows(spark):
     df = spark.range(2_000_000).select(F.xxhash64("id").alias("ord"), F.sha2(F.col("id").cast("string"), 256).alias("payload")).dropDuplicates(["ord"])
     n = df.count()
