@@ -23,6 +23,8 @@ QUERY_BYTES = 256 << 20
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 #: Blocks of queries that a blocked scan sends at a time.
 SENT_BLOCKS = 4
+#: Queries that a scan broadcasts; a task finds k rows anew for each, so more are dealt to tasks.
+BROADCAST_QUERIES = 8192
 #: Lanes (doubles) that are scored exactly at a time.
 EXACT_LANES = 1 << 20
 #: Biases of pairs that a part of a batch of rows has at most, but for a single row's.
@@ -224,15 +226,15 @@ def scan(bank: DataFrame, queries: DataFrame, scorer: Scorer, k: int, exclude_se
 
     ``bank`` has row_id and what the scorer reads, ``queries`` query_id (each once) and what the scorer reads.
     """
-    some = _held(queries, bytes_a_query)
+    some = _held(queries, bytes_a_query, BROADCAST_QUERIES)
     if some is not None:
         return _broadcast_scan(bank, some, scorer, k, exclude_self)
     return _blocked_scan(bank, queries, scorer, k, exclude_self, bytes_a_query)
 
 
-def _held(queries: DataFrame, bytes_a_query: int) -> dict | None:
+def _held(queries: DataFrame, bytes_a_query: int, most: int | None = None) -> dict | None:
     """The queries, unless they are too many to be broadcast."""
-    most = max(1, BROADCAST_BYTES // max(1, bytes_a_query))
+    most = min(max(1, BROADCAST_BYTES // max(1, bytes_a_query)), most or 1 << 31)
     some = queries.limit(most + 1).toArrow()
     return columns(some) if some.num_rows <= most else None
 
@@ -317,11 +319,12 @@ def _grid(bank: DataFrame, queries: DataFrame, bytes_a_query: int, by_queries: b
     """Blocks of rows and blocks of queries (rows, block, no: the query block's number). A task has some blocks of rows and
     all blocks of a part of the queries; both sides are shuffled once, as blocks. ``by_queries`` deals the queries to tasks
     and leaves the bank in parts as large as those of queries may be: a query then keeps its hits in few tasks."""
-    n, sent = queries.count(), QUERY_BLOCK * (SENT_BLOCKS if by_queries else 1)
+    n, sent = queries.count(), QUERY_BLOCK
     parts = max(1, -(-n * bytes_a_query // QUERY_BYTES))
     tasks = int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if by_queries:
         tasks = max(tasks, 2 * bank.sparkSession.sparkContext.defaultParallelism)
+        sent *= min(SENT_BLOCKS, max(1, n // (tasks * QUERY_BLOCK)))
         of_bank = max(1, -(-bank.count() * bytes_a_query // (2 * QUERY_BYTES)))
         parts = max(parts, min(-(-tasks // of_bank), -(-n // sent)))
     q = _packed(queries, sent, "block").withColumn("no", F.monotonically_increasing_id()).repartition(parts)
